@@ -189,5 +189,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = written(connected(links(each.select("fp"), radius)), "roots")
     grouped = roots.join(each, roots.node == each.fp).groupBy("root").agg(F.min("least").alias("low"))
     linked = roots.join(grouped, "root").select(F.col("node").alias("fp"), "low")
-    smallest = each.join(linked, "fp", "left").select("fp", F.coalesce("low", "least").alias("component"))
+    # As a table of its own, so that both sides of the last join are exchanges, whose hot fingerprints adaptive execution splits.
+    smallest = written(each.join(linked, "fp", "left").select("fp", F.coalesce("low", "least").alias("component")), "components")
     return rows.join(smallest, "fp", "left").select("id", "fp", "component")
