@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .simhash import near_duplicates
+from .substring import remove_repeats
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +16,32 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the words of 13-word windows that start in a smaller doc_id too: counts and SHA-256 of what is kept."""
+    found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), size=13)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op4_substring": op4_substring,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_substring": r"""
+        WITH w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+        ), g AS (
+            SELECT doc_id, i, list_slice(words, i, i + 12) AS win FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 12, 0) + 1)) AS i FROM w)
+        ), d AS (
+            SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY win) AS low FROM g) WHERE low < doc_id
+        ), c AS (
+            SELECT DISTINCT doc_id, i + k AS pos FROM d, (SELECT unnest(range(13)) AS k)
+        ), e AS (
+            SELECT doc_id, list(pos) AS gone FROM c GROUP BY doc_id
+        ), r AS (
+            SELECT w.doc_id, len(words) AS n, [words[p] for p in range(1, len(words) + 1) if NOT list_contains(coalesce(gone, []), p)] AS kept FROM w LEFT JOIN e USING (doc_id)
+        )
+        SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n - len(kept) AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM r
+    """,
+}
