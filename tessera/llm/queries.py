@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .quality import quality_scores
 from .simhash import near_duplicates
 from .substring import remove_repeats
 
@@ -22,9 +23,15 @@ def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of documents: doc_id, held_out, score, predicted (score >= 0.3)."""
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), cut=0.3).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op4_substring": op4_substring,
+    "op8_quality": op8_quality,
 }
 
 ORACLES: dict[str, str] = {
