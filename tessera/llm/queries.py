@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .packing import pack
 from .quality import quality_scores
 from .simhash import near_duplicates
 from .substring import remove_repeats
@@ -23,6 +24,19 @@ def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's file is on this machine; every executor has the same installation."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2048 ids."""
+    found = pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), size=2048)
+    return found.withColumnsRenamed({"id": "doc_id", "crc": "ids_crc32"})
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of documents: doc_id, held_out, score, predicted (score >= 0.3)."""
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), cut=0.3).withColumnRenamed("id", "doc_id")
@@ -31,6 +45,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op4_substring": op4_substring,
+    "op5_packing": op5_packing,
     "op8_quality": op8_quality,
 }
 
