@@ -29,11 +29,11 @@ def shared_root(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, tag: str) -> str:
     """A new path below the shared folder, removed when the driver's JVM ends."""
-    path = f"{shared_root(spark)}/tessera-{tag}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/tessera-{tag}-{uuid.uuid4().hex}")
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.deleteOnExit(where)
+    path = fs.makeQualified(where).toString()  # with its scheme: others than Spark open it too
+    return path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:

@@ -10,6 +10,8 @@ from .packing import pack
 from .quality import quality_scores
 from .simhash import near_duplicates
 from .substring import remove_repeats
+from .topk import top_products
+from .warc import archived
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,19 +39,51 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnsRenamed({"id": "doc_id", "crc": "ids_crc32"})
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best integer inner products of each embedding whose vec_id 50 divides."""
+    return top_products(table(spark, sf_dir, "embeddings"), every=50, k=5, scale=256).withColumnRenamed("id", "vec_id")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of documents: doc_id, held_out, score, predicted (score >= 0.3)."""
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), cut=0.3).withColumnRenamed("id", "doc_id")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as WARC records, written and read back."""
+    return archived(table(spark, sf_dir, "pages"), least=1000).withColumnRenamed("id", "page_id")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op4_substring": op4_substring,
     "op5_packing": op5_packing,
+    "op6_topk": op6_topk,
     "op8_quality": op8_quality,
+    "op9_warc": op9_warc,
 }
 
 ORACLES: dict[str, str] = {
+    "op6_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256.0::DOUBLE * x::DOUBLE)) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+        )
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+    """,
+    "op9_warc": """
+        WITH p AS (
+            SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+        ), t AS (
+            SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS last FROM p
+        )
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN last = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN last = page_id THEN NULL ELSE last END AS refers_to FROM t
+    """,
     "op4_substring": r"""
         WITH w AS (
             SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents

@@ -17,7 +17,7 @@ def put(uri: str, write) -> None:
     fs, path = opened(uri)
     fs.create_dir(path.rpartition("/")[0], recursive=True)
     other = f"{path}.{uuid.uuid4().hex}.part"
-    with fs.open_output_stream(other) as out:
+    with fs.open_output_stream(other, compression=None) as out:
         write(out)
     fs.move(other, path)
 
@@ -32,5 +32,5 @@ def put_batch(uri: str, batch: pa.RecordBatch) -> None:
 
 def get_batch(uri: str) -> pa.RecordBatch:
     fs, path = opened(uri)
-    with fs.open_input_stream(path) as src, pa.ipc.open_stream(src) as r:
+    with fs.open_input_stream(path, compression=None) as src, pa.ipc.open_stream(src) as r:
         return next(iter(r))
