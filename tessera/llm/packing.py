@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,30 +23,59 @@ ROUNDS = 600
 SMALL = 16
 
 
-class WordIds:
-    """Ids of words as bytes. The tokenizer drops white space before it splits, so a text's ids are those of its words."""
+#: Bytes as the characters that stand for them in a byte-level vocabulary: printable ones as themselves, others from U+0100 on.
+SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+BYTES = {b: b for b in SHOWN} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in SHOWN)}
+#: Words up to U+017F without apostrophes, controls or white space: composed, of letters, numbers and others by these ranges.
+PLAIN = re.compile("[!-&(-~\u00a1-\u017f]+")
+LETTERS, NUMBERS = "a-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+PARTS = re.compile(f"[{LETTERS}]+|[{NUMBERS}]|[^{LETTERS}{NUMBERS}]+")
+
+
+class WordIds(dict):
+    """Ids of words as little-endian unsigned 32-bit numbers, by word.
+
+    The tokenizer drops white space before it splits a text, so a text's ids are those of its words. Plain words are split here
+    as the tokenizer would and go straight to its model; all others go through the tokenizer itself.
+    """
 
     def __init__(self, file: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.known: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        self.parts: dict[str, bytes] = {}
+
+    def part(self, part: str) -> bytes:
+        found = self.parts.get(part)
+        if found is None:
+            if len(self.parts) > CACHED:
+                self.parts.clear()
+            shown = part if part.isascii() else part.encode().decode("latin-1").translate(BYTES)
+            self.parts[part] = found = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+        return found
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) > CACHED:
+            self.clear()
+        text = word.decode()
+        if PLAIN.fullmatch(text) and "<|" not in text:
+            text = text.lower()
+            ids = self.part(text) if text.isalpha() and text.isascii() else b"".join(map(self.part, PARTS.findall(text)))
+        else:
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = ids
+        return ids
 
     def ids(self, text: bytes) -> bytes:
-        """Little-endian unsigned 32-bit ids of a whole text."""
-        words = text.split()
-        known = self.known
-        new = list({w for w in words if w not in known})
-        if new:
-            if len(known) + len(new) > CACHED:
-                known.clear()
-                new = list(set(words))
-            for k in range(0, len(new), 20_000):
-                part = new[k : k + 20_000]
-                for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+        return b"".join(map(self.__getitem__, text.split()))
+
+
+@lru_cache(1)
+def word_ids(file: str) -> WordIds:
+    """One for each worker, which runs many tasks."""
+    return WordIds(file)
 
 
 def pieces(docs: DataFrame, file: str, size: int, id_col: str = "doc_id", text_col: str = "text", end: int = 0) -> DataFrame:
@@ -54,7 +85,7 @@ def pieces(docs: DataFrame, file: str, size: int, id_col: str = "doc_id", text_c
     """
 
     def run(batches):
-        words, tail = WordIds(file), np.array([end], "<u4").tobytes()
+        words, tail = word_ids(file), np.array([end], "<u4").tobytes()
         task, seen = TaskContext.get().partitionId(), defaultdict(int)
         for b in batches:
             out = [[] for _ in range(7)]
