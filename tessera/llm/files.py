@@ -36,7 +36,8 @@ class FilesWriter(DataSourceArrowWriter):
     def __init__(self, path: str):
         self.path = path
 
-    def fill(self, out, batches) -> None:
+    def fill(self, out, batches) -> int:
+        """Writes all rows and returns how many there were."""
         raise NotImplementedError
 
     def write(self, iterator):
@@ -44,18 +45,20 @@ class FilesWriter(DataSourceArrowWriter):
         name = uuid.uuid4().hex + self.suffix
         fs.create_dir(base, recursive=True)
         with fs.open_output_stream(f"{base}/{name}", compression=None) as out:
-            self.fill(out, iterator)
+            rows = self.fill(out, iterator)
             size = out.tell()
-        return Written(name, size)
+        if not rows:
+            fs.delete_file(f"{base}/{name}")
+        return Written(name, size if rows else 0)
 
     def commit(self, messages):
-        files = sorted((m.name, m.size) for m in messages if m is not None)
+        files = sorted((m.name, m.size) for m in messages if m is not None and m.size)
         put(f"{self.path}/{MANIFEST}", lambda out: out.write(json.dumps(files).encode()))
 
     def abort(self, messages):
         fs, base = opened(self.path)
         for m in messages:
-            if m is not None:
+            if m is not None and m.size:
                 fs.delete_file(f"{base}/{m.name}")
 
 

@@ -145,9 +145,12 @@ class WarcWriter(FilesWriter):
     suffix = ".warc.gz"
 
     def fill(self, out, batches):
+        rows = 0
         for b in batches:
+            rows += b.num_rows
             for row in zip(*(b.column(k).to_pylist() for k in ("record_id", "uri", "payload", "payload_bytes", "payload_digest", "refers_to"))):
                 out.write(record(*row))
+        return rows
 
 
 class WarcReader(DataSourceReader):
