@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .lm import lm_scores
+from .media import media_columns
 from .packing import pack
 from .quality import quality_scores
 from .simhash import near_duplicates
@@ -20,6 +22,21 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as pictures in archives: digests of the payload and the stored form as read back, and the features."""
+    got = media_columns(table(spark, sf_dir, "documents"))
+    return got.select(
+        F.col("id").alias("doc_id"),
+        "n_bytes",
+        F.length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, length(payload) - 63, 64)")).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the words of 13-word windows that start in a smaller doc_id too: counts and SHA-256 of what is kept."""
     found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), size=13)
@@ -54,13 +71,20 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(table(spark, sf_dir, "pages"), least=1000).withColumnRenamed("id", "page_id")
 
 
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PPM and word-count scores of all documents."""
+    return lm_scores(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op3_media": op3_media,
     "op4_substring": op4_substring,
     "op5_packing": op5_packing,
     "op6_topk": op6_topk,
     "op8_quality": op8_quality,
     "op9_warc": op9_warc,
+    "op10_lm": op10_lm,
 }
 
 ORACLES: dict[str, str] = {
