@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from . import chat
+from .common import table, written
 from .lm import lm_scores
 from .media import media_columns
 from .packing import pack
+from .pieces import encoded
 from .quality import quality_scores
 from .simhash import near_duplicates
 from .substring import remove_repeats
@@ -22,6 +24,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of all documents, and whether they decode to the text."""
+    found = encoded(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    return found.withColumnsRenamed({"id": "doc_id", "whole": "round_trip"})
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as pictures in archives: digests of the payload and the stored form as read back, and the features."""
     got = media_columns(table(spark, sf_dir, "documents"))
@@ -61,6 +69,13 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_products(table(spark, sf_dir, "embeddings"), every=50, k=5, scale=256).withColumnRenamed("id", "vec_id")
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as transcripts, their roles recovered, and the turns rendered; roles are those of the table."""
+    known = written(chat.transcripts(table(spark, sf_dir, "conversations")), "transcripts")
+    found = chat.parsed(known, chat.trained(known), keep=("conv_id", "part", "roles"))
+    return found.withColumn("roles_right", F.col("roles") == F.col("roles_found"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of documents: doc_id, held_out, score, predicted (score >= 0.3)."""
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), cut=0.3).withColumnRenamed("id", "doc_id")
@@ -78,10 +93,12 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_media": op3_media,
     "op4_substring": op4_substring,
     "op5_packing": op5_packing,
     "op6_topk": op6_topk,
+    "op7_chat": op7_chat,
     "op8_quality": op8_quality,
     "op9_warc": op9_warc,
     "op10_lm": op10_lm,
