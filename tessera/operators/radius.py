@@ -10,8 +10,8 @@ from ..functions.sphere import cell, clamp_lat, half_height, half_width, haversi
 
 def normal(points: DataFrame) -> DataFrame:
     """Points or centres with latitude clamped and longitude in [-180, 180); rows with a null or non-finite part go."""
-    out = points.withColumns({"lat": clamp_lat(F.col("lat")), "lng": normal_lng(F.col("lng"))})
-    return out.where(F.col("lat").isNotNull() & ~F.isnan("lat") & F.col("lng").isNotNull())
+    known = points.where(F.col("lat").isNotNull() & ~F.isnan("lat") & F.col("lng").isNotNull())
+    return known.withColumns({"lat": clamp_lat(F.col("lat")), "lng": normal_lng(F.col("lng"))}).where(F.col("lng").isNotNull())
 
 
 def _sides(points: DataFrame, centres: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.formats import bytes_of, per_second
+from ..functions.formats import per_second
 
 #: A benchmark line: name, size (N) or radius (R), repetitions, ns/op, B/op, allocs/op.
 LINE = r"^Benchmark(\S+?)/([NR])(\d+)(?:-\d+)?\s+\d+\s+([\d.]+) ns/op(?:.*?\s([\d.]+) B/op)?(?:\s+(\d+) allocs/op)?"
@@ -122,7 +122,4 @@ def sections(texts: DataFrame, text: str = "value") -> DataFrame:
 def replace_block(text: Column, name: str, content: str) -> Column:
     """What stands between <!-- name:start --> and <!-- name:end --> becomes content."""
     quoted = content.replace("\\", "\\\\").replace("$", "\\$")
-    return F.regexp_replace(text, F.lit(rf"(?s)(<!-- {name}:start -->\n).*?(<!-- {name}:end -->)"), F.lit(rf"$1{quoted}\n$2"))
-
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["bytes_of"]
+    return F.regexp_replace(text, F.lit(rf"(?s)(<!-- {name}:start -->\n).*?(<!-- {name}:end -->)"), F.lit(f"$1{quoted}\n$2"))
