@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections import defaultdict
 
@@ -16,7 +15,7 @@ from .common import arrow_rows, shared_path, utf8, written
 from .ppm import ORDER, SHARE, Trie, grams, kept, shorter, summed
 from .quality import bucket
 from .store import get_batch, put_batch
-from .substring import blocks, grouped
+from .substring import block_file, blocks, grouped, new_block
 
 
 def squeezed(values: np.ndarray) -> bytes:
@@ -65,12 +64,12 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
 
     def gather(batches):
         names = ["kind", "shard", "block", "words", "counts", "n"]
-        kinds = [pa.string(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.int64()]
+        kinds = [pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
         made = lambda *columns: pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
         codes, counts, size = [], [], 0
-        for batch in blocks(batches, None):
-            name = f"{folder}/{uuid.uuid4().hex}"
-            put_batch(name, batch)
+        for batch in blocks(batches):
+            name = new_block()
+            put_batch(block_file(folder, name), batch)
             texts, out = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             w = Words(texts, shards)
             learnt = [e for e, h in zip(w.each, out) if not h]
@@ -95,7 +94,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
             cuts = np.searchsorted(shard[at], np.arange(shards + 1))
             there = [s for s in range(shards) if cuts[s] < cuts[s + 1]]
             mine = [at[cuts[s] : cuts[s + 1]] for s in there]
-            yield made(["grams"] * len(there), there, [""] * len(there), [squeezed(c[m]) for m in mine], [squeezed(k[m].astype("<u8")) for m in mine], [int(k[m].sum()) for m in mine])
+            yield made(["grams"] * len(there), there, [0] * len(there), [squeezed(c[m]) for m in mine], [squeezed(k[m].astype("<u8")) for m in mine], [int(k[m].sum()) for m in mine])
 
     def merged(codes, counts):
         codes, counts = np.concatenate(codes), np.concatenate(counts)
@@ -115,7 +114,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
             distinct = sum(1 for k in total.values() if k)
             for j, (name, w) in enumerate(zip(names, lists)):
                 n = np.fromiter(map(total.__getitem__, w), "<u8", len(w))
-                yield pa.record_batch([pa.array([name]), pa.array([shard], pa.int32()), pa.array([squeezed(n)], pa.binary()), pa.array([distinct * (j == 0)], pa.int64())], names=["block", "shard", "data", "distinct"])
+                yield pa.record_batch([pa.array([name], pa.int64()), pa.array([shard], pa.int32()), pa.array([squeezed(n)], pa.binary()), pa.array([distinct * (j == 0)], pa.int64())], names=["block", "shard", "data", "distinct"])
 
     def count_grams(batches):
         for _, (_, codes, counts) in grouped(batches):
@@ -131,12 +130,12 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
                     part = some[i : i + 50_000]
                     yield pa.record_batch([pa.array(np.full(len(part), length, np.int32)), pa.array(part.view(np.int64)), pa.array(n[i : i + 50_000])], names=["length", "code", "n"])
 
-    sent = written(rows.mapInArrow(gather, "kind string, shard int, block string, words binary, counts binary, n long"), "gathered")
+    sent = written(rows.mapInArrow(gather, "kind string, shard int, block long, words binary, counts binary, n long"), "gathered")
     totals = {r["kind"]: r["n"] for r in sent.groupBy("kind").agg(F.sum("n").alias("n")).collect()}  # four kinds
     size, trained = totals.get("grams", 0), totals.get("docs", 0)
     least = max(1, int(np.ceil(share * size)))
     asked = sent.where("kind = 'words'").select("shard", "block", "words", "counts")
-    told = written(asked.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(count_words, "block string, shard int, data binary, distinct long"), "words")
+    told = written(asked.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(count_words, "block long, shard int, data binary, distinct long"), "words")
     tokens = totals.get("tokens", 0) + trained
     distinct = (told.agg(F.sum("distinct")).first()[0] or 0) + (trained > 0)
     found = sent.where("kind = 'grams'").select("shard", "words", "counts").repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(count_grams, "length int, code long, n long")
@@ -153,7 +152,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     def score(batches):
         trie = held_trie.value
         for name, (_, shard, data) in grouped(batches):
-            batch = get_batch(name)
+            batch = get_batch(block_file(folder, name))
             texts = batch.column(1).to_pylist()
             w = Words(texts, shards)
             counts = np.zeros(len(w.words) + 1, np.int64)

@@ -19,7 +19,11 @@ def put(uri: str, write) -> None:
     other = f"{path}.{uuid.uuid4().hex}.part"
     with fs.open_output_stream(other, compression=None) as out:
         write(out)
-    fs.move(other, path)
+    try:
+        fs.move(other, path)
+    except OSError:  # some stores don't move over what an earlier attempt has left
+        fs.delete_file(path)
+        fs.move(other, path)
 
 
 def put_batch(uri: str, batch: pa.RecordBatch) -> None:

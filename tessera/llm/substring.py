@@ -8,7 +8,7 @@ holds them, and the shard answers each block once. Hot passages therefore cost a
 
 from __future__ import annotations
 
-import uuid
+import secrets
 
 import numpy as np
 import pyarrow as pa
@@ -87,7 +87,16 @@ class Block:
         return np.where(self.known, self.ids, NONE)
 
 
-def blocks(batches, columns):
+def new_block() -> int:
+    """A number that no other block has, nor another attempt at the same one."""
+    return secrets.randbits(63)
+
+
+def block_file(folder: str, block: int) -> str:
+    return f"{folder}/{block:016x}"
+
+
+def blocks(batches):
     """Record batches joined up to BLOCK bytes of text."""
     held, size = [], 0
     for b in batches:
@@ -150,11 +159,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def anchors(batches):
         hashes = Hashes()
-        for batch in blocks(batches, None):
-            name = f"{folder}/{uuid.uuid4().hex}"
-            put_batch(name, batch)
+        for batch in blocks(batches):
+            name = new_block()
+            put_batch(block_file(folder, name), batch)
             b = Block(batch, size, hashes)
-            yield pa.record_batch([pa.array([-1], pa.int32()), pa.array([name]), pa.array([b""], pa.binary())], names=["shard", "block", "data"])
+            yield pa.record_batch([pa.array([-1], pa.int32()), pa.array([name], pa.int64()), pa.array([b""], pa.binary())], names=["shard", "block", "data"])
             if not len(b.start):
                 continue
             new = np.ones(len(b.start), bool)
@@ -171,7 +180,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             order = np.argsort(shard, kind="stable")
             data, cuts = data[order], np.searchsorted(shard[order], np.arange(shards + 1))
             there = [s for s in range(shards) if cuts[s] < cuts[s + 1]]
-            yield pa.record_batch([pa.array(there, pa.int32()), pa.array([name] * len(there)), pa.array([data[cuts[s] : cuts[s + 1]].tobytes() for s in there], pa.binary())], names=["shard", "block", "data"])
+            yield pa.record_batch([pa.array(there, pa.int32()), pa.array([name] * len(there), pa.int64()), pa.array([data[cuts[s] : cuts[s + 1]].tobytes() for s in there], pa.binary())], names=["shard", "block", "data"])
 
     def repeated(batches):
         for _, (_, names, data) in grouped(batches):
@@ -190,12 +199,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             cuts = np.searchsorted(source, np.arange(len(names) + 1))
             there = [k for k in range(len(names)) if cuts[k] < cuts[k + 1]]
             if there:
-                yield pa.record_batch([pa.array([names[k] for k in there]), pa.array([gram[cuts[k] : cuts[k + 1]].tobytes() for k in there], pa.binary())], names=["block", "data"])
+                yield pa.record_batch([pa.array([names[k] for k in there], pa.int64()), pa.array([gram[cuts[k] : cuts[k + 1]].tobytes() for k in there], pa.binary())], names=["block", "data"])
 
     def segments(batches):
         hashes = Hashes()
         for name, (_, data) in grouped(batches):
-            b = Block(get_batch(name), size, hashes)
+            b = Block(get_batch(block_file(folder, name)), size, hashes)
             first, count, gram, doc = runs(b, np.sort(np.frombuffer(b"".join(data), "<u8")))
             if not len(first):
                 continue
@@ -208,8 +217,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             np.minimum.at(least, number, owner)
             hashed = np.zeros(len(index), np.uint64)
             hashed[number] = gram
-            put_batch(f"{name}.runs", pa.record_batch([pa.array(first), pa.array(count), pa.array(number), pa.array(least[number])], names=["first", "count", "number", "least"]))
-            yield pa.record_batch([pa.array(hashed.view(np.int64)), pa.array([name] * len(index)), pa.array(np.arange(len(index))), pa.array(list(index), pa.binary()), pa.array(least)], names=["gram", "block", "number", "words", "least"])
+            put_batch(block_file(folder, name) + ".runs", pa.record_batch([pa.array(first), pa.array(count), pa.array(number), pa.array(least[number])], names=["first", "count", "number", "least"]))
+            yield pa.record_batch([pa.array(hashed.view(np.int64)), pa.array([name] * len(index), pa.int64()), pa.array(np.arange(len(index))), pa.array(list(index), pa.binary()), pa.array(least)], names=["gram", "block", "number", "words", "least"])
 
     def searched(rows):
         gram, names, number, words, least = rows
@@ -233,13 +242,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         lo, hi = fm.search(lambda k: laid[start + k], size)
         found = interval_minima(owner[np.minimum(fm.sequence[fm.suffixes], len(owner) - 1)], lo, hi)
         by = np.minimum.reduceat(found, begin)
-        answers: dict[str, list] = {}
+        answers: dict[int, list] = {}
         for k in np.flatnonzero(by[seg] < least).tolist():
             s = seg[k]
             answers.setdefault(names[k], []).append((number[k], found[begin[s] : begin[s] + windows[s]]))
         there = list(answers)
         data = [np.concatenate([np.concatenate([[k, len(x)], x]) for k, x in answers[n]]).astype("<i8").tobytes() for n in there]
-        return pa.record_batch([pa.array(there, pa.string()), pa.array(data, pa.binary())], names=["block", "data"])
+        return pa.record_batch([pa.array(there, pa.int64()), pa.array(data, pa.binary())], names=["block", "data"])
 
     def answers(batches):
         rows = [[] for _ in range(5)]
@@ -255,13 +264,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def kept(batches):
         hashes = Hashes()
         for name, (_, data) in grouped(batches):
-            batch = get_batch(name)
+            batch = get_batch(block_file(folder, name))
             data = [x for x in data if x]
             b = Block(batch, NONE, hashes)
             edge = np.zeros(len(b.words) + size + 1, np.int32)
-            from_runs = f"{name}.runs"
             if any(x == b"runs" for x in data):
-                r = get_batch(from_runs)
+                r = get_batch(block_file(folder, name) + ".runs")
                 first, count, number, least = (r.column(k).to_numpy() for k in range(4))
                 spread = np.repeat(np.arange(len(first)), count)
                 place = np.arange(len(spread)) - np.repeat(np.cumsum(count) - count, count)
@@ -292,10 +300,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield from out.to_batches(max_chunksize=1000)
 
     arrow_rows(spark, 1000)
-    sent = written(held.mapInArrow(anchors, "shard int, block string, data binary"), "anchors")
-    asked = sent.where("shard >= 0").repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(repeated, "block string, data binary")
-    found = written(asked.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(segments, "gram long, block string, number long, words binary, least long"), "segments")
-    told = found.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(answers, "block string, data binary")
+    sent = written(held.mapInArrow(anchors, "shard int, block long, data binary"), "anchors")
+    asked = sent.where("shard >= 0").repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(repeated, "block long, data binary")
+    found = written(asked.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(segments, "gram long, block long, number long, words binary, least long"), "segments")
+    told = found.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(answers, "block long, data binary")
     having = found.select("block").distinct().select("block", F.lit(b"runs").alias("data"))
     every = sent.where("shard < 0").select("block", "data").union(having).union(told)
     schema = ", ".join(["n_words long", "n_removed long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields)])
