@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import session
+from ..session import shared_path
+
+__all__ = ["WORD_PATTERN", "arrow_rows", "connected", "shared_path", "table", "utf8", "written"]
+
 #: Characters that separate words: 0x20 and 0x09-0x0D, which is what bytes.split() splits at.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -16,32 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Set here only where it is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
-        if not root:
-            root = "file://" + tempfile.mkdtemp(prefix="tessera-")
-            spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path below the shared folder, removed when the driver's JVM ends."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/tessera-{tag}-{uuid.uuid4().hex}")
-    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.deleteOnExit(where)
-    path = fs.makeQualified(where).toString()  # with its scheme: others than Spark open it too
-    return path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
-
-
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a table in the shared folder: lineage ends there, and lost executors cost only a reread."""
-    spark = df.sparkSession
-    path = shared_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """df as a table in the shared folder: lineage ends there, and lost executors cost only a reread.
+
+    Spark drops the shuffle files of what is no longer referred to when the driver collects its garbage, so that is asked for.
+    """
+    out = session.written(df, tag)
+    del df
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def arrow_rows(spark: SparkSession, rows: int) -> None:
