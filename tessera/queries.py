@@ -159,10 +159,16 @@ def phf_bucket_hist(spark, sf):
     return static.bucket_sizes(dim, "c_name", 1024)
 
 
+def hashed(spark, sf) -> DataFrame:
+    """Minimal perfect hashes of shards of about 10,000 customers, so that a task's share stays the same at any size."""
+    dim = table(spark, sf, "customer")
+    return static.perfect_hash(dim, "c_name", max(8, -(-dim.count() // 10_000)))
+
+
 @query("SELECT c_name AS key, TRUE AS own_slot FROM customer")
 def phf_slots(spark, sf):
-    """Every key of the minimal perfect hashes of sixteen shards of the customers, and whether its slot is its own."""
-    made = static.perfect_hash(table(spark, sf, "customer"), "c_name", 16)
+    """Every key of the perfect hashes of the customers, and whether its slot is its own."""
+    made = hashed(spark, sf)
     shared = made.groupBy("shard", "slot").agg(F.count("*").alias("n"))
     fits = (F.col("n") == 1) & (F.col("slot") >= 0) & (F.col("slot") < F.col("table_size"))
     return made.join(shared, ["shard", "slot"]).select("key", fits.alias("own_slot"))
@@ -170,7 +176,7 @@ def phf_slots(spark, sf):
 
 @query("SELECT count(*) AS keys, 32.0::DOUBLE AS bits_per_key FROM customer")
 def phf_structure(spark, sf):
-    return static.structure(static.perfect_hash(table(spark, sf, "customer"), "c_name", 16)).select("keys", "bits_per_key")
+    return static.structure(hashed(spark, sf)).select("keys", "bits_per_key")
 
 
 def points(spark, sf) -> DataFrame:

@@ -9,10 +9,11 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from ..functions.hashing import bucket_of
 
@@ -81,6 +82,13 @@ def _manifest(fs, base: str) -> dict:
         return {}
 
 
+ARROW = pa.schema([("bucket", pa.int32()), ("seq", pa.int64()), ("op", pa.int32()), ("key", pa.string()), ("value", pa.string())])
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), ARROW)], schema=ARROW)
+
+
 class OplogReader(DataSourceReader):
     def __init__(self, path: str):
         self.path = path
@@ -92,14 +100,20 @@ class OplogReader(DataSourceReader):
     def read(self, partition):
         fs, base = _opened(self.path)
         at = 0
+        held: list[tuple] = []
         for name in _manifest(fs, base).get("files", {}).get(str(partition.number), []):
             with fs.open_input_stream(f"{base}/{name}", compression=None) as src:
                 for op, k, v in records(src):
-                    yield partition.number, at, op, k, v
+                    held.append((partition.number, at, op, k, v))
                     at += 1
+                    if len(held) >= 4096:
+                        yield _batch(held)
+                        held = []
+        if held:
+            yield _batch(held)
 
 
-class OplogWriter(DataSourceWriter):
+class OplogWriter(DataSourceArrowWriter):
     """Rows (bucket, op, key, value) in order; a task writes a file for each bucket that it has. Files count once committed."""
 
     def __init__(self, path: str, buckets: int, overwrite: bool):
@@ -113,14 +127,15 @@ class OplogWriter(DataSourceWriter):
         fs, base = _opened(self.path)
         fs.create_dir(base, recursive=True)
         names, out, now = [], None, None
-        for row in iterator:
-            if out is None or row["bucket"] != now:
-                if out is not None:
-                    out.close()
-                now = row["bucket"]
-                names.append((now, f"bucket_{now}-{uuid.uuid4().hex}.dat"))
-                out = fs.open_output_stream(f"{base}/{names[-1][1]}", compression=None)
-            out.write(record(row["op"], (row["key"] or "").encode(), (row["value"] or "").encode()))
+        for b in iterator:
+            for bucket, op, key, value in zip(*(b.column(k).to_pylist() for k in ("bucket", "op", "key", "value"))):
+                if out is None or bucket != now:
+                    if out is not None:
+                        out.close()
+                    now = bucket
+                    names.append((now, f"bucket_{now}-{uuid.uuid4().hex}.dat"))
+                    out = fs.open_output_stream(f"{base}/{names[-1][1]}", compression=None)
+                out.write(record(op, (key or "").encode(), (value or "").encode()))
         if out is not None:
             out.close()
         return Done(names)
