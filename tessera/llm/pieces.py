@@ -20,7 +20,7 @@ from .common import arrow_rows, utf8
 
 SPACE = "▁"
 #: Marked words whose ids a worker keeps, and pairs of pieces whose boundary it has judged.
-CACHED = 200_000
+CACHED = 300_000
 UNSEEN = 10.0
 NEVER = float("inf")
 
@@ -41,9 +41,11 @@ class Pieces:
         for b, i in self.byte_ids.items():
             self.raw[i] = bytes([b])
         self.known: dict[str, bytes] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.before: dict[str, bytes] = {}
+        self.fits: dict[int, bool] = {}
+        self.coded = [np.array([i], "<i4").tobytes() for i in range(len(pieces))]
         self.parts: dict[int, tuple[int, int]] = {}
-        self.whole = set(self.ids.values())
+        self.whole = dict(self.ids)  # pieces that merges can lead to
         if merges:
             for p, i in self.ids.items():
                 if len(p) > 1:
@@ -51,7 +53,7 @@ class Pieces:
                     if self.merged(p, last) == [i]:
                         self.parts[i] = last[-1]
                     else:
-                        self.whole.discard(i)
+                        del self.whole[p]
 
     @classmethod
     def load(cls, file: str) -> Pieces:
@@ -96,71 +98,88 @@ class Pieces:
 
     def apart(self, a: int, b: int) -> bool:
         """Whether no merge crosses the boundary of two pieces before both are whole."""
-        found = self.fits.get((a, b))
-        if found is None:
-            found = True
-            for x, xb, xd in self.spine(a, 1):
-                for y, yb, yd in self.spine(b, 0):
-                    i = self.ids.get(self.text[x] + self.text[y])
-                    if i is not None:
-                        when = max(-self.score[i], xb, yb)
-                        if when < xd and when <= yd:
-                            found = False
-            if len(self.fits) > 4 * CACHED:
-                self.fits.clear()
-            self.fits[a, b] = found
-        return found
+        for x, xb, xd in self.spine(a, 1):
+            for y, yb, yd in self.spine(b, 0):
+                i = self.ids.get(self.text[x] + self.text[y])
+                if i is not None:
+                    when = max(-self.score[i], xb, yb)
+                    if when < xd and when <= yd:
+                        return False
+        return True
 
     def spelled(self, text: str) -> list[int]:
         """Ids of a character that is in no piece."""
         return [self.byte_ids[b] for b in text.encode()] if len(self.byte_ids) == 256 else [self.unknown]
 
     def walk(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of sorted distinct marked words. Position k of the stack has the forward state of the first k characters."""
+        """Ids of sorted distinct marked words."""
         out, before = {}, ""
-        state: list[tuple] = [(0.0, -1, 0)]  # score, last piece, its length
+        reach = self.reach_merged if self.merges else self.reach_best
+        # At k: the last piece of the first k characters (-1: a character of no piece), where it begins, and their score.
+        last, begin, total = [-1], [0], [0.0]
         for word in words:
             if self.merges and SPACE * 3 in word:  # runs of spaces have equal scores: merged one by one
-                ids = self.merged(word)
-                out[word] = self.packed(ids, word)
+                out[word] = self.packed(self.merged(word), word)
                 continue
             same = 0
             for p, q in zip(before, word):
                 if p != q:
                     break
                 same += 1
-            del state[same + 1 :]
-            for k in range(same + 1, len(word) + 1):
-                state.append(self.forward(word, k, state))
+            del last[same + 1 :], begin[same + 1 :], total[same + 1 :]
+            reach(word, same + 1, last, begin, total)
             before = word
             ids, k = [], len(word)
             while k:
-                _, i, n = state[k]
-                ids.append(i)
-                k -= n
-            out[word] = self.packed(ids[::-1], word)
+                ids.append(last[k])
+                k = begin[k]
+            ids.reverse()
+            out[word] = self.packed(ids, word)
         return out
 
-    def forward(self, word: str, k: int, state: list[tuple]) -> tuple:
-        if self.merges:
-            for n in range(min(self.longest, k), 0, -1):
-                i = self.ids.get(word[k - n : k])
-                if i is not None and i in self.whole:
-                    last = state[k - n][1] if k > n else -1
-                    if k == n or last == -1 or self.apart(last, i):
-                        return (0.0, i, n)
-            return (0.0, -1, 1)
-        best = (-NEVER, -1, 1) if word[k - 1] in self.ids else (state[k - 1][0] + self.least, -1, 1)
-        for n in range(1, min(self.longest, k) + 1):
-            i = self.ids.get(word[k - n : k])
-            if i is not None and state[k - n][0] + self.score[i] > best[0]:
-                best = (state[k - n][0] + self.score[i], i, n)
-        return best
+    def reach_merged(self, word: str, start: int, last: list, begin: list, total: list) -> None:
+        """Appends the states of longer prefixes: the one last piece that no merge joins to what stands before it."""
+        whole, fits, longest = self.whole.get, self.fits, self.longest
+        for k in range(start, len(word) + 1):
+            for s in range(k - 1, (k - longest if k > longest else 0) - 1, -1):  # one fits; short ones are likelier
+                i = whole(word[s:k])
+                if i is None:
+                    continue
+                p = last[s]
+                if s and p >= 0:
+                    pair = p << 32 | i
+                    ok = fits.get(pair)
+                    if ok is None:
+                        if len(fits) > 4 * CACHED:
+                            fits.clear()
+                        fits[pair] = ok = self.apart(p, i)
+                    if not ok:
+                        continue
+                last.append(i)
+                begin.append(s)
+                break
+            else:
+                last.append(-1)
+                begin.append(k - 1)
+            total.append(0.0)
+
+    def reach_best(self, word: str, start: int, last: list, begin: list, total: list) -> None:
+        """Appends the forward scores of longer prefixes: the best over their last piece."""
+        for k in range(start, len(word) + 1):
+            best = (-NEVER, -1, k - 1) if word[k - 1] in self.ids else (total[k - 1] + self.least, -1, k - 1)
+            for s in range(k - 1, max(0, k - self.longest) - 1, -1):
+                i = self.ids.get(word[s:k])
+                if i is not None and total[s] + self.score[i] > best[0]:
+                    best = (total[s] + self.score[i], i, s)
+            total.append(best[0])
+            last.append(best[1])
+            begin.append(best[2])
 
     def packed(self, ids: list[int], word: str) -> bytes:
         if -1 not in ids:
-            return np.array(ids, "<i4").tobytes()
-        full, at, unknown = [], 0, False
+            return b"".join([self.coded[i] for i in ids])
+        full: list[int] = []
+        at, unknown = 0, False
         for i in ids:
             if i >= 0:
                 full.append(i)
@@ -181,12 +200,14 @@ class Pieces:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each whole text."""
         cut = [self.units(t) for t in texts]
-        new = {u for c in cut for u in c if u not in self.known}
-        if new:
-            if len(self.known) + len(new) > CACHED:
-                self.known.clear()
-                new = {u for c in cut for u in c}
-            self.known |= self.walk(sorted(new))
+        need = {u for c in cut for u in c}.difference(self.known)
+        if need:
+            if len(self.known) > CACHED:  # what has been of no use since the last time goes
+                self.before, self.known = self.known, {}
+                need = {u for c in cut for u in c}
+            again = need.intersection(self.before)
+            self.known.update((u, self.before[u]) for u in again)
+            self.known.update(self.walk(sorted(need - again)))
         get = self.known.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
@@ -219,9 +240,9 @@ def encoded(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str =
         pieces = held(file)
         for b in batches:
             texts = b.column(1).to_pylist()
+            coded = pieces.encode([t.decode() for t in texts])  # the more words at once, the longer the prefixes that they share
             for k in range(0, len(texts), 200):
-                part = texts[k : k + 200]
-                ids = pieces.encode([t.decode() for t in part])
+                part, ids = texts[k : k + 200], coded[k : k + 200]
                 whole = [pieces.decode(i) == t for i, t in zip(ids, part)]
                 sizes = np.array([len(i) // 4 for i in ids], np.int64)
                 flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
