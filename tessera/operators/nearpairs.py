@@ -42,16 +42,20 @@ def naive_pairs(points: DataFrame, threshold: float) -> DataFrame:
 
 
 def grid_pairs(points: DataFrame, threshold: float) -> DataFrame:
-    """The same pairs by an equi-join: cells as wide as the threshold, one side in its own cell, the other in all 27 around."""
+    """The same pairs by an equi-join: cells as wide as the threshold, one side in its own cell, the other in its own and the 13
+    that follow it among the 26 around, so that each pair of cells meets once."""
     if not threshold > 0:
         raise ValueError("the threshold must be positive")
     at = [F.floor(F.col(c) / threshold).alias(f"c{c}") for c in "xyz"]
     own = points.select("pos", "x", "y", "z", *at)
-    shift = F.array(*[F.struct(*[F.lit(v).cast("long").alias(k) for k, v in zip("xyz", (i, j, k))]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
-    near = own.select("pos", "x", "y", "z", "cx", "cy", "cz", F.explode(shift).alias("s")).select("pos", "x", "y", "z", *[(F.col(f"c{c}") + F.col(f"s.{c}")).alias(f"c{c}") for c in "xyz"])
+    steps = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) >= (0, 0, 0)]
+    shift = F.array(*[F.struct(*[F.lit(v).cast("long").alias(k) for k, v in zip("xyz", step)], F.lit(step == (0, 0, 0)).alias("home")) for step in steps])
+    near = own.select("pos", "x", "y", "z", "cx", "cy", "cz", F.explode(shift).alias("s")).select("pos", "x", "y", "z", "s.home", *[(F.col(f"c{c}") + F.col(f"s.{c}")).alias(f"c{c}") for c in "xyz"])
     a, b = own.alias("a"), near.alias("b")
     same = (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("a.cz") == F.col("b.cz"))
-    return a.join(b, same & (F.col("a.pos") < F.col("b.pos")) & (squared_distance("a", "b") < threshold * threshold)).select(F.col("a.pos").alias("lo"), F.col("b.pos").alias("hi"))
+    once = ~F.col("b.home") | (F.col("a.pos") < F.col("b.pos"))
+    pairs = a.join(b, same & once & (squared_distance("a", "b") < threshold * threshold))
+    return pairs.select(F.least("a.pos", "b.pos").alias("lo"), F.greatest("a.pos", "b.pos").alias("hi"))
 
 
 def cells(points: DataFrame, tables: Tables) -> DataFrame:
