@@ -47,13 +47,21 @@ def height(rows: DataFrame, path: str = "path") -> DataFrame:
     return rows.agg(F.coalesce(F.max(F.size(path)), F.lit(0)).alias("depth"))
 
 
-def layout(totals: DataFrame) -> DataFrame:
-    """With parent, offset (where a node starts among its parent's children, by their order) and percent of its level's root sum."""
-    nodes = totals.withColumn("parent", F.expr("slice(prefix, 1, size(prefix) - 1)"))
-    before = F.sum("total").over(Window.partitionBy("parent").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1))
+def layout(totals: DataFrame, segment: Column | None = None) -> DataFrame:
+    """With parent, offset (where a node starts among its parent's children, by their order) and percent of its level's root sum.
+
+    segment, monotone in the order of siblings, cuts a parent's children into groups that one task can sort; sums of earlier
+    segments are added. Without it a parent's children are sorted in one task.
+    """
+    nodes = totals.withColumn("parent", F.expr("slice(prefix, 1, size(prefix) - 1)")).withColumn("_s", F.lit(0) if segment is None else segment)
+    inside = F.sum("total").over(Window.partitionBy("parent", "_s").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1))
+    sums = nodes.groupBy("parent", "_s").agg(F.sum("total").alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy("parent").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1))
+    before = sums.select(F.col("parent").alias("_p"), F.col("_s").alias("_t"), F.coalesce(earlier, F.lit(0)).alias("_b"))
     whole = totals.where("depth = 1").agg(F.sum("total").alias("whole"))
-    out = nodes.withColumn("offset", F.coalesce(before, F.lit(0))).join(whole)
-    return out.select("prefix", "parent", "depth", "total", "offset", (100 * F.col("total") / F.col("whole")).alias("percent"))
+    told = nodes.withColumn("_i", F.coalesce(inside, F.lit(0)))
+    out = told.join(before, told["parent"].eqNullSafe(before["_p"]) & told["_s"].eqNullSafe(before["_t"])).join(whole)
+    return out.select("prefix", "parent", "depth", "total", (F.col("_i") + F.col("_b")).alias("offset"), (100 * F.col("total") / F.col("whole")).alias("percent"))
 
 
 def focus(totals: DataFrame, name: Column) -> DataFrame:

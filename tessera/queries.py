@@ -410,7 +410,8 @@ def profile(spark, sf) -> DataFrame:
     """parts as rows of a profile's top table."""
     text = F.concat(F.lit("  0.1s  1.00%  2.00%  "), F.col("p_retailprice").cast("decimal(18,2)"), F.lit("ms  3.00%  "), F.replace("p_type", F.lit(" "), F.lit(".")))
     rows = table(spark, sf, "part").select(text.alias("value"))
-    return measure.parse_top(rows.union(rows.limit(1).select(F.lit("      flat  flat%   sum%        cum   cum%"))), formats.nanoseconds)
+    head = spark.range(1).select(F.lit("      flat  flat%   sum%        cum   cum%").alias("value"))
+    return measure.parse_top(rows.union(head), formats.nanoseconds)
 
 
 TOP8 = f"SELECT row_number() OVER (ORDER BY first DESC, cum DESC, name) AS place, name, round(cum, 2) AS cum FROM (SELECT *, CASE WHEN starts_with(name, 'ECONOMY') THEN 1 ELSE 0 END AS first FROM ({TOPPED}) WHERE NOT starts_with(name, 'SMALL')) ORDER BY first DESC, cum DESC, name LIMIT 8"
@@ -461,7 +462,7 @@ def stack_prefix_totals(spark, sf):
 
 @query(f"WITH t AS (SELECT prefix, CAST(len(prefix) AS INTEGER) AS depth, CAST(sum(value) AS BIGINT) AS total FROM (SELECT list_slice(path, 1, k) AS prefix, value FROM (SELECT path, value, unnest(range(1, len(path) + 1)) AS k FROM ({PATHS}) WHERE value > 0)) GROUP BY prefix) SELECT array_to_string(prefix, '/') AS prefix, depth, total, CAST(coalesce(sum(total) OVER (PARTITION BY list_slice(prefix, 1, depth - 1) ORDER BY prefix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\", round(100.0 * total / (SELECT sum(total) FROM t WHERE depth = 1), 6) AS percent FROM t")
 def stack_sibling_offsets(spark, sf):
-    got = stacks.layout(totals(spark, sf))
+    got = stacks.layout(totals(spark, sf), F.substring(F.element_at("prefix", -1), 1, 2))
     return got.select(F.concat_ws("/", "prefix").alias("prefix"), "depth", "total", "offset", F.round("percent", 6).alias("percent"))
 
 
