@@ -4,6 +4,8 @@ A shard can't hold all documents, nor can each document be searched in each shar
 anchor that equal windows share: the smallest hash of the GRAM-word sequences in the window. Runs of windows with one anchor
 are segments. Only segments whose anchor stands in two documents or more reach a shard, once for each block of documents that
 holds them, and the shard answers each block once. Hot passages therefore cost a row for each block, not for each document.
+Around a hot passage each document has segments of its own, with one anchor; a crowded anchor's segments are split into windows,
+which equal windows leave together again, so no anchor fills a task.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ GRAM = 5
 #: Bytes of text in a block, and rows of segments that one FM-index takes (whole anchors, so one anchor may exceed it).
 BLOCK = 8 << 20
 INDEX = 60_000
+#: Rows of segments with one anchor beyond which its windows are dealt out one by one, by their own hash.
+CROWDED = 1000
 NONE = np.iinfo(np.int64).max
 FREE = np.iinfo(np.int64).min
 WORDS = 200_000
@@ -220,12 +224,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             put_batch(block_file(folder, name) + ".runs", pa.record_batch([pa.array(first), pa.array(count), pa.array(number), pa.array(least[number])], names=["first", "count", "number", "least"]))
             yield pa.record_batch([pa.array(hashed.view(np.int64)), pa.array([name] * len(index), pa.int64()), pa.array(np.arange(len(index))), pa.array(list(index), pa.binary()), pa.array(least)], names=["gram", "block", "number", "words", "least"])
 
-    def searched(rows):
-        gram, names, number, words, least = rows
-        index: dict[bytes, int] = {}
-        seg = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words))
+    def windows(batches):
+        """Rows of crowded anchors as rows of their windows, under the windows' hash."""
+        for b in batches:
+            for i in range(0, b.num_rows, 200):
+                out = [[] for _ in range(6)]
+                for block, number, words, least in zip(*(b.column(k).slice(i, 200).to_pylist() for k in range(4))):
+                    w = words.split(b" ")
+                    for k in range(len(w) - size + 1):
+                        text = b" ".join(w[k : k + size])
+                        for column, v in zip(out, (xxhash.xxh64_intdigest(text) - (1 << 63), block, number, k, text, least)):
+                            column.append(v)
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(out, kinds)], names=["gram", "block", "number", "place", "words", "least"])
+
+    def searched(index, rows):
+        block, number, place, least, seg = (np.concatenate(x) for x in zip(*rows))
         owner = np.full(len(index), NONE)
-        least = np.array(least, np.int64)
         np.minimum.at(owner, seg, least)
         symbols: dict[bytes, int] = {}
         laid, sizes = [], []
@@ -236,30 +251,36 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         laid, sizes = np.array(laid, np.int64), np.array(sizes, np.int64)
         ends = np.cumsum(sizes)
         fm = FMIndex(laid, ends)
-        windows = sizes - size + 1
-        begin = np.cumsum(windows) - windows
-        start = np.arange(windows.sum()) - np.repeat(begin - (ends - sizes), windows)
+        count = sizes - size + 1
+        begin = np.cumsum(count) - count
+        start = np.arange(count.sum()) - np.repeat(begin - (ends - sizes), count)
         lo, hi = fm.search(lambda k: laid[start + k], size)
         found = interval_minima(owner[np.minimum(fm.sequence[fm.suffixes], len(owner) - 1)], lo, hi)
-        by = np.minimum.reduceat(found, begin)
-        answers: dict[int, list] = {}
-        for k in np.flatnonzero(by[seg] < least).tolist():
-            s = seg[k]
-            answers.setdefault(names[k], []).append((number[k], found[begin[s] : begin[s] + windows[s]]))
-        there = list(answers)
-        data = [np.concatenate([np.concatenate([[k, len(x)], x]) for k, x in answers[n]]).astype("<i8").tobytes() for n in there]
-        return pa.record_batch([pa.array(there, pa.int64()), pa.array(data, pa.binary())], names=["block", "data"])
+        told = np.flatnonzero(np.minimum.reduceat(found, begin)[seg] < least)
+        told = told[np.argsort(block[told], kind="stable")]
+        cuts = np.flatnonzero(np.concatenate([[True], block[told][1:] != block[told][:-1], [True]])) if len(told) else np.zeros(1, np.int64)
+        data = []
+        for a, c in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            parts = [x for k in told[a:c].tolist() for x in ((number[k], place[k], count[seg[k]]), found[begin[seg[k]] : begin[seg[k]] + count[seg[k]]])]
+            data.append(np.concatenate(parts).astype("<i8").tobytes())
+        return pa.record_batch([pa.array(block[told[cuts[:-1]]]), pa.array(data, pa.binary())], names=["block", "data"])
 
     def answers(batches):
-        rows = [[] for _ in range(5)]
-        for _, cols in grouped(batches):
-            for out, c in zip(rows, cols):
-                out += c
-            if len(rows[0]) >= INDEX:
-                yield searched(rows)
-                rows = [[] for _ in range(5)]
-        if rows[0]:
-            yield searched(rows)
+        index: dict[bytes, int] = {}
+        rows, last = [], None
+        for b in batches:
+            gram, block, number, place, least = (b.column(k).to_numpy() for k in (0, 1, 2, 3, 5))
+            words = b.column(4).to_pylist()
+            cuts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1], [True]])) if len(gram) else np.zeros(1, np.int64)
+            for a, c in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if gram[a] != last and len(index) >= INDEX:  # an index takes whole anchors
+                    yield searched(index, rows)
+                    index, rows = {}, []
+                last = gram[a]
+                seg = np.fromiter((index.setdefault(w, len(index)) for w in words[a:c]), np.int64, c - a)
+                rows.append((block[a:c], number[a:c], place[a:c], least[a:c], seg))
+        if rows:
+            yield searched(index, rows)
 
     def kept(batches):
         hashes = Hashes()
@@ -274,15 +295,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 spread = np.repeat(np.arange(len(first)), count)
                 place = np.arange(len(spread)) - np.repeat(np.cumsum(count) - count, count)
                 owner = least[spread]
-                flat = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(x, "<i8") for x in data if x != b"runs"]])
-                at, where = 0, {}
-                while at < len(flat):
-                    where[int(flat[at])] = at + 2
-                    at += 2 + int(flat[at + 1])
-                if where:
-                    base = np.array([where.get(k, -1) for k in number.tolist()])[spread]
-                    told = base >= 0
-                    owner[told] = np.minimum(owner[told], flat[base[told] + place[told]])
+                windows_of = np.zeros(int(number.max()) + 1, np.int64)
+                windows_of[number] = count
+                base = np.cumsum(windows_of) - windows_of
+                low = np.full(int(windows_of.sum()), NONE)
+                for flat in (np.frombuffer(x, "<i8") for x in data if x != b"runs"):
+                    at = 0
+                    while at < len(flat):
+                        k, n = base[flat[at]] + flat[at + 1], int(flat[at + 2])
+                        low[k : k + n] = np.minimum(low[k : k + n], flat[at + 3 : at + 3 + n])
+                        at += 3 + n
+                owner = np.minimum(owner, low[base[number[spread]] + place])
                 start = first[spread] + place
                 own = np.where(b.known, b.ids, FREE)[b.doc[start]]
                 start = start[owner < own]
@@ -303,7 +326,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sent = written(held.mapInArrow(anchors, "shard int, block long, data binary"), "anchors")
     asked = sent.where("shard >= 0").repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(repeated, "block long, data binary")
     found = written(asked.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(segments, "gram long, block long, number long, words binary, least long"), "segments")
-    told = found.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(answers, "block long, data binary")
+    crowded = written(found.groupBy("gram").count().where(F.col("count") > CROWDED).select("gram"), "crowded")  # Spark sees its size and broadcasts it only if small
+    whole = found.join(crowded, "gram", "left_anti").select("gram", "block", "number", F.lit(0).cast("long").alias("place"), "words", "least")
+    split = found.join(crowded, "gram", "left_semi").select("block", "number", "words", "least").mapInArrow(windows, "gram long, block long, number long, place long, words binary, least long")
+    told = whole.union(split).repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(answers, "block long, data binary")
     having = found.select("block").distinct().select("block", F.lit(b"runs").alias("data"))
     every = sent.where("shard < 0").select("block", "data").union(having).union(told)
     schema = ", ".join(["n_words long", "n_removed long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields)])

@@ -28,6 +28,7 @@ def brute(rows, size):
 def test_like_brute_force(spark, monkeypatch):
     monkeypatch.setattr(substring, "BLOCK", 3000)
     monkeypatch.setattr(substring, "INDEX", 20)
+    monkeypatch.setattr(substring, "CROWDED", 5)
     rng = random.Random(5)
     vocabulary = [f"w{k}" for k in range(60)] + ["é", "ß"]
     passages = [[rng.choice(vocabulary) for _ in range(rng.randint(10, 60))] for _ in range(8)]
