@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import session
 from ..session import shared_path
 
-__all__ = ["WORD_PATTERN", "arrow_rows", "connected", "shared_path", "table", "utf8", "written"]
+__all__ = ["WORD_PATTERN", "arrow_rows", "connected", "dropped", "shared_path", "table", "utf8", "written"]
 
 #: Characters that separate words: 0x20 and 0x09-0x0D, which is what bytes.split() splits at.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -29,6 +29,12 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Removes a table of the shared folder that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def arrow_rows(spark: SparkSession, rows: int) -> None:
     """Bounds the rows of an Arrow batch: whole texts may be long, and a batch is held at once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -14,21 +14,10 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, shared_path, utf8, written
 from .ppm import ORDER, SHARE, Trie, grams, kept, shorter, summed
 from .quality import bucket
-from .store import get_batch, put_batch
+from .store import get_batch, put_batch, squeezed, unsqueezed
 from .substring import block_file, blocks, grouped, new_block
 
 
-def squeezed(values: np.ndarray) -> bytes:
-    """An array of unsigned numbers, byte planes apart, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes())
-
-
-def unsqueezed(data: bytes, kind: str) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(raw.reshape(width, -1).T).reshape(-1).view(kind)
-
-
 class Words:
     """The words of a block: number of each token's word, distinct words in order of first use, and their shards' lists."""
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import zstandard
 
 
 def opened(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -38,3 +40,22 @@ def get_batch(uri: str) -> pa.RecordBatch:
     fs, path = opened(uri)
     with fs.open_input_stream(path, compression=None) as src, pa.ipc.open_stream(src) as r:
         return next(iter(r))
+
+
+def squeezed(values: np.ndarray) -> bytes:
+    """An array of numbers, byte planes apart, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes())
+
+
+def unsqueezed(data: bytes, kind: str) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
+def squeezed_sorted(values: np.ndarray) -> bytes:
+    """Ascending unsigned 64-bit numbers by their differences."""
+    return squeezed(np.diff(values, prepend=np.uint64(0)).astype("<u8"))
+
+
+def unsqueezed_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unsqueezed(data, "<u8"), dtype=np.uint64)

@@ -18,9 +18,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, shared_path, written
+from .common import arrow_rows, dropped, shared_path, written
 from .fmindex import FMIndex, interval_minima
-from .store import get_batch, put_batch
+from .store import get_batch, put_batch, squeezed, squeezed_sorted, unsqueezed, unsqueezed_sorted
 
 GRAM = 5
 #: Bytes of text in a block, and rows of segments that one FM-index takes (whole anchors, so one anchor may exceed it).
@@ -31,6 +31,8 @@ CROWDED = 1000
 NONE = np.iinfo(np.int64).max
 FREE = np.iinfo(np.int64).min
 WORDS = 200_000
+#: Bits of an anchor's hash that don't go to the test of what is repeated: a clash only sends a segment in vain.
+CUT = np.uint64(16)
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -115,7 +117,7 @@ def blocks(batches):
 
 
 def runs(block: Block, repeated: np.ndarray):
-    """Segments of a block whose anchor's hash is in repeated (sorted): first window, count of windows, hash, document."""
+    """Segments of a block whose anchor's cut hash is in repeated (sorted): first window, count of windows, hash, document."""
     if not len(block.start) or not len(repeated):
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(0, np.uint64), z
@@ -123,8 +125,8 @@ def runs(block: Block, repeated: np.ndarray):
     new[1:] = block.anchor[1:] != block.anchor[:-1]
     at = np.flatnonzero(new)
     count = np.diff(np.concatenate([at, [len(new)]]))
-    spot = np.minimum(np.searchsorted(repeated, block.gram[at]), len(repeated) - 1)
-    keep = repeated[spot] == block.gram[at]
+    short = block.gram[at] >> CUT
+    keep = repeated[np.minimum(np.searchsorted(repeated, short), len(repeated) - 1)] == short
     first = block.start[at[keep]]
     return first, count[keep], block.gram[at[keep]], block.doc[first]
 
@@ -167,32 +169,32 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             name = new_block()
             put_batch(block_file(folder, name), batch)
             b = Block(batch, size, hashes)
-            yield pa.record_batch([pa.array([-1], pa.int32()), pa.array([name], pa.int64()), pa.array([b""], pa.binary())], names=["shard", "block", "data"])
+            yield pa.record_batch([pa.array([-1], pa.int32()), pa.array([name], pa.int64()), pa.array([b""], pa.binary()), pa.array([b""], pa.binary())], names=["shard", "block", "data", "owners"])
             if not len(b.start):
                 continue
             new = np.ones(len(b.start), bool)
             new[1:] = b.anchor[1:] != b.anchor[:-1]
-            gram, owner = b.gram[new], b.owners()[b.doc[b.start[new]]]
+            gram, owner = b.gram[new] >> CUT, b.owners()[b.doc[b.start[new]]]
             order = np.lexsort((owner, gram))
             gram, owner = gram[order], owner[order]
             first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
             last = np.concatenate([first[1:], [len(gram)]]) - 1
             several = owner[first] != owner[last]
-            data = np.empty(len(first), [("gram", "<u8"), ("owner", "<i8")])
-            data["gram"], data["owner"] = gram[first], np.where(several, FREE, owner[first])
-            shard = (data["gram"] >> np.uint64(20)) % np.uint64(shards)
+            gram, owner = gram[first], np.where(several, FREE, owner[first])
+            shard = gram % np.uint64(shards)
             order = np.argsort(shard, kind="stable")
-            data, cuts = data[order], np.searchsorted(shard[order], np.arange(shards + 1))
+            gram, owner, cuts = gram[order], owner[order], np.searchsorted(shard[order], np.arange(shards + 1))
             there = [s for s in range(shards) if cuts[s] < cuts[s + 1]]
-            yield pa.record_batch([pa.array(there, pa.int32()), pa.array([name] * len(there), pa.int64()), pa.array([data[cuts[s] : cuts[s + 1]].tobytes() for s in there], pa.binary())], names=["shard", "block", "data"])
+            grams, owners = ([f(x[cuts[s] : cuts[s + 1]]) for s in there] for f, x in ((squeezed_sorted, gram), (squeezed, owner)))
+            yield pa.record_batch([pa.array(there, pa.int32()), pa.array([name] * len(there), pa.int64()), pa.array(grams, pa.binary()), pa.array(owners, pa.binary())], names=["shard", "block", "data", "owners"])
 
     def repeated(batches):
-        for _, (_, names, data) in grouped(batches):
-            data = [np.frombuffer(x, [("gram", "<u8"), ("owner", "<i8")]) for x in data]
+        for _, (_, names, data, owners) in grouped(batches):
+            data, owners = [unsqueezed_sorted(x) for x in data], [unsqueezed(x, "<i8") for x in owners]
             source = np.repeat(np.arange(len(data)), [len(x) for x in data])
-            data = np.concatenate(data)
-            order = np.lexsort((data["owner"], data["gram"]))
-            gram, owner, source = data["gram"][order], data["owner"][order], source[order]
+            gram, owner = np.concatenate(data), np.concatenate(owners)
+            order = np.lexsort((owner, gram))
+            gram, owner, source = gram[order], owner[order], source[order]
             first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
             counts = np.diff(np.concatenate([first, [len(gram)]]))
             several = (owner[first] == FREE) | (owner[first] != owner[first + counts - 1])
@@ -203,13 +205,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             cuts = np.searchsorted(source, np.arange(len(names) + 1))
             there = [k for k in range(len(names)) if cuts[k] < cuts[k + 1]]
             if there:
-                yield pa.record_batch([pa.array([names[k] for k in there], pa.int64()), pa.array([gram[cuts[k] : cuts[k + 1]].tobytes() for k in there], pa.binary())], names=["block", "data"])
+                yield pa.record_batch([pa.array([names[k] for k in there], pa.int64()), pa.array([squeezed_sorted(gram[cuts[k] : cuts[k + 1]]) for k in there], pa.binary())], names=["block", "data"])
 
     def segments(batches):
         hashes = Hashes()
         for name, (_, data) in grouped(batches):
             b = Block(get_batch(block_file(folder, name)), size, hashes)
-            first, count, gram, doc = runs(b, np.sort(np.frombuffer(b"".join(data), "<u8")))
+            first, count, gram, doc = runs(b, np.sort(np.concatenate([unsqueezed_sorted(x) for x in data])))
             if not len(first):
                 continue
             owner = b.owners()[doc]
@@ -323,15 +325,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield from out.to_batches(max_chunksize=1000)
 
     arrow_rows(spark, 1000)
-    sent = written(held.mapInArrow(anchors, "shard int, block long, data binary"), "anchors")
+    place = shared_path(spark, "anchors")
+    held.mapInArrow(anchors, "shard int, block long, data binary, owners binary").write.parquet(place)
+    sent = spark.read.parquet(place)
+    marks = written(sent.where("shard < 0").select("block", "data"), "blocks")
     asked = sent.where("shard >= 0").repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(repeated, "block long, data binary")
     found = written(asked.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(segments, "gram long, block long, number long, words binary, least long"), "segments")
+    dropped(spark, place)
     crowded = written(found.groupBy("gram").count().where(F.col("count") > CROWDED).select("gram"), "crowded")  # Spark sees its size and broadcasts it only if small
     whole = found.join(crowded, "gram", "left_anti").select("gram", "block", "number", F.lit(0).cast("long").alias("place"), "words", "least")
     split = found.join(crowded, "gram", "left_semi").select("block", "number", "words", "least").mapInArrow(windows, "gram long, block long, number long, place long, words binary, least long")
     told = whole.union(split).repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(answers, "block long, data binary")
     having = found.select("block").distinct().select("block", F.lit(b"runs").alias("data"))
-    every = sent.where("shard < 0").select("block", "data").union(having).union(told)
+    every = marks.union(having).union(told)
     schema = ", ".join(["n_words long", "n_removed long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields)])
     out = every.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(kept, schema)
     back = {f"c{k}": c for k, c in enumerate(others)} | {"id": id_col, "text": text_col}
