@@ -68,8 +68,13 @@ class FMIndex:
         full[inside] = text
         rank = full + m
         rank[stop] = np.arange(m)
-        depth, longest = 1, int(sizes.max(initial=0)) + 1
-        order = np.argsort(rank, kind="stable")
+        longest, bits = int(sizes.max(initial=0)) + 1, max(1, int(rank.max(initial=0)).bit_length())
+        depth = max(1, 62 // bits)  # as many symbols as a number holds make the first prefix
+        padded = np.concatenate([rank, np.zeros(depth, np.int64)])
+        rank = padded[:n].copy()
+        for k in range(1, depth):
+            rank = (rank << bits) | padded[k : n + k]
+        order = np.argsort(rank)
         while True:
             ordered = rank[order]
             dense = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
@@ -80,7 +85,7 @@ class FMIndex:
             later = np.zeros(n, np.int64)
             later[:-depth] = rank[depth:] + 1
             rank = rank * (n + 1) + later
-            order = np.argsort(rank, kind="stable")
+            order = np.argsort(rank)
             depth *= 2
         self.suffixes = order
         width = max(1, int(full.max(initial=0)).bit_length())
@@ -89,14 +94,30 @@ class FMIndex:
         self.n, self.place = n, np.cumsum(inside) - 1
         self.sequence = np.searchsorted(stop, np.arange(n))
 
-    def search(self, patterns, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Backward search of many patterns of one length at once; patterns(k) gives their k-th symbols. Suffix intervals [lo, hi)."""
-        last = patterns(length - 1)
-        lo, hi = self.less[last], self.less[last + 1]
+    def search(self, patterns, length: int, indexed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Backward search of many patterns of one length at once; patterns(k) gives their k-th symbols. Suffix intervals [lo, hi).
+
+        With indexed, patterns(k, some) gives those of some of so many patterns, each of which stands in the text. Once such a
+        pattern's interval is a single suffix it is that place alone and is followed no further: its interval is [-1, 0).
+        """
+        if not indexed:
+            last = patterns(length - 1)
+            lo, hi = self.less[last], self.less[last + 1]
+            for k in range(length - 2, -1, -1):
+                c = patterns(k)
+                lo, hi = self.less[c] + self.bwt.rank(c, lo), self.less[c] + self.bwt.rank(c, hi)
+            return lo, hi
+        out = np.full(indexed, -1), np.zeros(indexed, np.int64)
+        some = np.arange(indexed)
+        c = patterns(length - 1, some)
+        lo, hi = self.less[c], self.less[c + 1]
         for k in range(length - 2, -1, -1):
-            c = patterns(k)
+            on = hi - lo > 1
+            some, lo, hi = some[on], lo[on], hi[on]
+            c = patterns(k, some)
             lo, hi = self.less[c] + self.bwt.rank(c, lo), self.less[c] + self.bwt.rank(c, hi)
-        return lo, hi
+        out[0][some], out[1][some] = lo, hi
+        return out
 
 
 def interval_minima(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:

@@ -256,8 +256,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         count = sizes - size + 1
         begin = np.cumsum(count) - count
         start = np.arange(count.sum()) - np.repeat(begin - (ends - sizes), count)
-        lo, hi = fm.search(lambda k: laid[start + k], size)
-        found = interval_minima(owner[np.minimum(fm.sequence[fm.suffixes], len(owner) - 1)], lo, hi)
+        lo, hi = fm.search(lambda k, some: laid[start[some] + k], size, len(start))
+        found = np.repeat(owner, count)  # a window that stands in one place has the owner of its segment
+        several = np.flatnonzero(lo >= 0)
+        found[several] = interval_minima(owner[np.minimum(fm.sequence[fm.suffixes], len(owner) - 1)], lo[several], hi[several])
         told = np.flatnonzero(np.minimum.reduceat(found, begin)[seg] < least)
         told = told[np.argsort(block[told], kind="stable")]
         cuts = np.flatnonzero(np.concatenate([[True], block[told][1:] != block[told][:-1], [True]])) if len(told) else np.zeros(1, np.int64)
