@@ -236,6 +236,7 @@ def pack(docs: DataFrame, file: str, size: int = 2048, id_col: str = "doc_id", t
 
     before = F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
     based = each.select("length", "task", F.coalesce(before, F.lit(0)).alias("base"))
-    ranked = cut.join(based, ["length", "task"]).select("id", "piece", "start", "length", "crc", (F.col("rank") + F.col("base")).alias("rank"))
+    # based grows with the tasks, so it is not to be broadcast.
+    ranked = cut.join(based.hint("merge"), ["length", "task"]).select("id", "piece", "start", "length", "crc", (F.col("rank") + F.col("base")).alias("rank"))
     kind = cut.schema["id"].dataType.simpleString()
     return ranked.mapInArrow(place, f"id {kind}, piece int, start long, length long, crc long, sequence_id long, offset long")
