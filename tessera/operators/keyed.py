@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import bucket_of
@@ -76,3 +76,28 @@ def merge_running(rows: DataFrame, key: str, value: str, order: tuple[str, ...],
 def size(rows: DataFrame, key: str) -> DataFrame:
     """Distinct keys; null is one of them if there."""
     return rows.select(key).distinct().agg(F.count("*").alias("size"))
+
+
+def next_power_of_two(n: int) -> int:
+    return 1 << max(0, n - 1).bit_length()
+
+
+def partition_count(wanted: int, least: int = 64) -> int:
+    """Partitions for a table: a power of two, and not fewer than least."""
+    return next_power_of_two(max(wanted, least))
+
+
+def load_report(rows: DataFrame) -> DataFrame:
+    """(partitions, rows, load_factor, largest): how evenly a table's partitions are filled."""
+    each = rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"))
+    parts = rows.rdd.getNumPartitions()
+    total = F.coalesce(F.sum("n"), F.lit(0))
+    return each.agg(F.lit(parts).alias("partitions"), total.alias("rows"), (total / max(1, parts)).alias("load_factor"), F.coalesce(F.max("n"), F.lit(0)).alias("largest"))
+
+
+def workload(spark: SparkSession, n: int, keys: int, seed: int = 42, sets: float = 0.5, deletes: float = 0.25) -> DataFrame:
+    """(seq, op, key, value): sets, deletes and reads (op 0) of random keys in the given shares."""
+    r = F.rand(seed)
+    op = F.when(F.col("r") < sets, SET).when(F.col("r") < sets + deletes, DELETE).otherwise(0)
+    rows = spark.range(n).select(F.col("id").alias("seq"), r.alias("r"), F.floor(F.rand(seed + 1) * keys).cast("long").alias("k"))
+    return rows.select("seq", op.alias("op"), F.format_string("k%07d", "k").alias("key"), F.when(op == SET, F.concat(F.lit("v"), F.col("seq"))).alias("value"))

@@ -57,3 +57,26 @@ def over_bands(points: DataFrame, centres: DataFrame, degrees: float = 5.0) -> D
     apart = F.abs(F.col("p.lng") - F.col("q.lng"))
     window = F.col("p.lat").between(F.col("q.lat") - F.col("q.h"), F.col("q.lat") + F.col("q.h")) & ((apart <= F.col("q.w")) | (360.0 - apart <= F.col("q.w")))
     return q.join(p, (F.col("q.band") == F.col("p.band")) & window & _inside()).select("q.qid", "p.id")
+
+
+STRATEGIES = {"naive": naive, "cells": over_cells, "bands": over_bands}
+
+
+def search(points: DataFrame, centres: DataFrame, strategy: str = "cells", **options) -> DataFrame:
+    """(qid, id) by one of STRATEGIES; all give the same rows."""
+    return STRATEGIES[strategy](points, centres, **options)
+
+
+def kth(points: DataFrame, column: str, k: int) -> DataFrame:
+    """The row of the k-th smallest value (from 0), ties by id: a pruning split point. Quantile sketches bound the range first, so
+    that only rows around the place are sorted."""
+    n = points.where(F.col(column).isNotNull()).count()
+    if not 0 <= k < n:
+        return points.limit(0)
+    slack, error = 0.02, 0.005
+    low, high = points.approxQuantile(column, [max(0.0, k / n - slack), min(1.0, (k + 1) / n + slack)], error)
+    below = points.where(F.col(column) < low).count()
+    near = points.where(F.col(column).between(low, high))
+    if below > k or below + near.count() <= k:  # the sketch was off: take all
+        below, near = 0, points.where(F.col(column).isNotNull())
+    return near.orderBy(column, "id").offset(k - below).limit(1)

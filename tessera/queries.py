@@ -266,6 +266,13 @@ def geo_distance(spark, sf):
     return radius.normal(places(spark, sf)).select("id", F.round(d, 2).alias("metres"))
 
 
+@query(f"WITH p AS ({PLACES}) SELECT id, lat FROM p ORDER BY lat, id LIMIT 1 OFFSET (SELECT count(*) // 2 FROM p)")
+def geo_median_split(spark, sf):
+    """The point that splits the points in halves by latitude."""
+    p = places(spark, sf)
+    return radius.kth(p, "lat", p.count() // 2).select("id", "lat")
+
+
 def base(spark, sf) -> DataFrame:
     return neighbours.vectors(table(spark, sf, "embeddings"), "vec_id", "embedding")
 

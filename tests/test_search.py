@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import nearpairs, neighbours, radius
 from tessera.operators.nearpairs import Tables
@@ -118,3 +119,47 @@ def test_neighbours(spark):
         neighbours.trained(base, 4, 5)
     assert neighbours.exact(base, base.limit(0), k).collect() == []
     assert neighbours.generated(spark, 7, 3).count() == 7
+
+
+def test_order_statistics_and_strategies(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice([rng.uniform(-90, 90), 5.0]), 0.0) for i in range(500)]
+    df = spark.createDataFrame([*rows, (900, None, 0.0)], "id long, lat double, lng double")
+    want = sorted(rows, key=lambda r: (r[1], r[0]))
+    for k in (0, 1, 250, 499):
+        assert tuple(radius.kth(df, "lat", k).first()) == want[k]
+    assert radius.kth(df, "lat", 500).count() == 0
+    q = spark.createDataFrame([(1, 0.0, 0.0, 1e6)], "qid long, lat double, lng double, radius_m double")
+    assert len({tuple(pairs(radius.search(df, q, s))) for s in radius.STRATEGIES}) == 1
+
+
+def test_sweep(spark):
+    from tessera.plans import measure, sweep
+
+    base = neighbours.generated(spark, 300, 8).cache()
+    queries = base.where("id % 10 = 0")
+    truth = neighbours.exact(base, queries, 5)
+    table = truth.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "id"))).alias("n")).select("qid", F.transform("n", lambda x: x["id"]).alias("neighbors")).cache()
+    assert sweep.valid(base, queries, table, 30, 5) and not sweep.valid(base, queries, table, 31, 5) and not sweep.valid(base, queries, table, 30, 6)
+    rows = sweep.sweep(base, queries, sweep.true_rows(table, 5), 5, bits=(16,), lists=(4, 400), parts=(0, 4, 3), probes=(1, 4, 8))
+    got = {r["name"]: r for r in rows.collect()}
+    assert set(got) == {"LSH 16", "IVF 4 1", "IVF 4 4", "IVFPQ 4 4 1", "IVFPQ 4 4 4"}
+    assert got["IVF 4 4"]["recall"] == 1.0 and got["LSH 16"]["index_bytes"] == 300 * 10
+    assert measure.best_score(rows).count() == 1
+
+
+def test_loads(spark):
+    from tessera.operators import keyed
+
+    assert [keyed.next_power_of_two(n) for n in (0, 1, 2, 3, 64, 65)] == [1, 1, 2, 4, 64, 128]
+    assert keyed.partition_count(5) == 64 and keyed.partition_count(100) == 128
+    w = keyed.workload(spark, 1000, 50).cache()
+    r = keyed.load_report(w.repartition(4)).first()
+    assert (r["partitions"], r["rows"], r["load_factor"]) == (4, 1000, 250.0)
+    state = {}
+    for x in w.orderBy("seq").collect():
+        if x["op"] == 1:
+            state[x["key"]] = x["value"]
+        elif x["op"] == 2:
+            state.pop(x["key"], None)
+    assert dict(keyed.replay(w.where("op <> 0")).collect()) == state
