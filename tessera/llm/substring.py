@@ -24,8 +24,8 @@ from .store import get_batch, put_batch, squeezed, squeezed_sorted, unsqueezed,
 
 GRAM = 5
 #: Bytes of text in a block, and rows of segments that one FM-index takes (whole anchors, so one anchor may exceed it).
-BLOCK = 8 << 20
-INDEX = 60_000
+BLOCK = 5 << 20
+INDEX = 30_000
 #: Rows of segments with one anchor beyond which its windows are dealt out one by one, by their own hash.
 CROWDED = 1000
 NONE = np.iinfo(np.int64).max
@@ -187,6 +187,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             there = [s for s in range(shards) if cuts[s] < cuts[s + 1]]
             grams, owners = ([f(x[cuts[s] : cuts[s + 1]]) for s in there] for f, x in ((squeezed_sorted, gram), (squeezed, owner)))
             yield pa.record_batch([pa.array(there, pa.int32()), pa.array([name] * len(there), pa.int64()), pa.array(grams, pa.binary()), pa.array(owners, pa.binary())], names=["shard", "block", "data", "owners"])
+            b = batch = gram = owner = order = grams = owners = None  # the next block is built without this one in memory
 
     def repeated(batches):
         for _, (_, names, data, owners) in grouped(batches):
@@ -225,6 +226,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             hashed[number] = gram
             put_batch(block_file(folder, name) + ".runs", pa.record_batch([pa.array(first), pa.array(count), pa.array(number), pa.array(least[number])], names=["first", "count", "number", "least"]))
             yield pa.record_batch([pa.array(hashed.view(np.int64)), pa.array([name] * len(index), pa.int64()), pa.array(np.arange(len(index))), pa.array(list(index), pa.binary()), pa.array(least)], names=["gram", "block", "number", "words", "least"])
+            b = index = None
 
     def windows(batches):
         """Rows of crowded anchors as rows of their windows, under the windows' hash."""
@@ -325,6 +327,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             extra = [batch.column(k) for k in range(2, batch.num_columns)]
             out = pa.Table.from_arrays([pa.array(b.counts), pa.array(lost, pa.int64()), batch.column(0), pa.array(texts, pa.binary()), *extra], names=["n_words", "n_removed", *batch.schema.names])
             yield from out.to_batches(max_chunksize=1000)
+            b = batch = out = texts = extra = None
 
     arrow_rows(spark, 1000)
     place = shared_path(spark, "anchors")
