@@ -187,8 +187,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = written(fingerprints(docs, id_col, text_col, width), "fingerprints")
     each = rows.groupBy("fp").agg(F.min("id").alias("least"))
     roots = written(connected(links(each.select("fp"), radius)), "roots")
-    grouped = roots.join(each, roots.node == each.fp).groupBy("root").agg(F.min("least").alias("low"))
+    grouped = written(roots.join(each, roots.node == each.fp).groupBy("root").agg(F.min("least").alias("low")), "groups")
     linked = roots.join(grouped, "root").select(F.col("node").alias("fp"), "low")
-    # As a table of its own, so that both sides of the last join are exchanges, whose hot fingerprints adaptive execution splits.
+    # Tables of their own, so that both sides of a join are exchanges, whose hot roots and fingerprints adaptive execution splits.
     smallest = written(each.join(linked, "fp", "left").select("fp", F.coalesce("low", "least").alias("component")), "components")
     return rows.join(smallest, "fp", "left").select("id", "fp", "component")

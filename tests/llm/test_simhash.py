@@ -71,3 +71,17 @@ def test_links_lose_nothing_in_split_cells(spark, monkeypatch):
                 want[look(a)] = look(b)
     classes = lambda f: sorted(sorted(x for x in fps if f(x) == r) for r in {f(x) for x in fps})
     assert classes(find) == classes(look)
+
+
+def test_components_of_chains_stars_and_rings(spark):
+    from tessera.llm.common import connected
+
+    rng = np.random.default_rng(0)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(500, 500 + i) for i in range(1, 50)] + [(i, 700 + (i + 1) % 20) for i in range(700, 720)] + [(7, 7), (8, 9)]
+    edges += [tuple(int(x) for x in rng.integers(1000, 1100, 2)) for _ in range(80)]
+    root = {x: x for e in edges for x in e}
+    for _ in range(200):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = connected(spark.createDataFrame(edges, "a long, b long"))
+    assert {r["node"]: r["root"] for r in got.collect()} == {x: r for x, r in root.items() if any(x in e and e[0] != e[1] for e in edges)}
