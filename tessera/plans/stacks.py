@@ -13,7 +13,7 @@ SCHEMA = "Stacks array<struct<Value: bigint, Sources: array<int>>>, Sources arra
 
 
 @udf(StringType())
-def _embedded(html: str) -> str | None:
+def _embedded(html):
     """The JSON object that the last stackViewer( call of a page is given; none if there is none."""
     start = (html or "").rfind("stackViewer(")
     start = html.find("{", start) if start >= 0 else -1
