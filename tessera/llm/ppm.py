@@ -1,8 +1,8 @@
-"""Prediction by partial matching: a byte-context trie with escape estimation and symbol exclusion.
+"""Prediction by partial matching over bytes: escape estimation and symbol exclusion, on sorted arrays of contexts.
 
-The trie holds byte sequences of up to ORDER + 1 bytes that make up at least SHARE of the training bytes, so it has at most
-1 / SHARE of each length, whatever the corpus. It is a finite automaton: a state is the longest context that ends at a byte, and
-many stretches of text walk it in step.
+A byte's probability depends on its context of up to ORDER bytes only. A code is a context with the byte after it: the latest
+byte of the context highest, the byte itself lowest. Sorted codes that share their latest two context bytes hold all that
+shorter contexts down to two bytes need, so they can be a shard; contexts of one byte and of none are one small table.
 """
 
 from __future__ import annotations
@@ -10,179 +10,115 @@ from __future__ import annotations
 import numpy as np
 
 ORDER = 5
-SHARE = 4e-7
-#: Bytes that UTF-8 never has: the end of a text, and what stands after it.
+#: Bytes that UTF-8 never has: the end of a text, and what stands before it.
 END, PAD = 0xFF, 0xFE
 #: Symbols that a text can have: bytes but PAD.
 ALPHABET = 255
-#: Bytes of a stretch.
-STRETCH = 1024
-MIX = np.uint64(0x9E3779B97F4A7C15)
-U8 = np.uint64(8)
+#: Codes of a slice whose levels are held at a time; a context of two bytes is never cut.
+SLICE = 1 << 19
+LOW = np.uint64(0xFF)
 
 
-def laid(texts: list[bytes], order: int) -> np.ndarray:
-    """Texts end to end as bytes, each with its end and order pads after it."""
-    tail = bytes([END]) + bytes([PAD]) * order
-    return np.frombuffer(tail.join([*texts, b""]), np.uint8)
-
-
-def grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted codes of the sequences of order + 1 bytes at every byte and end, first byte highest, and their counts."""
-    flat = laid(texts, order)
-    n = len(flat)
+def codes_of(texts: list[bytes], order: int) -> np.ndarray:
+    """The code of each byte and end of the texts, in order; context bytes before a text's start are PAD."""
+    tail = bytes([END]) + bytes([PAD]) * max(order, 1)
+    flat = np.frombuffer(bytes([PAD]) * 8 + tail.join([*texts, b""]), np.uint8)
+    n = len(flat) - 8
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64)
     long = np.concatenate([flat, np.full(16, PAD, np.uint8)])
     codes = np.empty(n + 8, np.uint64)
     for r in range(8):
-        part = np.frombuffer(long[r : r + (n + 7) // 8 * 8].tobytes(), ">u8")
+        part = np.frombuffer(long[r : r + (n + 7) // 8 * 8].tobytes(), "<u8")
         codes[r::8][: len(part)] = part
-    codes = codes[:n][flat != PAD] & kept(order + 1)
-    codes.sort()
-    return summed(codes, None)
+    real = flat[8:] != PAD
+    return (codes[:n][real] & kept(max(order, 1))) | flat[8:][real]
 
 
 def kept(length: int) -> np.uint64:
-    """A mask of the first bytes of a code."""
+    """A mask of the latest bytes of a context."""
     return np.uint64((0xFFFFFFFFFFFFFFFF << (64 - 8 * length)) & 0xFFFFFFFFFFFFFFFF)
 
 
-def summed(codes: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct codes of sorted ones with the sums of their counts (one each for None)."""
+def summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order with the sums of their counts."""
     if not len(codes):
         return codes, np.zeros(0, np.int64)
+    at = np.argsort(codes)
+    codes, counts = codes[at], counts[at]
     first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
-    if counts is None:
-        return codes[first], np.diff(np.concatenate([first, [len(codes)]]))
     return codes[first], np.add.reduceat(counts, first)
 
 
-def shorter(codes: np.ndarray, counts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The sequences of length bytes that sorted longer codes begin with, without those that run past a text's end."""
-    codes, counts = summed(codes & kept(length), counts)
-    real = (codes >> np.uint64(64 - 8 * length)) & np.uint64(0xFF) != np.uint64(PAD)
-    return codes[real], counts[real]
-
-
-class Trie:
-    """Built from levels: for each length from 1 on, sorted codes and counts, closed under prefixes and suffixes."""
-
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], total: int):
-        order = len(levels) - 1
-        sizes = [1] + [len(c) for c, _ in levels]
-        begin = np.concatenate([[0], np.cumsum(sizes)])
-        n = int(begin[-1])
-        count = np.zeros(n, np.float64)
-        parent, suffix, symbol = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-        count[0] = total
-        for length, (codes, counts) in enumerate(levels, 1):
-            at = slice(int(begin[length]), int(begin[length + 1]))
-            count[at] = counts
-            symbol[at] = (codes >> np.uint64(64 - 8 * length)).astype(np.int64) & 0xFF
-            if length > 1:
-                above = levels[length - 2][0]
-                parent[at] = begin[length - 1] + np.searchsorted(above, codes & kept(length - 1))
-                suffix[at] = begin[length - 1] + np.searchsorted(above, codes << U8)
-        entry = np.arange(1, n)
-        seen = np.bincount(parent[1:], minlength=n).astype(np.float64)
-        told = np.bincount(parent[1:], weights=count[1:], minlength=n)
-        shadow = np.bincount(parent[1:], weights=count[suffix[1:]], minlength=n) if order else np.zeros(n)
-        shadow[0] = 0
-        rest = np.maximum(count - told, 0)  # what was too rare to keep counts towards the escape
-        log = lambda x: np.log10(np.maximum(x, 1e-300))
-        self.start = log(np.maximum(count, 1e-300))
-        self.flee = np.where(count > 0, log((seen / 2 + rest) / np.maximum(count, 1e-300)), 0.0)
-        left = told[suffix] - shadow + rest[suffix]
-        away = (seen[suffix] - seen) / 2 + rest[suffix]
-        self.after = -log(left)
-        self.on = np.where(left > 0, log(away / np.maximum(left, 1e-300)), 0.0)
-        self.gain = log(count - 0.5)
-        self.suffix = suffix.astype(np.int32)
-        self.last = -np.log10(max(1, ALPHABET - int(seen[0])))
-        goes = np.zeros(n, np.int64)
-        for length in range(1, order + 2):
-            at = np.arange(int(begin[length]), int(begin[length + 1]))
-            stay = (seen[at] > 0) & (length <= order)
-            goes[at] = np.where(symbol[at] == END, 0, np.where(stay, at, goes[suffix[at]]))
-        self.goes = goes.astype(np.int32)
-        for k in ("start", "flee", "after", "on", "gain"):
-            setattr(self, k, getattr(self, k).astype(np.float32))
-        self.order = order
-        self.bits = max(4, int(3 * n).bit_length())
-        self.keys = np.full(1 << self.bits, -1, np.int64)
-        self.entries = np.zeros(1 << self.bits, np.int32)
-        key = (parent[1:] << 8) | symbol[1:]
-        slot = self.slots(key)
-        while len(key):
-            free = np.flatnonzero(self.keys[slot] < 0)
-            _, one = np.unique(slot[free], return_index=True)
-            put = free[one]
-            self.keys[slot[put]], self.entries[slot[put]] = key[put], entry[put]
-            wait = np.ones(len(key), bool)
-            wait[put] = False
-            key, entry, slot = key[wait], entry[wait], (slot[wait] + 1) & ((1 << self.bits) - 1)
-
-    def slots(self, key: np.ndarray) -> np.ndarray:
-        return ((key.view(np.uint64) * MIX) >> np.uint64(64 - self.bits)).view(np.int64)
-
-    def find(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """The entry of a symbol in a context, 0 for none."""
-        key = (state.astype(np.int64) << 8) | symbol
-        slot = self.slots(key)
-        there = self.keys[slot]
-        out = np.where(there == key, self.entries[slot], 0)
-        off = np.flatnonzero((there != key) & (there >= 0))
-        while len(off):
-            slot[off] = (slot[off] + 1) & ((1 << self.bits) - 1)
-            there = self.keys[slot[off]]
-            hit = there == key[off]
-            out[off[hit]] = self.entries[slot[off[hit]]]
-            off = off[~hit & (there >= 0)]
-        return out
-
-    def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(next states, log10 probabilities): from the longest context down, with what longer ones have seen excluded."""
-        found = self.find(state, symbol)
-        cost = self.gain[found] - self.start[state]
-        miss = np.flatnonzero(found == 0)
-        if len(miss):
-            before = state[miss]
-            s, total = symbol[miss], self.flee[before]
-            while len(miss):
-                root = before == 0
-                if root.any():
-                    cost[miss[root]] = total[root] + self.last
-                    keep = ~root
-                    miss, before, s, total = miss[keep], before[keep], s[keep], total[keep]
-                    if not len(miss):
-                        break
-                now = self.suffix[before]
-                e = self.find(now, s)
-                hit = e > 0
-                at = miss[hit]
-                found[at] = e[hit]
-                cost[at] = total[hit] + self.gain[e[hit]] + self.after[before[hit]]
-                keep = ~hit
-                total = total[keep] + self.on[before[keep]]
-                miss, before, s = miss[keep], now[keep], s[keep]
-        return self.goes[found], cost
-
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each whole text with its end."""
-        sizes = np.array([len(t) + 1 for t in texts], np.int64)
-        if not len(sizes):
-            return np.zeros(0)
-        flat = np.frombuffer(bytes([END]).join([*texts, b""]), np.uint8)
-        lanes = -(-len(flat) // STRETCH)
-        full = np.concatenate([np.full(self.order, END, np.uint8), flat, np.full(lanes * STRETCH - len(flat), END, np.uint8)])
-        view = np.lib.stride_tricks.as_strided(full, (lanes, STRETCH + self.order), (STRETCH, 1))
-        columns = np.ascontiguousarray(view.T)
-        state = np.zeros(lanes, np.int32)
-        for k in range(self.order):  # the bytes before a stretch lead to the state at its start
-            state, _ = self.step(state, columns[k])
-        cost = np.empty((STRETCH, lanes), np.float32)
-        for k in range(STRETCH):
-            state, cost[k] = self.step(state, columns[self.order + k])
-        cost = cost.T.reshape(-1)[: len(flat)].astype(np.float64)
-        return np.add.reduceat(cost, np.cumsum(sizes) - sizes)
+def pairs_of(codes: np.ndarray) -> np.ndarray:
+    """The place of each code's last context byte and symbol in a table of pairs."""
+    return ((codes >> np.uint64(56) << np.uint64(8)) | (codes & LOW)).astype(np.int64)
+
+
+def log(x: np.ndarray) -> np.ndarray:
+    return np.log10(np.maximum(x, 1e-300))
+
+
+class Level:
+    """What one length of context says of each (context, symbol): fresh, and after the escape from the longer context.
+
+    fresh is log10 of the probability where no longer context is known; passed is what is added on escaping to shorter ones.
+    """
+
+    def __init__(self, count: np.ndarray, group: np.ndarray, there: np.ndarray, least: int, below: Level | None, up: np.ndarray | None):
+        n = int(group[-1]) + 1 if len(group) else 0
+        total = lambda x: np.bincount(group, weights=x, minlength=n)[group]
+        self.count = np.where(there, count, 0).astype(np.float64)
+        self.keeps = self.count >= least
+        self.seen = total(self.keeps)
+        self.total = total(self.count)
+        self.rest = self.total - total(np.where(self.keeps, self.count, 0))  # what was too rare to keep counts towards the escape
+        known = self.seen > 0
+        if below is None:
+            self.passed = -np.log10(np.maximum(1, ALPHABET - self.seen))
+            shorter = self.passed
+        else:
+            size = below.total[up] - total(np.where(self.keeps, below.count[up], 0))
+            away = (below.seen[up] - self.seen) / 2 + below.rest[up]
+            escape = np.where(size > 0, log(away) - log(size), 0.0) + below.passed[up]
+            self.passed = np.where(below.keeps[up], log(below.count[up] - 0.5) - log(size), escape)
+            shorter = below.fresh[up]
+        mine = np.where(self.keeps, log(self.count - 0.5) - log(self.total), log(self.seen / 2 + self.rest) - log(self.total) + self.passed)
+        self.fresh = np.where(known, mine, shorter)
+
+
+def base(pairs: np.ndarray, order: int, least: int) -> Level:
+    """The level of contexts of one byte, or of none for order 0, over all pairs of bytes, from the counts of pairs."""
+    symbol = np.tile(np.arange(256), 256)
+    every = np.ones(256, bool)
+    root = Level(pairs.reshape(256, 256).sum(axis=0), np.zeros(256, np.int64), every, least, None, None)
+    context = np.repeat(np.arange(256), 256)
+    return Level(pairs, context, (context != PAD) & (order > 0), least, root, symbol)
+
+
+def costs(codes: np.ndarray, counts: np.ndarray, order: int, least: int, low: Level) -> np.ndarray:
+    """log10 probability of each of sorted distinct codes, which hold all codes of their contexts of two bytes."""
+    out = np.empty(len(codes), np.float32)
+    if order < 2:
+        return low.fresh[pairs_of(codes)].astype(np.float32)
+    start = 0
+    while start < len(codes):
+        end = start + SLICE
+        if end < len(codes):
+            end = int(np.searchsorted(codes, (codes[end - 1] & kept(2)) | ~kept(2), side="right"))
+        c, n = codes[start:end], counts[start:end]
+        keys, sizes, ups = [c], [n], []
+        for k in range(order - 1, 1, -1):
+            shorter, up = np.unique((keys[-1] & kept(k)) | (keys[-1] & LOW), return_inverse=True)
+            ups.append(up)
+            keys.append(shorter)
+            sizes.append(np.bincount(up, weights=sizes[-1], minlength=len(shorter)))
+        ups.append(pairs_of(keys[-1]))
+        level = low
+        for k, (key, size, up) in enumerate(zip(reversed(keys), reversed(sizes), reversed(ups)), 2):
+            context = key & kept(k)
+            group = np.cumsum(np.concatenate([[0], context[1:] != context[:-1]]).astype(np.int64))
+            level = Level(size, group, (key >> np.uint64(64 - 8 * k)) & LOW != PAD, least, level, up)
+        out[start:end] = level.fresh
+        start = end
+    return out

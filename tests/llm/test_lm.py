@@ -95,3 +95,17 @@ def test_empty_tables(spark):
 def test_beats_the_base_on_held_out_text(spark, sf):
     rows = lm_scores(spark.read.parquet(f"{sf}/documents.parquet")).collect()
     assert np.isfinite([r["score"] for r in rows]).all()
+
+
+def test_every_sequence_that_occurs_is_known(spark):
+    out = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    many = [(1000 + i, f"{i} " * 2000) for i in range(800)]  # some 6 MB: what occurs once is below 4e-7 of them
+    rare = [(next(d for d in range(100) if not out(d)), "quixotic zephyr"), (next(d for d in range(100) if out(d)), "quixotic zephyr")]
+    got = lm_scores(spark.createDataFrame(many + rare, "doc_id long, text string").repartition(3)).collect()
+    train = ["quixotic zephyr".encode()] + [t.encode() for d, t in many if not out(d)]
+    least = 4e-7 * sum(len(t) + 1 for t in train)
+    assert least > 2
+    want = Plain(train[:1] + [t[:40] for t in train[1:]], 5, 1)  # whole contexts of the rare text: those of letters occur in it alone
+    (r,) = [r for r in got if r["id"] == rare[1][0]]
+    letters = sum(want.log(rare[1][1].encode()[:i], rare[1][1].encode()[i]) for i in range(1, 15))
+    assert letters > -6 and letters - 9 < r["score"] < letters
