@@ -46,15 +46,19 @@ class Lists:
 
 
 def select(lists: Lists, at: int, tile: np.ndarray, own: np.ndarray, ids: np.ndarray) -> None:
-    """Puts a tile's scores into the lists from query at on: only those that reach the list's end, or the tile's own k-th."""
+    """Puts a tile's scores into the lists from query at on: only those that reach the list's end, or the tile's own k-th.
+
+    Rows of a query's id, however many, are no candidates, so they count as lowest before the k-th is taken.
+    """
     n = tile.shape[1]
+    other = ids[None, :] != own[:, None]
     floor = lists.least[at : at + len(tile)]
-    if n > lists.k + 1 and (floor == np.iinfo(np.int64).min).any():
-        kth = np.partition(tile, n - lists.k - 1, axis=1)[:, n - lists.k - 1]  # one more: the query itself may be there
+    if n > lists.k and (floor == np.iinfo(np.int64).min).any():
+        lowest = -np.inf if tile.dtype.kind == "f" else np.iinfo(np.int64).min
+        kth = np.partition(np.where(other, tile, lowest), n - lists.k, axis=1)[:, n - lists.k]
+        kth = np.where(np.isfinite(kth), kth, np.iinfo(np.int64).min) if tile.dtype.kind == "f" else kth
         floor = np.maximum(floor, kth.astype(np.int64))
-    q, c = np.nonzero(tile >= floor[:, None])
-    keep = ids[c] != own[q]
-    q, c = q[keep], c[keep]
+    q, c = np.nonzero((tile >= floor[:, None]) & other)
     lists.add(q + at, tile[q, c].astype(np.int64), ids[c])
 
 

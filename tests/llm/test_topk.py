@@ -34,3 +34,14 @@ def test_large_components_and_empty(spark):
     assert sorted(map(tuple, top_products(small, every=2, k=3).collect())) == brute(rows[:6], 2, 3)
     assert top_products(df).count() == 5
     assert top_products(df.limit(0)).collect() == []
+
+
+def test_many_rows_of_one_query_id(spark):
+    rng = np.random.default_rng(5)
+    hot = [8.0] * 4
+    rows = [(50, hot)] * 40 + [(50, [-8.0] * 4)] * 3 + [(1 + i, np.round(rng.normal(size=4), 2).tolist()) for i in range(45)]
+    for scale in (1.0, 1e5):  # whole doubles, then 64-bit integers
+        scaled = [(i, [x * scale for x in v]) for i, v in rows]
+        df = spark.createDataFrame(scaled, "vec_id long, embedding array<double>").coalesce(1)
+        got = sorted(map(tuple, top_products(df).collect()))
+        assert len(got) == 10 and got == brute(scaled, 50, 5)
