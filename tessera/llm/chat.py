@@ -24,6 +24,8 @@ BY_MARKER = {m: k for k, r in enumerate(ROLES) for m in MARKERS[r]}
 MARKED = re.compile("(" + "|".join(sorted(map(re.escape, BY_MARKER), key=len, reverse=True)) + r")(?::[ \t]*|(?<=>)[ \t]*|(?<=\])[ \t]*)", re.IGNORECASE)
 #: Turns of one conversation that are taken as one transcript: longer ones are parsed in parts.
 PART = 4096
+#: What a line that is not blank holds: a character that str.strip() leaves.
+VISIBLE = r"[^\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 #: Line features: marker (none or a role), after a blank line, first line, long.
 FEATURES = 4 * 2 * 2 * 2
 
@@ -95,10 +97,11 @@ def rendered(turns: list[tuple[str, str]]) -> str:
 
 
 def transcripts(conversations: DataFrame) -> DataFrame:
-    """(conv_id, part, roles, transcript): turns in order as speakers' lines, in one of several styles by the conversation's hash.
+    """(conv_id, part, roles, transcript, lines): turns in order as speakers' lines, in one of several styles by the conversation's hash.
 
     Styles leave out some markers; a blank line is then all that parts the turns. Rows without conv_id or turn are transcripts
-    of their own. Null role: user. Null text: an empty turn. Repeated rows: a turn each.
+    of their own. A role that is null or none of the three (tool, function): user. Null text: an empty turn.
+    Repeated rows: a turn each. lines has the number of each turn's lines in the transcript that are not blank.
     """
     role = F.when(F.lower("role").isin(*ROLES), F.lower("role")).otherwise("user")
     alone = F.col("conv_id").isNull() | F.col("turn").isNull()
@@ -118,7 +121,9 @@ def transcripts(conversations: DataFrame) -> DataFrame:
         return F.when((F.col("style") == 0) & (k % 7 == 6), F.concat(F.lit("\n"), x["text"])).otherwise(F.concat(mark, x["text"]))
 
     whole = rows.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list("said")).alias("said")).withColumn("style", style)
-    return whole.select("conv_id", "part", F.transform("said", lambda x: x["role"]).alias("roles"), F.concat_ws("\n", F.transform("said", line)).alias("transcript"), F.transform("said", lambda x: F.size(F.filter(F.split(x["text"], "\r\n|\n|\r"), lambda y: F.trim(y) != ""))).alias("lines"))
+    told = whole.select("conv_id", "part", F.transform("said", lambda x: x["role"]).alias("roles"), F.transform("said", line).alias("told"))
+    count = F.transform("told", lambda x: F.size(F.filter(F.split(x, "\r\n|\n|\r"), lambda y: y.rlike(VISIBLE))))
+    return told.select("conv_id", "part", "roles", F.concat_ws("\n", "told").alias("transcript"), count.alias("lines"))
 
 
 def trained(known: DataFrame) -> Model:
@@ -130,9 +135,7 @@ def trained(known: DataFrame) -> Model:
             for roles, text, sizes in zip(*(b.column(k).to_pylist() for k in range(3))):
                 states = [2 * ROLES.index(r) + (j > 0) for r, n in zip(roles, sizes) for j in range(n)]
                 features = [f for f, _, _ in lines_of(text)]
-                if len(states) != len(features):
-                    continue  # a turn without text has a marker's line, or none: its lines can't be told apart
-                for k, (s, f) in enumerate(zip(states, features)):
+                for k, (s, f) in enumerate(zip(states, features, strict=True)):
                     emit[s, f] += 1
                     if k:
                         step[states[k - 1], s] += 1

@@ -2,7 +2,7 @@ from itertools import product
 
 import numpy as np
 
-from tessera.llm.chat import FEATURES, STATES, Model, lines_of, parsed, rendered, trained, transcripts, turns_of
+from tessera.llm.chat import FEATURES, ROLES, STATES, Model, lines_of, parsed, rendered, trained, transcripts, turns_of
 
 
 def test_viterbi_is_the_best_of_all_paths():
@@ -41,3 +41,20 @@ def test_edge_rows(spark):
     assert len(got) == 7 and all(r["n_turns"] == len(r["roles_found"]) for r in got)
     empty = transcripts(df.limit(0))
     assert parsed(empty, trained(empty), keep=("conv_id",)).collect() == []
+
+
+def test_transcripts_with_empty_turns_are_counted(spark):
+    texts = ["hi", "", None, "\nafter a blank line", "\t", "\u3000\n\u00a0x\r\ny\r", "two\n\nparts", " "]
+    rows = [(c, t, ROLES[(c + t) % 3] if t % 5 else "tool", texts[(c * 3 + t) % len(texts)]) for c in range(30) for t in range(16)]
+    known = transcripts(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = known.collect()
+    assert len(got) == 30 and all(sum(r["lines"]) == len(lines_of(r["transcript"])) for r in got)
+    model = trained(known)
+    start, emit = np.zeros(STATES), np.zeros((STATES, FEATURES))
+    for r in got:
+        states = [2 * ROLES.index(x) + (j > 0) for x, n in zip(r["roles"], r["lines"]) for j in range(n)]
+        start[states[0]] += 1
+        for s, (f, _, _) in zip(states, lines_of(r["transcript"])):
+            emit[s, f] += 1
+    want = Model(start, np.zeros((STATES, STATES)), emit)
+    assert start.sum() == 30 and np.allclose(model.start, want.start) and np.allclose(model.emit, want.emit)
