@@ -9,7 +9,7 @@ from tessera.llm.common import table, written
 from tessera.llm.packing import pack
 from tessera.llm.quality import quality_scores
 from tessera.llm.queries import tokenizer_file
-from tessera.llm.simhash import near_duplicates
+from tessera.llm.simhash import fingerprinted, near_duplicates
 from tessera.llm.substring import remove_repeats
 
 CUT = 0.3
@@ -23,10 +23,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class, that of the smallest id. Rows of null id can't be told apart: all stay."""
-    keep = near_duplicates(docs).where("id = component").select(F.col("id").alias("doc_id")).distinct()
+    """One document of each near-duplicate class, that of the smallest id. Rows of null id can't be told apart: all stay.
+
+    Rows of one id whose texts are of several classes are documents of their own: each class keeps one. Of a class's rows of its
+    smallest id, one of the smallest fingerprint stays.
+    """
+    found = near_duplicates(docs, classes=True).where("id = component")
+    keep = found.groupBy("root").agg(F.min("id").alias("doc_id"), F.min("fp").alias("_fp_")).select("doc_id", "_fp_")
     alone = docs.where("doc_id is null")
-    first = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rows = fingerprinted(docs.where("doc_id is not null"), name="_fp_")
+    first = rows.join(keep, ["doc_id", "_fp_"], "left_semi").dropDuplicates(["doc_id", "_fp_"])
     return first.select(*docs.columns).union(alone)
 
 

@@ -59,6 +59,21 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), utf8(text_col)).mapInArrow(run, f"id {kind}, fp long")
 
 
+def fingerprinted(docs: DataFrame, text_col: str = "text", width: int = 3, name: str = "fp") -> DataFrame:
+    """docs with the fingerprint of every row's whole text as a last column; a null text counts as empty."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            texts = b.column(at).cast(pa.binary()).fill_null(b"").to_pylist()
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([fingerprint(t, width) for t in texts], pa.int64())], names=[*b.schema.names, "fp"])
+
+    arrow_rows(docs.sparkSession, 1000)
+    named = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)])
+    out = named.mapInArrow(run, ", ".join([*(f"c{k} {t}" for k, (_, t) in enumerate(docs.dtypes)), "fp long"]))
+    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)], F.col("fp").alias(name))
+
+
 def masks(free: list[int], radius: int) -> list[int]:
     """Choices of BLOCKS_KEPT of radius + BLOCKS_KEPT blocks of the free bits, each as a signed mask of the bits kept."""
     blocks = [[int(b) for b in x] for x in np.array_split(np.array(free), radius + BLOCKS_KEPT)]
@@ -178,9 +193,11 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
     return found
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, width: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, width: int = 3, classes: bool = False) -> DataFrame:
     """(id, fp, component) for each row: the smallest id of the rows that links reach, its own included.
 
+    With classes, a fourth column root: a fingerprint that stands for the class, which rows of one id may have several of.
+
     Null text: as empty. Empty or wordless text: fingerprint zero, linked like any other. Repeated rows: a row each. Null id:
     a row whose id takes no part in the minimum. Other columns are not read, so their names can't clash. Empty table: no rows.
     """
@@ -188,7 +205,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     each = rows.groupBy("fp").agg(F.min("id").alias("least"))
     roots = written(connected(links(each.select("fp"), radius)), "roots")
     grouped = written(roots.join(each, roots.node == each.fp).groupBy("root").agg(F.min("least").alias("low")), "groups")
-    linked = roots.join(grouped, "root").select(F.col("node").alias("fp"), "low")
+    kept = ["root"] if classes else []
+    linked = roots.join(grouped, "root").select(F.col("node").alias("fp"), "low", *kept)
     # Tables of their own, so that both sides of a join are exchanges, whose hot roots and fingerprints adaptive execution splits.
-    smallest = written(each.join(linked, "fp", "left").select("fp", F.coalesce("low", "least").alias("component")), "components")
-    return rows.join(smallest, "fp", "left").select("id", "fp", "component")
+    smallest = written(each.join(linked, "fp", "left").select("fp", F.coalesce("low", "least").alias("component"), *[F.coalesce(k, "fp").alias(k) for k in kept]), "components")
+    return rows.join(smallest, "fp", "left").select("id", "fp", "component", *kept)

@@ -34,3 +34,12 @@ def test_stages_take_effect(spark, sf):
 def test_rows_repeated_or_without_id(spark, sf):
     df = spark.createDataFrame([(1, "a b c d", "en"), (1, "a b c d", "en"), (2, "a b c d", "en"), (None, "a b c d", "en")], "doc_id long, text string, lang string")
     assert sorted((r["doc_id"] is None, r["doc_id"]) for r in corpus_pipeline.near(spark, df, sf).collect()) == [(False, 1), (True, None)]
+
+
+def test_one_id_with_texts_of_several_classes(spark, sf):
+    rows = [(1, "a b c d"), (5, "a b c d"), (5, "quite another text"), (5, "quite another text"), (5, "and a third one here"), (7, "and a third one here"), (3, "p q r s t"), (3, "u v w x y")]
+    df = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string")
+    got = corpus_pipeline.near(spark, df, sf)
+    assert got.columns == df.columns
+    want = [(1, "a b c d"), (3, "p q r s t"), (3, "u v w x y"), (5, "and a third one here"), (5, "quite another text")]
+    assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == want
