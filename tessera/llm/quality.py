@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -14,29 +16,33 @@ BITS = 18
 #: Labelled rows that the model is fit on at most, those of the smallest hash of their id: a bounded sample by design.
 SAMPLE = 8000
 CACHED = 200_000
+#: Bytes of a word whose code is cached at most; longer ones are worked out each time.
+LONG = 64
 SAME = 0x5A5A5A
 #: Shape n-grams count at each of these shares of a text's n-grams that they reach.
 SHARES = (0.5, 0.125, 0.03125)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: What stands for each byte in a shape.
+SIGNS = bytes(97 if 97 <= c <= 122 or c > 127 else 65 if 65 <= c <= 90 else 57 if 48 <= c <= 57 else c for c in range(256))
+RUN = re.compile(rb"(.)\1+", re.DOTALL)
+
+
 def shape(word: bytes) -> bytes:
-    """Runs of letters and of digits as one sign each, other ASCII bytes as they are."""
-    out = bytearray()
-    for c in word[:64]:
-        s = 97 if 97 <= c <= 122 or c > 127 else 65 if 65 <= c <= 90 else 57 if 48 <= c <= 57 else c
-        if not out or out[-1] != s:
-            out.append(s)
-    return bytes(out)
+    """Lower letters, capitals and digits as one sign each, other ASCII bytes as they are, runs of a sign once; of the whole word."""
+    return RUN.sub(rb"\1", word.translate(SIGNS))
 
 
 class Codes(dict):
     """40 bits of a word's hash above 24 bits of its shape's."""
 
     def __missing__(self, word):
-        if len(self) > CACHED:
-            self.clear()
-        self[word] = v = (xxhash.xxh64_intdigest(word) >> 24 << 24) | (xxhash.xxh64_intdigest(shape(word)) & 0xFFFFFF)
+        v = (xxhash.xxh64_intdigest(word) >> 24 << 24) | (xxhash.xxh64_intdigest(shape(word)) & 0xFFFFFF)
+        if len(word) <= LONG:
+            if len(self) > CACHED:
+                self.clear()
+            self[word] = v
         return v
 
 

@@ -2,7 +2,7 @@ import zlib
 
 import numpy as np
 
-from tessera.llm.quality import Codes, features, fitted, margin, quality_scores
+from tessera.llm.quality import Codes, features, fitted, margin, quality_scores, shape
 
 
 def test_held_out_accuracy(spark, sf):
@@ -40,3 +40,20 @@ def test_descent_separates():
     good = np.array([True] * 6 + [False] * 6)
     w, s = fitted(rows, good)
     assert all((margin(r, w, s) > 0) == g for r, g in zip(rows, good))
+
+
+def test_shape_is_of_the_whole_word():
+    def plain(word):
+        out = []
+        for c in word:
+            s = 97 if 97 <= c <= 122 or c > 127 else 65 if 65 <= c <= 90 else 57 if 48 <= c <= 57 else c
+            if not out or out[-1] != s:
+                out.append(s)
+        return bytes(out)
+
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 5, 63, 64, 65, 5000):
+        for _ in range(20):
+            word = rng.integers(0, 256, n).astype(np.uint8).tobytes()
+            assert shape(word) == plain(word)
+    assert shape(b"a" * 64 + b"Z9-") == b"aA9-" and shape(("中文" * 40 + "ab,12").encode()) == b"a,9"
