@@ -3,43 +3,66 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import LongType
 
 # Fixed values of the published FNV-1a hash.
 FNV32_OFFSET, FNV32_PRIME = 2166136261, 16777619
 FNV64_OFFSET, FNV64_PRIME = 14695981039346656037, 1099511628211
-MASK32 = 0xFFFFFFFF
+#: Keys that are hashed one by one once no more are as long.
+FEW = 16
+
+
+def fnv1a(keys: pa.Array, offset: int, prime: int, kind: type) -> np.ndarray:
+    """FNV-1a of the UTF-8 bytes of strings: a byte of all keys that are as long at a time; the last few, very long keys alone."""
+    raw = keys.fill_null("").cast(pa.large_binary())
+    at = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    data = np.frombuffer(raw.buffers()[2], np.uint8) if raw.buffers()[2] else np.zeros(0, np.uint8)
+    size = np.diff(at)
+    order = np.argsort(-size, kind="stable")
+    start, size = at[:-1][order], size[order]
+    h = np.full(len(order), offset, kind)
+    k = 0
+    while (live := int(np.searchsorted(-size, -k, side="left"))) > FEW:
+        h[:live] = (h[:live] ^ data[start[:live] + k]) * kind(prime)
+        k += 1
+    mask = (1 << 8 * h.itemsize) - 1
+    for j in range(live):
+        x = int(h[j])
+        for c in data[start[j] + k : start[j] + size[j]].tolist():
+            x = (x ^ c) * prime & mask
+        h[j] = x
+    out = np.empty_like(h)
+    out[order] = h
+    return out
 
 
-def byte_values(key: Column) -> Column:
-    """The UTF-8 bytes of a string as an array of numbers."""
-    digits = F.hex(F.encode(key, "UTF-8"))
-    at = F.filter(F.sequence(F.lit(0), F.octet_length(key)), lambda i: i > 0)
-    return F.transform(at, lambda i: F.conv(F.substr(digits, 2 * i - 1, F.lit(2)), 16, 10).cast("long"))
+def _longs(h: np.ndarray, keys: pa.Array) -> pa.Array:
+    return pa.array(h.astype(np.int64) if h.itemsize < 8 else h.view(np.int64), mask=keys.is_null().to_numpy(zero_copy_only=False))
 
 
-def fnv32(key: Column) -> Column:
-    """FNV-1a of 32 bits, as a long from 0 to 2**32 - 1."""
-    return F.aggregate(byte_values(key), F.lit(FNV32_OFFSET).cast("long"), lambda h, b: (h.bitwiseXOR(b) * FNV32_PRIME).bitwiseAND(F.lit(MASK32)))
+@arrow_udf(LongType())
+def _fnv32(keys: pa.Array) -> pa.Array:
+    return _longs(fnv1a(keys, FNV32_OFFSET, FNV32_PRIME, np.uint32), keys)
 
 
-def fnv64(key: Column) -> Column:
-    """FNV-1a of 64 bits as a signed long. The product by 2**40 + 435 is taken in two limbs of 32 bits, so nothing overflows."""
-    low = FNV64_PRIME & MASK32
-    start = F.struct(F.lit(FNV64_OFFSET >> 32).alias("hi"), F.lit(FNV64_OFFSET & MASK32).alias("lo"))
+@arrow_udf(LongType())
+def _fnv64(keys: pa.Array) -> pa.Array:
+    return _longs(fnv1a(keys, FNV64_OFFSET, FNV64_PRIME, np.uint64), keys)
+
+
+def fnv32(key: Column) -> Column:
+    """FNV-1a of 32 bits, as a long from 0 to 2**32 - 1; null stays null. Spark has no wrapping product of words, so it is an
+    Arrow function over whole columns."""
+    return _fnv32(key.cast("string"))
 
-    def step(h, b):
-        x = h["lo"].bitwiseXOR(b)
-        wide = x * low
-        hi = (h["hi"] * low + F.shiftright(wide, 32) + F.shiftleft(x, 8)).bitwiseAND(F.lit(MASK32))
-        return F.struct(hi.alias("hi"), wide.bitwiseAND(F.lit(MASK32)).alias("lo"))
 
-    joined = F.aggregate(byte_values(key), start, step)
-    return F.shiftleft(joined["hi"], 32).bitwiseOR(joined["lo"])
+def fnv64(key: Column) -> Column:
+    """FNV-1a of 64 bits as a signed long; null stays null."""
+    return _fnv64(key.cast("string"))
 
 
 def bucket_of(key: Column, n: int) -> Column:
@@ -57,10 +80,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-@pandas_udf(LongType())
-def mix64(h: pd.Series) -> pd.Series:
+@arrow_udf(LongType())
+def mix64(h: pa.Array) -> pa.Array:
     """mixed() of a signed long column; null stays null."""
-    known = h.notna()
-    out = pd.Series([None] * len(h), dtype="Int64")
-    out[known.to_numpy()] = mixed(h[known].to_numpy(np.int64).view(np.uint64)).view(np.int64)
-    return out
+    return _longs(mixed(h.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)), h)

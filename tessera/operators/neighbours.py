@@ -1,8 +1,8 @@
 """Nearest neighbours of dense vectors: exact, by sign codes, by inverted lists, and by product-quantised residuals.
 
-Queries go out in blocks of a bounded number of components; every task multiplies its rows with a block as matrices, keeps k rows
-for each query, and the lists of all tasks are merged by rank. There is no graph index here: a graph walk is one long chain of
-dependent reads, so inverted lists with a probe count are the tunable approximate search.
+Vectors stand in tiles of the shared folder. Every search is a table of pairs of tiles, compared as matrices (operators.tiles).
+Inverted lists are assigned and written once, as tiles by list, and probed by any number of searches. There is no graph index
+here: a graph walk is one long chain of dependent reads, so inverted lists with a probe count are the tunable approximate search.
 """
 
 from __future__ import annotations
@@ -12,13 +12,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Components of a block of queries.
-BLOCK = 1 << 22
+from ..sources.blocks import sliced
+from .tiles import Best, best_pairs, matrix, merged, most_tiles, parts, tiled
+
 #: Training vectors that centroids and codebooks are fit on at most.
 SAMPLE = 20_000
+#: Rows by code distance, in multiples of k, whose exact distances decide.
+REFINE = 30
+#: Part of a product's magnitude within which distances are told apart by sums of squares.
+NEAR = 1e-9
 
 
 def vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -27,76 +32,60 @@ def vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return df.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).where(whole).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    n = len(column)
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(n, len(flat) // n) if n else np.zeros((0, 0))
+def squared(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Squared distances of all pairs, from a matrix product."""
+    return np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * q @ x.T, 0)
 
 
-Distances = Callable[[np.ndarray, np.ndarray], np.ndarray]
+def nearest(x: np.ndarray, centre: np.ndarray, n: int = 1) -> np.ndarray:
+    """The n nearest centres of each row, nearest first; a bounded product at a time."""
+    out = [np.argsort(squared(x[p], centre), axis=1, kind="stable")[:, :n] if n > 1 else squared(x[p], centre).argmin(1)[:, None] for p in parts(len(x), len(centre))]
+    return np.concatenate(out) if out else np.zeros((0, n), np.int64)
 
 
-def squared(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Squared distances of all pairs, from a matrix product."""
-    return np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * q @ x.T, 0)
+def closest(q: np.ndarray, x: np.ndarray, ids: np.ndarray, best: Best, rough: Callable[[slice], np.ndarray] | None = None) -> None:
+    """Puts the nearest rows of x to each query into best, by sums of squares. rough gives other distances that choose the rows."""
+    k = best.k
+    keep = min(len(ids), REFINE * k if rough else 2 * k + 8)
+    for p in parts(len(q), len(ids)):
+        d = rough(p) if rough else squared(q[p], x)
+        scale = NEAR * ((q[p] * q[p]).sum(1) + (x * x).sum(1).max(initial=0)) if rough is None else np.zeros(len(d))
+        bound = np.partition(d, keep - 1, axis=1)[:, keep - 1] if keep < len(ids) else np.full(len(d), np.inf)
+        bound = bound if rough else np.minimum(bound, best.worst[p])
+        row, col = np.nonzero(d <= (bound + scale)[:, None])  # ties at the bound stay, so the smaller id wins
+        for a in range(0, len(row), 1 << 16):
+            r, c = row[a : a + (1 << 16)] + p.start, col[a : a + (1 << 16)]
+            value = ((q[r] - x[c]) ** 2).sum(1)
+            some = value <= best.worst[r]
+            best.add(r[some], value[some], ids[c[some]])
 
 
-def best(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, distances: Distances, exact: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query position, id, distance) of the k nearest; exact: products find a few more, whose distances are summed anew."""
-    d = distances(q, x)
-    keep = min(len(ids), 2 * k + 8 if exact else k)
-    if keep < len(ids):
-        bound = np.partition(d, keep - 1, axis=1)[:, keep - 1]
-        row, col = np.nonzero(d <= bound[:, None])  # ties at the bound stay, so the smaller id wins below
-    else:
-        row, col = (a.ravel() for a in np.indices(d.shape))
-    value = ((q[row] - x[col]) ** 2).sum(1) if exact else d[row, col]
-    order = np.lexsort((ids[col], value, row))
-    row, col, value = row[order], col[order], value[order]
-    place = np.arange(len(row)) - np.searchsorted(row, np.arange(len(q)))[row]
-    return row[place < k], ids[col[place < k]], value[place < k]
-
-
-def search(base: DataFrame, queries: DataFrame, k: int, prepare, compare) -> DataFrame:
-    """(qid, rank, id, distance): compare(block, batch) gives (query id, id, distance) lists of a batch; prepare makes a block of
-    queries (ids, matrix) what is broadcast."""
-    spark = base.sparkSession
-    width = queries.agg(F.max(F.size("vec"))).first()[0] or 1
-    parts = max(1, -(-queries.count() * width // BLOCK))
-    out = None
-    for p in range(parts):
-        got = queries.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == p).orderBy("id").toArrow().combine_chunks()
-        ids = got["id"].to_numpy()
-        held = spark.sparkContext.broadcast(prepare(ids, matrix(got["vec"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.float64())))))
-
-        def run(batches, held=held):
-            kept = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-            for b in batches:
-                if b.num_rows and len(held.value["ids"]):
-                    kept = [np.concatenate(x) for x in zip(kept, compare(held.value, b))]
-                    order = np.lexsort((kept[1], kept[2], kept[0]))
-                    kept = [x[order] for x in kept]
-                    new = np.concatenate([[True], kept[0][1:] != kept[0][:-1]])
-                    at = np.flatnonzero(new)
-                    place = np.arange(len(new)) - at[np.cumsum(new) - 1]
-                    kept = [x[place < k] for x in kept]
-            for i in range(0, len(kept[0]), 10_000):
-                yield pa.record_batch([pa.array(x[i : i + 10_000]) for x in kept], names=["qid", "id", "distance"])
-
-        found = base.mapInArrow(run, "qid long, id long, distance double")
-        out = found if out is None else out.union(found)
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("qid", "rank", "id", "distance")
+def by_width(vecs: DataFrame) -> DataFrame:
+    """Tiles of vectors, grouped by their width: others don't compare."""
+    return tiled(vecs.select(F.size("vec").cast("long").alias("grp"), "id", "vec").sortWithinPartitions("grp"))
+
+
+def _ranked(found: DataFrame, k: int, runs: int) -> DataFrame:
+    return merged(found, ["qid"], k, runs).select("qid", "rank", "id", F.col("score").alias("distance"))
+
+
+def _queried(queries: DataFrame) -> DataFrame:
+    return queries.select(F.col("id").alias("qid"), "vec")
+
+
+def _tiles_of(queries: DataFrame) -> DataFrame:
+    return tiled(queries.select(F.size("vec").cast("long").alias("grp"), F.col("id").alias("qid"), "vec").sortWithinPartitions("grp"))
 
 
 def exact(base: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k nearest by squared distance; ties go to the smaller id. A query that is itself in the base finds itself."""
+    """(qid, rank, id, distance): the k nearest by squared distance; ties go to the smaller id. A query that is itself in the base
+    finds itself. Vectors of other widths don't compare."""
 
-    def compare(block, b):
-        row, ids, d = best(block["q"], matrix(b.column(1)), b.column(0).to_numpy(), k, squared, True)
-        return block["ids"][row], ids, d
+    def compare(q, b, _, best):
+        closest(q, matrix(b["vec"]), b["id"].to_numpy(), best)
 
-    return search(base, queries, k, lambda ids, q: {"ids": ids, "q": q}, compare)
+    tiles = by_width(base)
+    return _ranked(best_pairs(_tiles_of(queries), tiles, k, np.float64, "qid long", lambda b, _: matrix(b["vec"]), compare), k, most_tiles(tiles))
 
 
 def signs(x: np.ndarray, directions: np.ndarray) -> np.ndarray:
@@ -106,25 +95,27 @@ def signs(x: np.ndarray, directions: np.ndarray) -> np.ndarray:
     return np.packbits(np.concatenate([bits, pad], axis=1), axis=1, bitorder="little").view(np.uint64)
 
 
-def by_signs(base: DataFrame, queries: DataFrame, k: int, directions: np.ndarray) -> DataFrame:
-    """The k nearest by Hamming distance of sign codes."""
+def hamming(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(q), len(x)))
+    for k in range(q.shape[1]):
+        out += np.bitwise_count(q[:, k, None] ^ x[None, :, k])
+    return out
 
-    def hamming(q, x):
-        return np.bitwise_count(q[:, None, :] ^ x[None, :, :]).sum(axis=2).astype(np.float64)
 
-    def compare(block, b):
-        found = [[], [], []]
-        codes, ids = signs(matrix(b.column(1)), directions), b.column(0).to_numpy()
-        for i in range(0, len(block["ids"]), 512):
-            row, near, d = best(block["q"][i : i + 512], codes, ids, k, hamming, False)
-            for out, v in zip(found, (block["ids"][i + row], near, d)):
-                out.append(v)
-        return [np.concatenate(x) for x in found]
+def by_signs(base: DataFrame, queries: DataFrame, k: int, directions: np.ndarray) -> DataFrame:
+    """(qid, rank, id, distance): the k nearest by Hamming distance of sign codes, ties to the smaller id."""
 
-    def prepare(ids, q):
-        return {"ids": ids, "q": signs(q, directions) if len(ids) else np.zeros((0, 1), np.uint64)}
+    def compare(q, b, _, best):
+        codes, ids = signs(matrix(b["vec"]), directions), b["id"].to_numpy()
+        for p in parts(len(q), len(ids)):
+            d = hamming(q[p], codes)
+            keep = min(k, len(ids))
+            row, col = np.nonzero(d <= np.minimum(np.partition(d, keep - 1, axis=1)[:, keep - 1], best.worst[p])[:, None])
+            best.add(row + p.start, d[row, col], ids[col])
 
-    return search(base, queries, k, prepare, compare)
+    width = F.size("vec") == directions.shape[1]
+    tiles = by_width(base.where(width))
+    return _ranked(best_pairs(_tiles_of(queries.where(width)), tiles, k, np.float64, "qid long", lambda b, _: signs(matrix(b["vec"]), directions), compare), k, most_tiles(tiles))
 
 
 def means(x: np.ndarray, n: int, seed: int = 0, rounds: int = 15) -> np.ndarray:
@@ -134,7 +125,7 @@ def means(x: np.ndarray, n: int, seed: int = 0, rounds: int = 15) -> np.ndarray:
     rng = np.random.default_rng(seed)
     centre = some[np.sort(rng.choice(len(some), min(n, len(some)), replace=False))]
     for _ in range(rounds):
-        near = squared(x, centre).argmin(1)
+        near = nearest(x, centre)[:, 0]
         count = np.bincount(near, minlength=len(centre))
         total = np.zeros_like(centre)
         np.add.at(total, near, x)
@@ -147,14 +138,21 @@ def means(x: np.ndarray, n: int, seed: int = 0, rounds: int = 15) -> np.ndarray:
 
 @dataclass
 class Lists:
-    """An inverted-list index: centroids, and for product codes a codebook for each part of the residual."""
+    """What an inverted-list index is trained to: centroids, and for product codes a codebook for each part of the residual."""
 
     centroids: np.ndarray
     books: list[np.ndarray] | None = None
 
     def codes(self, residual: np.ndarray) -> np.ndarray:
-        parts = np.split(residual, len(self.books), axis=1)
-        return np.stack([squared(p, b).argmin(1) for p, b in zip(parts, self.books)], axis=1)
+        return np.stack([nearest(p, b)[:, 0] for p, b in zip(np.split(residual, len(self.books), axis=1), self.books)], axis=1).astype(np.uint8)
+
+
+@dataclass
+class Inverted:
+    """An inverted-list index: its training and the tiles of each list, written once."""
+
+    lists: Lists
+    tiles: DataFrame
 
 
 def training_sample(base: DataFrame, most: int = SAMPLE) -> np.ndarray:
@@ -171,39 +169,55 @@ def trained(base: DataFrame, lists: int, parts: int = 0, seed: int = 0, most: in
         return Lists(centre)
     if x.shape[1] % parts:
         raise ValueError("the vectors' width must be a multiple of the parts")
-    rest = x - centre[squared(x, centre).argmin(1)]
+    rest = x - centre[nearest(x, centre)[:, 0]]
     return Lists(centre, [means(p, 256, seed + 1 + i) for i, p in enumerate(np.split(rest, parts, axis=1))])
 
 
-def by_lists(base: DataFrame, queries: DataFrame, k: int, index: Lists, probes: int) -> DataFrame:
-    """The k nearest among the vectors of each query's nearest lists: exact distances, or those of product codes if there are any."""
-    centre, books = index.centroids, index.books
-
-    def prepare(ids, q):
-        near = np.argsort(squared(q, centre), axis=1, kind="stable")[:, : min(probes, len(centre))] if len(ids) else np.zeros((0, 1), np.int64)
-        return {"ids": ids, "q": q, "probes": near}
-
-    def compare(block, b):
-        x, ids = matrix(b.column(1)), b.column(0).to_numpy()
-        mine = squared(x, centre).argmin(1)
-        found = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
-        for n in np.unique(mine):
-            asks = np.flatnonzero((block["probes"] == n).any(1))
-            at = np.flatnonzero(mine == n)
-            if not len(asks):
-                continue
-            if books is None:
-                row, near, d = best(block["q"][asks], x[at], ids[at], k, squared, True)
-            else:
-                code = index.codes(x[at] - centre[n])
-                parts = np.split(block["q"][asks] - centre[n], len(books), axis=1)
-                d = sum(squared(p, book)[:, code[:, i]] for i, (p, book) in enumerate(zip(parts, books)))
-                row, near, d = best(block["q"][asks], x[at], ids[at], k, lambda q, x, d=d: d, False)
-            for out, v in zip(found, (block["ids"][asks[row]], near, d)):
-                out.append(v)
-        return [np.concatenate(v) for v in found]
-
-    return search(base, queries, k, prepare, compare)
+def inverted(base: DataFrame, lists: Lists) -> Inverted:
+    """Every vector in the list of its nearest centroid, with its product code if there are codebooks; lists are written as tiles.
+    Vectors are dealt out by list, and adaptive execution splits a list that is too large for one task."""
+
+    def assign(batches):
+        for b in sliced(batches, 4096):
+            x = matrix(b["vec"])
+            grp = nearest(x, lists.centroids)[:, 0]
+            code = [c.tobytes() for c in lists.codes(x - lists.centroids[grp])] if lists.books else [b""] * len(x)
+            yield pa.record_batch([pa.array(grp), b["id"], b["vec"], pa.array(code, pa.binary())], names=["grp", "id", "vec", "code"])
+
+    rows = base.where(F.size("vec") == lists.centroids.shape[1]).select("id", "vec").mapInArrow(assign, "grp long, id long, vec array<double>, code binary")
+    return Inverted(lists, tiled(rows.hint("rebalance", "grp").sortWithinPartitions("grp")))
+
+
+def probe(index: Inverted, queries: DataFrame, k: int, probes: int) -> DataFrame:
+    """(qid, rank, id, distance): the k nearest among the vectors of each query's nearest lists. Distances are exact; with product
+    codes these choose REFINE * k rows of a tile whose exact distances decide."""
+    lists = index.lists
+    centre, books = lists.centroids, lists.books
+
+    def ask(batches):
+        for b in sliced(batches, 4096):
+            near = nearest(matrix(b["vec"]), centre, min(probes, len(centre)))
+            each = pa.array(np.repeat(np.arange(len(near)), near.shape[1]))
+            yield pa.record_batch([pa.array(near.reshape(-1)), b["qid"].take(each), b["vec"].take(each)], names=["grp", "qid", "vec"])
+
+    def compare(q, b, group, best):
+        x, ids = matrix(b["vec"]), b["id"].to_numpy()
+        if books is None:
+            closest(q, x, ids, best)
+            return
+        code = np.frombuffer(b"".join(b["code"].to_pylist()), np.uint8).reshape(len(ids), len(books))
+        cut = np.split(q - centre[group], len(books), axis=1)
+        closest(q, x, ids, best, lambda p: sum(squared(c[p], book)[:, code[:, i]] for i, (c, book) in enumerate(zip(cut, books))))
+
+    asked = _queried(queries.where(F.size("vec") == centre.shape[1])).mapInArrow(ask, "grp long, qid long, vec array<double>")
+    tiles = tiled(asked.hint("rebalance", "grp").sortWithinPartitions("grp"))
+    found = best_pairs(tiles, index.tiles, k, np.float64, "qid long", lambda b, _: matrix(b["vec"]), compare)
+    return _ranked(found, k, 1)  # a query has a list of each probe
+
+
+def by_lists(base: DataFrame, queries: DataFrame, k: int, lists: Lists, probes: int) -> DataFrame:
+    """An index of base, probed once."""
+    return probe(inverted(base, lists), queries, k, probes)
 
 
 def recall(found: DataFrame, true: DataFrame, k: int) -> DataFrame:

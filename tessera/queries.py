@@ -18,6 +18,8 @@ THRESHOLD = 0.5
 TABLES = nearpairs.Tables.drawn(10, THRESHOLD)
 K = 10
 BITS = 64
+#: Inverted lists, and how many of them a query probes. The tables' vectors are spread evenly, so few lists don't hold the nearest.
+LISTS, PROBES = 16, 12
 DIRECTIONS = np.round(np.random.default_rng(5).normal(size=(BITS, 64)), 6)
 FAMILIES = ["A", "N", "R"]
 
@@ -144,8 +146,9 @@ def cm_size(spark, sf):
 
 @query("SELECT o_orderkey, o_custkey, c_name AS value, c_custkey IS NOT NULL AS found FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
 def phf_lookup(spark, sf):
-    dim = static.build(table(spark, sf, "customer"), "c_custkey")
-    return static.get(dim, table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "c_custkey", "o_custkey", "c_name")
+    """Orders probe the perfect hash of the customers' keys."""
+    index = static.build(table(spark, sf, "customer"), "c_custkey", ["c_name"])
+    return static.get(index, table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_custkey", "c_name")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
@@ -153,30 +156,31 @@ def phf_missing(spark, sf):
     return static.missing(table(spark, sf, "orders").select("o_custkey").distinct(), table(spark, sf, "customer").select("c_custkey"), "o_custkey", "c_custkey")
 
 
-@query()
-def phf_bucket_hist(spark, sf):
-    dim = table(spark, sf, "customer")
-    return static.bucket_sizes(dim, "c_name", 1024)
+FNV64 = "list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(1, strlen({0}) + 1), lambda i: ('0x' || substr(hex({0}), 2 * i - 1, 2))::HUGEINT)), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616::HUGEINT)"
 
 
-def hashed(spark, sf) -> DataFrame:
-    """Minimal perfect hashes of shards of about 10,000 customers, so that a task's share stays the same at any size."""
-    dim = table(spark, sf, "customer")
-    return static.perfect_hash(dim, "c_name", max(8, -(-dim.count() // 10_000)))
+@query(f"SELECT size, count(*) AS buckets FROM (SELECT count(*) AS size FROM (SELECT {FNV64.format('c_name')} % 1024 AS b FROM customer) GROUP BY b) GROUP BY 1")
+def phf_bucket_hist(spark, sf):
+    return static.bucket_sizes(table(spark, sf, "customer"), "c_name", 1024)
 
 
 @query("SELECT c_name AS key, TRUE AS own_slot FROM customer")
 def phf_slots(spark, sf):
-    """Every key of the perfect hashes of the customers, and whether its slot is its own."""
-    made = hashed(spark, sf)
-    shared = made.groupBy("shard", "slot").agg(F.count("*").alias("n"))
-    fits = (F.col("n") == 1) & (F.col("slot") >= 0) & (F.col("slot") < F.col("table_size"))
-    return made.join(shared, ["shard", "slot"]).select("key", fits.alias("own_slot"))
+    """Every customer's name, its slot by probing the perfect hash, and whether the slot is its own and among as many as there are keys."""
+    dim = table(spark, sf, "customer").select(F.col("c_name").alias("key"))
+    index = static.perfect_hash(dim, "key")
+    made = static.slots(index, dim, "key")
+    shared = made.groupBy("_shard", "_slot").agg(F.count("*").alias("n"))
+    whole = index.function.select(F.col("shard").alias("_shard"), "keys")
+    fits = (F.col("n") == 1) & (F.col("_slot") >= 0) & (F.col("_slot") < F.col("keys"))
+    return made.join(shared, ["_shard", "_slot"]).join(whole, "_shard").select("key", fits.alias("own_slot"))
 
 
-@query("SELECT count(*) AS keys, 32.0::DOUBLE AS bits_per_key FROM customer")
+@query("SELECT count(DISTINCT c_name) AS keys, count(DISTINCT c_name) / count(c_name) AS load_factor, TRUE AS compact FROM customer")
 def phf_structure(spark, sf):
-    return static.structure(hashed(spark, sf)).select("keys", "bits_per_key")
+    """The perfect hash's keys, how full its slots are, and whether it takes under 8 bits a key (an array of 32-bit displacements takes 32)."""
+    made = static.structure(static.perfect_hash(table(spark, sf, "customer"), "c_name"))
+    return made.select("keys", "load_factor", (F.col("bits_per_key") < 8).alias("compact"))
 
 
 def points(spark, sf) -> DataFrame:
@@ -313,16 +317,30 @@ def knn_recall(spark, sf):
     return got.withColumn("recall", F.round("recall", 9))
 
 
+def neighbours_by_lists(spark, sf, parts: int) -> DataFrame:
+    """An index of LISTS lists, probed by every vector."""
+    b = written(base(spark, sf), "vectors")
+    return neighbours.by_lists(b, b, K, neighbours.trained(b, LISTS, parts), PROBES).select("qid", "rank", "id")
+
+
 @query()
 def knn_ivf(spark, sf):
-    b = written(base(spark, sf), "vectors")
-    return neighbours.by_lists(b, b, K, neighbours.trained(b, 16), 4).select("qid", "rank", "id")
+    return neighbours_by_lists(spark, sf, 0)
 
 
 @query()
 def knn_ivfpq(spark, sf):
-    b = written(base(spark, sf), "vectors")
-    return neighbours.by_lists(b, b, K, neighbours.trained(b, 16, 8), 8).select("qid", "rank", "id")
+    return neighbours_by_lists(spark, sf, 8)
+
+
+@query(f"{VECTORS} SELECT method, count(*) * {K} AS wanted, TRUE AS enough FROM v, (VALUES ('ivf'), ('ivfpq')) AS m(method) GROUP BY 1")
+def knn_lists_recall(spark, sf):
+    """How many neighbours the searches by inverted lists should find, and whether they find at least nine in ten of those that exact
+    search finds."""
+    b = base(spark, sf)
+    true = written(neighbours.exact(b, b, K), "true")
+    each = [neighbours.recall(f(spark, sf), true, K).withColumn("method", F.lit(m)) for m, f in (("ivf", knn_ivf), ("ivfpq", knn_ivfpq))]
+    return each[0].union(each[1]).select("method", "wanted", (F.col("recall") >= 0.9).alias("enough"))
 
 
 SWEPT = "SELECT p_name || '-' || p_partkey AS name, split_part(p_type, ' ', 1) AS family, (p_partkey * 37 % 1000) / 1000.0::DOUBLE AS recall, p_retailprice AS search_ms_per_q, CAST(p_size AS BIGINT) * 1000 AS index_bytes, CAST(p_partkey % 11 AS DOUBLE) AS build_s FROM part"

@@ -1,6 +1,7 @@
 import random
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,8 +25,6 @@ def test_hashes(spark):
     for r in df.select("k", fnv32(F.col("k")).alias("a"), fnv64(F.col("k")).alias("b"), bucket_of(F.col("k"), 7).alias("c"), mix64(fnv64(F.col("k"))).alias("d")).collect():
         data = r["k"].encode()
         assert r["a"] == fnv(data, 32) and r["b"] % 2**64 == fnv(data, 64) and r["c"] == fnv(data, 32) % 7
-        import numpy as np
-
         assert r["d"] % 2**64 == int(mixed(np.array([fnv(data, 64)], np.uint64))[0])
     with pytest.raises(ValueError):
         bucket_of(F.col("k"), 0)
@@ -109,17 +108,38 @@ def test_merges(spark):
 
 
 def test_static_tables(spark):
-    dim = spark.createDataFrame([(f"prefix-{i:04d}", str(i * i)) for i in range(700)] + [(k, k) for k in ODD[:6]], "key string, value string")
-    made = static.perfect_hash(static.build(dim, "key"), "key", 4)
-    rows = made.collect()
+    dim = spark.createDataFrame([(f"prefix-{i:04d}", str(i * i)) for i in range(7000)] + [(k, k) for k in ODD[:6]], "key string, value string")
+    index = static.build(dim, "key")
+    rows = index.table.collect()
     assert {r["key"] for r in rows} == {r["key"] for r in dim.collect()}
-    assert len({(r["shard"], r["slot"]) for r in rows}) == len(rows) and all(0 <= r["slot"] < r["table_size"] for r in rows)
-    s = static.structure(made).first()
-    assert s["keys"] == len(rows) and 0.9 <= s["load_factor"] <= 1 and s["bits_per_key"] == 32
-    probes = spark.createDataFrame([("prefix-0003",), ("PREFIX-0003",), ("",), ("zzz",)], "p string")
-    got = {r["p"]: (r["value"], r["found"]) for r in static.get(dim, probes, "key", "p", "value").collect()}
-    assert got == {"prefix-0003": ("9", True), "PREFIX-0003": (None, False), "": ("", True), "zzz": (None, False)}
-    with pytest.raises(ValueError):
+    sizes = {r["shard"]: r["keys"] for r in index.function.collect()}
+    assert sorted((r["shard"], r["slot"]) for r in rows) == sorted((s, k) for s, n in sizes.items() for k in range(n))
+    s = static.structure(index).first()
+    assert s["keys"] == len(rows) and s["load_factor"] == 1 and 2 < s["bits_per_key"] < 8
+    probes = spark.createDataFrame([("prefix-0003",), ("PREFIX-0003",), ("",), (None,), ("prefix-0003",)] + [(f"none-{i}",) for i in range(500)], "p string")
+    got = static.get(index, probes, "p", "value").collect()
+    assert len(got) == 505 and {r["p"]: (r["value"], r["found"]) for r in got if r["found"]} == {"prefix-0003": ("9", True), "": ("", True)}
+    assert sum(r["found"] for r in got) == 3 and all(r["value"] is None for r in got if not r["found"])
+    with pytest.raises(ValueError, match="not unique"):
         static.build(dim.union(dim.limit(1)), "key")
-    assert static.structure(static.perfect_hash(dim.limit(0), "key", 4)).first()["keys"] is None
-    assert sum(1 for _ in static.batches(probes)) == 4
+    assert static.duplicates(dim.union(dim.limit(2)), "key").count() == 2
+    empty = static.build(dim.limit(0), "key")
+    assert static.structure(empty).first()["keys"] == 0 and static.get(empty, probes, "p", "value").where("found").count() == 0
+    assert sum(1 for _ in static.batches(probes)) == 505
+
+
+def test_levels_place_every_key_once():
+    rng = np.random.default_rng(3)
+    shard = np.sort(rng.integers(0, 9, 3000))
+    few = np.concatenate([shard, [20], [21, 21]])
+    hashes = [rng.integers(-(2**63), 2**63 - 1, len(few)) for _ in range(static.LEVELS + 1)]
+    for h in hashes[1:]:
+        h[-2:] = 77  # two keys that no level tells apart are listed
+    got = static.leveled(few, hashes).to_pylist()
+    assert [r["keys"] for r in got] == np.unique(few, return_counts=True)[1].tolist()
+    for r in got:
+        ones = sum(int(w & (2**64 - 1)).bit_count() for w in r["words"])
+        assert ones + len(r["rest"]) == r["keys"] and r["before"][-1] == ones and r["repeated"] is None
+    assert got[-1]["rest"] == sorted(hashes[0][-2:].tolist())
+    hashes[0][-2:] = 5
+    assert static.leveled(few, hashes).to_pylist()[-1]["repeated"] == 5
