@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,11 +57,29 @@ def merge(rows: DataFrame, key: str, merged: Column) -> DataFrame:
     return rows.groupBy(F.col(key).alias("key")).agg(merged.alias("value"))
 
 
-def merge_ordered(rows: DataFrame, key: str, value: str, order: str, merger) -> DataFrame:
-    """Values of a key under any merger (old, new), in order. A key's values are held at once: for small groups only."""
-    told = rows.groupBy(F.col(key).alias("key")).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))).alias("all"))
-    rest = F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0)))
-    return told.select("key", F.aggregate(rest, F.element_at("all", 1)["v"], lambda a, x: merger(a, x["v"])).alias("value"))
+def merge_ordered(rows: DataFrame, key: str, value: str, order: str, merger: Callable[[Any, Any], Any]) -> DataFrame:
+    """Values of a key under any merger (old, new) of Python values, in order. A merger that is not associative can't be split, so a
+    key is one task's work, but its values go by one at a time: a task holds one key's merged value and a batch."""
+    kinds = dict(rows.dtypes)
+
+    def fold(batches):
+        now, held, some = None, None, False
+        for b in batches:
+            out: list[tuple] = []
+            for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if some and k == now:
+                    held = merger(held, v)
+                    continue
+                if some:
+                    out.append((now, held))
+                now, held, some = k, v, True
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out) if out else ([], []), b.schema.types)], names=["key", "value"])
+            types = b.schema.types
+        if some:
+            yield pa.record_batch([pa.array([x], t) for x, t in zip((now, held), types)], names=["key", "value"])
+
+    dealt = rows.repartition(key).sortWithinPartitions(key, order)
+    return dealt.select(F.col(key).alias("key"), F.col(value).alias("value")).mapInArrow(fold, f"key {kinds[key]}, value {kinds[value]}")
 
 
 def merge_running(rows: DataFrame, key: str, value: str, order: tuple[str, ...], segment: Column) -> DataFrame:
@@ -73,6 +95,11 @@ def merge_running(rows: DataFrame, key: str, value: str, order: tuple[str, ...],
     return joined.withColumn("merged", F.col("_i") + F.col("_b")).drop("_s", "_i", "_k", "_t", "_b")
 
 
+def cleared(rows: DataFrame) -> DataFrame:
+    """The table without its rows."""
+    return rows.where(F.lit(False))
+
+
 def size(rows: DataFrame, key: str) -> DataFrame:
     """Distinct keys; null is one of them if there."""
     return rows.select(key).distinct().agg(F.count("*").alias("size"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_path
+
 #: Projections that make up one table's key, and a cell's width in thresholds.
 PROJECTIONS, WIDTHS = 3, 3.0
 
@@ -69,22 +72,66 @@ def cells(points: DataFrame, tables: Tables) -> DataFrame:
     return points.select("pos", "x", "y", "z", F.explode(keys).alias("k")).select("pos", "x", "y", "z", "k.t", "k.c0", "k.c1", "k.c2")
 
 
+def _shared(a: DataFrame, b: DataFrame, tables: Tables, *tests: Column) -> DataFrame:
+    """Pairs (a, b) of rows of cells that share a cell and pass the tests, each pair from the first table whose cell both share:
+    pairs come out once, without a shuffle to make them distinct. Earlier tables are a loop over a constant, not code for each."""
+    same = (F.col("a.t") == F.col("b.t")) & (F.col("a.c0") == F.col("b.c0")) & (F.col("a.c1") == F.col("b.c1")) & (F.col("a.c2") == F.col("b.c2"))
+    for test in tests:
+        same = same & test
+    drawn = F.array(*[F.struct(*[F.array(*[F.lit(v) for v in (*d, o)]).alias(f"p{j}") for j, (d, o) in enumerate(zip(ds, os))]) for ds, os in zip(tables.directions, tables.offsets)])
+
+    def cell(point: str, p: Column) -> Column:
+        return F.floor((F.col(f"{point}.x") * p[0] + F.col(f"{point}.y") * p[1] + F.col(f"{point}.z") * p[2] + p[3]) / tables.width)
+
+    def together(table: Column) -> Column:
+        first, *others = (cell("a", table[f"p{j}"]) == cell("b", table[f"p{j}"]) for j in range(PROJECTIONS))
+        for c in others:
+            first = first & c
+        return first
+
+    return a.join(b, same & ~F.exists(F.slice(drawn, F.lit(1), F.col("a.t")), together))
+
+
 def candidates(points: DataFrame, tables: Tables) -> DataFrame:
     """Distinct pairs that share a cell of some table, with their squared distance."""
     c = cells(points, tables)
-    a, b = c.alias("a"), c.alias("b")
-    same = (F.col("a.t") == F.col("b.t")) & (F.col("a.c0") == F.col("b.c0")) & (F.col("a.c1") == F.col("b.c1")) & (F.col("a.c2") == F.col("b.c2"))
-    pairs = a.join(b, same & (F.col("a.pos") < F.col("b.pos"))).select(F.col("a.pos").alias("lo"), F.col("b.pos").alias("hi"), squared_distance("a", "b").alias("d2"))
-    return pairs.dropDuplicates(["lo", "hi"])
+    pairs = _shared(c.alias("a"), c.alias("b"), tables, F.col("a.pos") < F.col("b.pos"))
+    return pairs.select(F.col("a.pos").alias("lo"), F.col("b.pos").alias("hi"), squared_distance("a", "b").alias("d2"))
 
 
 def hashed_pairs(points: DataFrame, tables: Tables, threshold: float) -> DataFrame:
-    """Candidates closer than the threshold, tested before they are made distinct: far ones never reach the shuffle."""
+    """Candidates closer than the threshold. One shuffle by cell; adaptive execution splits a hot cell's join."""
     c = cells(points, tables)
-    a, b = c.alias("a"), c.alias("b")
-    same = (F.col("a.t") == F.col("b.t")) & (F.col("a.c0") == F.col("b.c0")) & (F.col("a.c1") == F.col("b.c1")) & (F.col("a.c2") == F.col("b.c2"))
-    near = a.join(b, same & (F.col("a.pos") < F.col("b.pos")) & (squared_distance("a", "b") < threshold * threshold))
-    return near.select(F.col("a.pos").alias("lo"), F.col("b.pos").alias("hi")).distinct()
+    near = _shared(c.alias("a"), c.alias("b"), tables, F.col("a.pos") < F.col("b.pos"), squared_distance("a", "b") < threshold * threshold)
+    return near.select(F.col("a.pos").alias("lo"), F.col("b.pos").alias("hi"))
+
+
+@dataclass(frozen=True)
+class Stored:
+    """An index of near pairs that grows: the cells of all points so far, a folder of them for each batch added."""
+
+    path: str
+    tables: Tables
+    threshold: float
+
+
+def stored(spark: SparkSession, tables: Tables, threshold: float, path: str | None = None) -> Stored:
+    return Stored(path or shared_path(spark, "cells"), tables, threshold)
+
+
+def add(index: Stored, points: DataFrame, batch: int) -> DataFrame:
+    """Adds a batch of points, numbered from 0, and returns the pairs (lo, hi) that it makes: among themselves and with all earlier
+    ones. Only the batch is hashed; batches before it are read as they were written. Adding a batch again replaces it."""
+    spark, limit = points.sparkSession, index.threshold * index.threshold
+    cells(points, index.tables).write.mode("overwrite").parquet(f"{index.path}/batch={batch}")
+    new = spark.read.parquet(f"{index.path}/batch={batch}")
+    close = squared_distance("a", "b") < limit
+    named = [F.least("a.pos", "b.pos").alias("lo"), F.greatest("a.pos", "b.pos").alias("hi")]
+    pairs = _shared(new.alias("a"), new.alias("b"), index.tables, F.col("a.pos") < F.col("b.pos"), close).select(*named)
+    if not batch:
+        return pairs
+    old = spark.read.parquet(*[f"{index.path}/batch={k}" for k in range(batch)])
+    return pairs.union(_shared(old.alias("a"), new.alias("b"), index.tables, close).select(*named))
 
 
 def candidate_stats(points: DataFrame, tables: Tables) -> DataFrame:
@@ -102,6 +149,37 @@ def quality(found: DataFrame, true: DataFrame) -> DataFrame:
     return out.select("found", "true", "hits", share("true").alias("recall"), share("found").alias("precision"))
 
 
+def candidate_ratio(points: DataFrame, tables: Tables) -> DataFrame:
+    """(unique_candidates, all_pairs, candidate_ratio): distinct candidates among all pairs; 0 for fewer than two points."""
+    n = points.agg(F.expr("count(*) * (count(*) - 1) div 2").alias("all_pairs"))
+    both = candidate_stats(points, tables).select("unique_candidates").join(n)
+    return both.withColumn("candidate_ratio", F.when(F.col("all_pairs") == 0, 0.0).otherwise(F.col("unique_candidates") / F.col("all_pairs")))
+
+
+def metrics(spark: SparkSession, n: int, threshold: float, seeds: list[int], tables: int = 10) -> DataFrame:
+    """Means and sample deviations over seeds of generated points: true pairs, candidates and their share of all pairs, recall,
+    precision, milliseconds of the naive and the hashed search, and how much faster the latter is."""
+    rows = []
+
+    def timed(df: DataFrame) -> float:
+        began = time.perf_counter()
+        df.write.format("noop").mode("overwrite").save()
+        return (time.perf_counter() - began) * 1000
+
+    for seed in seeds:
+        points, drawn = generated(spark, n, threshold, seed).cache(), Tables.drawn(tables, threshold, seed + 1000)
+        points.count()
+        naive, hashed = naive_pairs(points, threshold), hashed_pairs(points, drawn, threshold)
+        slow, fast = timed(naive), timed(hashed)
+        q, c = quality(hashed, naive).first(), candidate_ratio(points, drawn).first()
+        points.unpersist()
+        rows.append((n, float(q["true"]), float(c["unique_candidates"]), c["candidate_ratio"], q["recall"], q["precision"], fast, slow, slow / fast))
+    names = ["true_pairs", "candidates", "candidate_ratio", "recall", "precision", "find_ms", "naive_ms", "speedup"]
+    each = spark.createDataFrame(rows, "n long, " + ", ".join(f"{c} double" for c in names))
+    deviation = lambda c: F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(f"{c}_std")
+    return each.groupBy("n").agg(F.count("*").alias("seeds"), *[f for c in names for f in (F.avg(c).alias(f"{c}_mean"), deviation(c))])
+
+
 def generated(spark: SparkSession, n: int, threshold: float, seed: int = 11, copies: float = 0.12) -> DataFrame:
     """(pos, x, y, z): a jittered lattice 4.5 thresholds wide, and copies at 0.18 to 0.30 thresholds of points of their own."""
     if n <= 0:

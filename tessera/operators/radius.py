@@ -1,11 +1,16 @@
-"""All points within a radius of each centre: naive, over covering cells, and over bands of latitude with bounding windows."""
+"""All points within a radius of each centre: naive, over covering cells, over bands of latitude with bounding windows, and over the
+leaves of a tree of median splits."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sphere import cell, clamp_lat, half_height, half_width, haversine_term, largest_term, normal_lng
+from ..session import shared_path
 
 
 def normal(points: DataFrame) -> DataFrame:
@@ -30,15 +35,30 @@ def naive(points: DataFrame, centres: DataFrame) -> DataFrame:
     return q.join(p, _inside()).select("q.qid", "p.id")
 
 
+def _round(degrees: float) -> tuple[int, float]:
+    """Cells round the circle, and their width."""
+    if not degrees > 0:
+        raise ValueError("cells must have a positive width")
+    n = max(1, int(360 / degrees))
+    return n, 360.0 / n
+
+
+def celled(points: DataFrame, degrees: float) -> DataFrame:
+    """Points (id, lat, lng) in normal form with their cell (cy, cx)."""
+    round_, wide = _round(degrees)
+    return normal(points).select("id", "lat", "lng").withColumns({"cy": cell(F.col("lat"), degrees), "cx": F.pmod(cell(F.col("lng") + 180.0, wide), F.lit(round_))})
+
+
 def over_cells(points: DataFrame, centres: DataFrame, degrees: float = 5.0) -> DataFrame:
     """The same by an equi-join on cells: a centre stands in every cell that its window touches, once each. Longitude is cut
     into equal cells of at least degrees, counted round the circle."""
-    if not degrees > 0:
-        raise ValueError("cells must have a positive width")
-    round_ = max(1, int(360 / degrees))
-    wide = 360.0 / round_
-    p, q = _sides(points, centres)
-    p = p.withColumns({"cy": cell(F.col("p.lat"), degrees), "cx": F.pmod(cell(F.col("p.lng") + 180.0, wide), F.lit(round_))}).alias("p")
+    return _met(celled(points, degrees), centres, degrees)
+
+
+def _met(cells: DataFrame, centres: DataFrame, degrees: float) -> DataFrame:
+    round_, wide = _round(degrees)
+    p = cells.alias("p")
+    _, q = _sides(cells, centres)
     h, w = half_height(F.col("radius_m")), half_width(F.col("lat"), F.col("radius_m"))
     rows = F.sequence(cell(F.greatest(F.col("lat") - h, F.lit(-90.0)), degrees), cell(F.least(F.col("lat") + h, F.lit(90.0)), degrees))
     span = F.sequence(cell(F.col("lng") + 180.0 - w, wide), cell(F.col("lng") + 180.0 + w, wide))
@@ -47,6 +67,76 @@ def over_cells(points: DataFrame, centres: DataFrame, degrees: float = 5.0) -> D
     return q.join(p, (F.col("q.cy") == F.col("p.cy")) & (F.col("q.cx") == F.col("p.cx")) & _inside()).select("q.qid", "p.id")
 
 
+@dataclass(frozen=True)
+class Stored:
+    """A grid that grows: the cells of all points so far, a folder for each batch added."""
+
+    path: str
+    degrees: float
+
+
+def stored(spark: SparkSession, degrees: float = 5.0, path: str | None = None) -> Stored:
+    _round(degrees)
+    return Stored(path or shared_path(spark, "grid"), degrees)
+
+
+def add(grid: Stored, points: DataFrame, batch: int) -> None:
+    """Adds a batch of points, numbered by the caller; adding a batch again replaces it."""
+    celled(points, grid.degrees).write.mode("overwrite").parquet(f"{grid.path}/batch={batch}")
+
+
+def find(grid: Stored, centres: DataFrame) -> DataFrame:
+    """(qid, id) of all points added so far; their cells are read as they were written."""
+    return _met(centres.sparkSession.read.schema("id long, lat double, lng double, cy long, cx long").parquet(grid.path), centres, grid.degrees)
+
+
+def splits(points: DataFrame, depth: int, sample: int = 20_000) -> list:
+    """A tree of median splits, latitude and longitude by turns: (column, value, below, above), down to leaves, which are boxes
+    [least latitude, most latitude, least longitude, most longitude]. Medians are those of a bounded sample, the points of the
+    smallest hash of their id: where a tree is cut decides only how even its leaves are."""
+    rows = np.array([(r["lat"], r["lng"]) for r in points.select("id", "lat", "lng").orderBy(F.xxhash64("id"), "id").limit(sample).collect()]).reshape(-1, 2)
+
+    def cut(rows: np.ndarray, box: list[float], level: int):
+        if level == depth or len(rows) < 2:
+            return box
+        axis = level % 2
+        at = float(np.partition(rows[:, axis], len(rows) // 2)[len(rows) // 2])
+        low, high = list(box), list(box)
+        low[2 * axis + 1] = high[2 * axis] = at
+        inside = rows[:, axis] < at
+        return ("lat" if axis == 0 else "lng", at, cut(rows[inside], low, level + 1), cut(rows[~inside], high, level + 1))
+
+    return cut(rows, [-90.0, 90.0, -180.0, 180.0], 0)
+
+
+def over_tree(points: DataFrame, centres: DataFrame, depth: int = 6) -> DataFrame:
+    """The same by an equi-join on the leaves of a tree of median splits: a point has one leaf, a centre those whose box its window
+    touches. The tree has at most 2**depth leaves, whatever the number of points."""
+    p, q = _sides(points, centres)
+    tree, boxes = splits(p, depth), []
+
+    def leaf(node) -> Column:
+        if isinstance(node, list):
+            boxes.append((len(boxes), *node))
+            return F.lit(len(boxes) - 1)
+        column, at, below, above = node
+        return F.when(F.col(column) < at, leaf(below)).otherwise(leaf(above))
+
+    p = p.withColumn("leaf", leaf(tree)).alias("p")
+    h, w = half_height(F.col("radius_m")), half_width(F.col("lat"), F.col("radius_m"))
+    every = F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(b, ("leaf", "s", "n", "w", "e"))]) for b in boxes])
+    q = q.withColumns({"h": h, "half": w})
+
+    def touched(b: Column) -> Column:
+        reach = F.lit(False)
+        for turn in (-360.0, 0.0, 360.0):  # windows over the date line meet boxes a turn away
+            reach = reach | ((F.col("lng") - F.col("half") + turn <= b["e"]) & (F.col("lng") + F.col("half") + turn >= b["w"]))
+        return (F.col("lat") - F.col("h") <= b["n"]) & (F.col("lat") + F.col("h") >= b["s"]) & reach
+
+    q = q.withColumn("leaf", F.explode(F.transform(F.filter(every, touched), lambda b: b["leaf"]))).alias("q")
+    return q.join(p, (F.col("q.leaf") == F.col("p.leaf")) & _inside()).select("q.qid", "p.id")
+
+
 def over_bands(points: DataFrame, centres: DataFrame, degrees: float = 5.0) -> DataFrame:
     """The same by an equi-join on bands of latitude, with the bounding window tested before the distance."""
     p, q = _sides(points, centres)
@@ -59,7 +149,7 @@ def over_bands(points: DataFrame, centres: DataFrame, degrees: float = 5.0) -> D
     return q.join(p, (F.col("q.band") == F.col("p.band")) & window & _inside()).select("q.qid", "p.id")
 
 
-STRATEGIES = {"naive": naive, "cells": over_cells, "bands": over_bands}
+STRATEGIES = {"naive": naive, "cells": over_cells, "bands": over_bands, "tree": over_tree}
 
 
 def search(points: DataFrame, centres: DataFrame, strategy: str = "cells", **options) -> DataFrame:

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.formats import per_second
 
-#: A benchmark line: name, size (N) or radius (R), repetitions, ns/op, B/op, allocs/op.
-LINE = r"^Benchmark(\S+?)/([NR])(\d+)(?:-\d+)?\s+\d+\s+([\d.]+) ns/op(?:.*?\s([\d.]+) B/op)?(?:\s+(\d+) allocs/op)?"
+#: A benchmark line: name, size (N) or radius (R), repetitions, time and its unit, B/op, allocs/op.
+LINE = r"^\s*Benchmark(\S+?)(?:/([NR])(\d+))?(?:-\d+)?\s+\d+\s+([\d.]+)\s+([nuµm]?)s/op(?:.*?\s([\d.]+)\s+B/op)?(?:\s+(\d+)\s+allocs/op)?[\s\S]*$"
+#: Nanoseconds in the unit that stands before s/op.
+PREFIXES = {"n": 1.0, "u": 1e3, "µ": 1e3, "m": 1e6, "": 1e9}
 
 
 def parse_lines(lines: DataFrame, text: str = "value") -> DataFrame:
-    """(name, kind, n, ns, b, allocs) of benchmark lines; others go. Parts that a line lacks are null."""
-    part = lambda k: F.nullif(F.regexp_extract(text, LINE, k), F.lit(""))
-    kept = lines.where(F.col(text).rlike(LINE))
-    return kept.select(part(1).alias("name"), part(2).alias("kind"), part(3).cast("long").alias("n"), part(4).cast("double").alias("ns"), part(5).cast("double").alias("b"), part(6).cast("double").alias("allocs"))
+    """(name, kind, n, ns, b, allocs) of benchmark lines; others go. Parts that a line lacks are null. The pattern is matched once:
+    a line becomes its parts between marks, and only what matched has seven."""
+    marked = F.regexp_replace(F.translate(text, "\x01", " "), LINE, "\x01".join(f"${k}" for k in range(1, 8)))
+    rows = lines.select(F.split(marked, "\x01").alias("_p")).where(F.size("_p") == 7)
+    part = lambda k: F.nullif(F.col("_p")[k - 1], F.lit(""))
+    factor = F.element_at(F.create_map(*[F.lit(x) for kv in PREFIXES.items() for x in kv]), F.col("_p")[4])
+    return rows.select(part(1).alias("name"), part(2).alias("kind"), part(3).cast("long").alias("n"), (part(4).cast("double") * factor).alias("ns"), part(6).cast("double").alias("b"), part(7).cast("double").alias("allocs"))
 
 
 def group_stats(rows: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -85,8 +90,8 @@ def best_of(rows: DataFrame, family: Column) -> DataFrame:
 
 
 def score(recall: Column, ms: Column, size: Column, build: Column) -> Column:
-    least = lambda c: F.greatest(c, F.lit(1e-6))
-    return recall / F.pow(least(ms), F.lit(0.25)) / F.pow(least(size), F.lit(0.1)) / F.pow(least(build), F.lit(0.05))
+    above = lambda c: c + F.lit(1e-6)
+    return recall / F.pow(above(ms), F.lit(0.25)) / F.pow(above(size), F.lit(0.1)) / F.pow(above(build), F.lit(0.05))
 
 
 def best_score(rows: DataFrame) -> DataFrame:
@@ -105,11 +110,45 @@ def ann_table(rows: DataFrame, prefix: str, sigmas: float = 3.0) -> DataFrame:
     )
 
 
+def best_lines(rows: DataFrame, family: Column, sigmas: float = 3.0) -> DataFrame:
+    """(family, line): the best row of each family as text: name, recall, search time, build time, size."""
+    best = best_of(rows, family)
+    text = F.format_string(
+        "- `%s`\n- recall: **%.4f**\n- search: **%.4f ± %.4f** ms/q\n- build: **%.2f** s\n- size: **%.2f** MB",
+        "name", "recall", "search_ms_per_q", sigmas * F.coalesce(F.col("search_ms_stdev"), F.lit(0.0)), "build_s", F.col("index_bytes") / 1e6,
+    )
+    return best.select("family", text.alias("line"))
+
+
+def report(rows: DataFrame, families: list[str], family: Column, sigmas: float = 3.0, demo: bool = False) -> DataFrame:
+    """(line): a report of a sweep: for each family its best row, or a dash, then the best of all by score."""
+    spark = rows.sparkSession
+    named = spark.createDataFrame([(k, f) for k, f in enumerate(families)], "at int, family string")
+    each = named.join(best_lines(rows, family, sigmas), "family", "left").select("at", F.concat(F.lit("## "), "family", F.lit("\n\n"), F.coalesce("line", F.lit("—"))).alias("line"))
+    last = best_lines(best_score(rows), F.lit("all"), sigmas).select(F.lit(len(families)).alias("at"), F.concat(F.lit("## Best by score\n\n"), "line").alias("line"))
+    first = spark.createDataFrame([(-1, "*(generated vectors)*")] if demo else [], "at int, line string")
+    return first.union(each).union(last).orderBy("at").select("line")
+
+
+def write_metrics(rows: DataFrame, path: str, **facts) -> None:
+    """A report's rows as one JSON object: facts, and "rows", an array. For tables of a report's size."""
+    whole = rows.agg(F.collect_list(F.struct("*")).alias("rows"))
+    whole.select(F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in facts.items()], "rows")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_metrics(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of JSON files that hold an array of objects, or an object whose "rows" is one."""
+    text = spark.read.text(path, wholetext=True)
+    kind = f"array<struct<{', '.join(c.strip().replace(' ', ': ', 1) for c in schema.split(','))}>>"
+    told = F.when(F.startswith(F.ltrim("value"), F.lit("[")), F.col("value")).otherwise(F.get_json_object("value", "$.rows"))
+    return text.select(F.explode(F.from_json(told, kind)).alias("r")).select("r.*")
+
+
 def markdown(rows: DataFrame, order: list[str], columns: list[str]) -> DataFrame:
-    """(line): a table's lines in order, head first. For tables of a report's size: lines are numbered in one partition."""
-    head = rows.sparkSession.createDataFrame([(0, "| " + " | ".join(columns) + " |"), (1, "|" + " --- |" * len(columns))], "at int, line string")
+    """(line): a table's lines in order, head first. Lines take ascending numbers from their sorted partitions."""
+    head = rows.sparkSession.createDataFrame([(0, "| " + " | ".join(columns) + " |"), (1, "|" + " --- |" * len(columns))], "at long, line string")
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), F.lit(" |"))
-    body = rows.select((F.row_number().over(Window.orderBy(*order)) + 1).alias("at"), line.alias("line"))
+    body = rows.orderBy(*order).select((F.monotonically_increasing_id() + 2).alias("at"), line.alias("line"))
     return head.union(body).orderBy("at").select("line")
 
 

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udf
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import StringType
 
 SCHEMA = "Stacks array<struct<Value: bigint, Sources: array<int>>>, Sources array<struct<FullName: string, Display: array<string>>>, Scale double, Unit string"
 
 
-@udf(StringType())
-def _embedded(html):
+def embedded(html: str | None) -> str | None:
     """The JSON object that the last stackViewer( call of a page is given; none if there is none."""
     start = (html or "").rfind("stackViewer(")
     start = html.find("{", start) if start >= 0 else -1
@@ -25,6 +25,11 @@ def _embedded(html):
         return None
 
 
+@arrow_udf(StringType())
+def _embedded(pages: pa.Array) -> pa.Array:
+    return pa.array([embedded(x) for x in pages.to_pylist()], pa.string())
+
+
 def embedded_json(html: Column) -> Column:
     """The object as a struct; null if the page has none or it isn't whole."""
     return F.from_json(_embedded(html), SCHEMA)

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..operators import neighbours
 
+#: The published grid of a sweep, for a base of a million vectors.
+PUBLISHED = {"bits": (32, 64, 96, 128, 192, 256), "lists": (256, 1024, 4096), "parts": (8, 16, 32), "probes": (1, 4, 8, 16, 32, 64)}
 SCHEMA = "name string, recall double, build_s double, search_ms_per_q double, search_ms_stdev double, index_bytes long"
 
 
@@ -60,5 +62,5 @@ def sweep(base: DataFrame, queries: DataFrame, truth: DataFrame, k: int, bits=(3
             for probe in probes:
                 if probe <= m:
                     name = f"IVFPQ {m} {p} {probe}" if p else f"IVF {m} {probe}"
-                    add(name, lambda m=m, p=p: neighbours.trained(base, m, p, seed), lambda i, probe=probe: neighbours.by_lists(base, queries, k, i, probe), lambda i: neighbours.code_bytes(base, i))
+                    add(name, lambda m=m, p=p: neighbours.inverted(base, neighbours.trained(base, m, p, seed)), lambda i, probe=probe: neighbours.probe(i, queries, k, probe), lambda i: neighbours.code_bytes(base, i.lists))
     return spark.createDataFrame(rows, SCHEMA)

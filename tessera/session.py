@@ -18,15 +18,19 @@ def session(name: str = "tessera", cores: int | str = "*", memory: str = "8g") -
         .config("spark.sql.shuffle.partitions", str(n))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
 
 
 def shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session has it; set here only where it is unset (tests)."""
+    """spark.checkpoint.dir as the session has it; where it is unset, a folder of this machine for a local session (tests).
+    Raises RuntimeError on a cluster without one: executors would write to disks of their own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")

@@ -47,9 +47,17 @@ def _opened(path: str):
     return pafs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
 
 
+#: Bytes after which a bucket goes on in another file: files are read by tasks of their own.
+ROLL = 64 << 20
+
+
 @dataclass
-class Bucket(InputPartition):
-    number: int
+class Part(InputPartition):
+    """A file of a bucket, and how many records stand before it."""
+
+    bucket: int
+    name: str
+    before: int
 
 
 @dataclass
@@ -95,26 +103,34 @@ class OplogReader(DataSourceReader):
 
     def partitions(self):
         fs, base = _opened(self.path)
-        return [Bucket(k) for k in range(_manifest(fs, base).get("buckets", 1))]
+        out = []
+        for bucket, files in _manifest(fs, base).get("files", {}).items():
+            before = 0
+            for name, count in files:
+                out.append(Part(int(bucket), name, before))
+                before += count
+        return out or [Part(0, "", 0)]
 
     def read(self, partition):
+        if not partition.name:
+            return
         fs, base = _opened(self.path)
-        at = 0
-        held: list[tuple] = []
-        for name in _manifest(fs, base).get("files", {}).get(str(partition.number), []):
-            with fs.open_input_stream(f"{base}/{name}", compression=None) as src:
-                for op, k, v in records(src):
-                    held.append((partition.number, at, op, k, v))
-                    at += 1
-                    if len(held) >= 4096:
-                        yield _batch(held)
-                        held = []
+        at, held = partition.before, []
+        with fs.open_input_stream(f"{base}/{partition.name}", compression=None) as src:
+            for op, k, v in records(src):
+                held.append((partition.bucket, at, op, k, v))
+                at += 1
+                if len(held) >= 4096:
+                    yield _batch(held)
+                    held = []
         if held:
             yield _batch(held)
 
 
 class OplogWriter(DataSourceArrowWriter):
-    """Rows (bucket, op, key, value) in order; a task writes a file for each bucket that it has. Files count once committed."""
+    """Rows (bucket, op, key, value) in order; a task writes a file for each bucket that it has, and another once one holds ROLL bytes.
+    Files count once committed, in the order of tasks. The format has no null: a delete's value is empty, and a null key or a null
+    value that is set raises ValueError."""
 
     def __init__(self, path: str, buckets: int, overwrite: bool):
         self.path, self.buckets, self.overwrite = path, buckets, overwrite
@@ -126,16 +142,21 @@ class OplogWriter(DataSourceArrowWriter):
     def write(self, iterator):
         fs, base = _opened(self.path)
         fs.create_dir(base, recursive=True)
-        names, out, now = [], None, None
+        names, out, now, size = [], None, None, 0
         for b in iterator:
             for bucket, op, key, value in zip(*(b.column(k).to_pylist() for k in ("bucket", "op", "key", "value"))):
-                if out is None or bucket != now:
+                if key is None or value is None and op == SET:
+                    raise ValueError("a key or value that is null can't be kept")
+                if out is None or bucket != now or size >= ROLL:
                     if out is not None:
                         out.close()
-                    now = bucket
-                    names.append((now, f"bucket_{now}-{uuid.uuid4().hex}.dat"))
+                    now, size = bucket, 0
+                    names.append([now, f"bucket_{now}-{uuid.uuid4().hex}.dat", 0])
                     out = fs.open_output_stream(f"{base}/{names[-1][1]}", compression=None)
-                out.write(record(op, (key or "").encode(), (value or "").encode()))
+                data = record(op, key.encode(), (value or "").encode())
+                out.write(data)
+                size += len(data)
+                names[-1][2] += 1
         if out is not None:
             out.close()
         return Done(names)
@@ -144,9 +165,9 @@ class OplogWriter(DataSourceArrowWriter):
         fs, base = _opened(self.path)
         fs.create_dir(base, recursive=True)
         files = {} if self.overwrite else _manifest(fs, base).get("files", {})
-        for m in messages:
-            for bucket, name in m.names if m else []:
-                files.setdefault(str(bucket), []).append(name)
+        for m in messages:  # in the order of tasks
+            for bucket, name, count in m.names if m else []:
+                files.setdefault(str(bucket), []).append((name, count))
         other = f"{base}/_table.json.{uuid.uuid4().hex}"
         with fs.open_output_stream(other, compression=None) as out:
             out.write(json.dumps({"buckets": self.buckets, "files": files}).encode())
@@ -155,14 +176,17 @@ class OplogWriter(DataSourceArrowWriter):
     def abort(self, messages):
         fs, base = _opened(self.path)
         for m in messages:
-            for _, name in m.names if m else []:
+            for _, name, _ in m.names if m else []:
                 fs.delete_file(f"{base}/{name}")
 
 
 def append(log: DataFrame, path: str, buckets: int, mode: str = "append") -> None:
-    """Writes (seq, op, key, value) to their buckets, in the order of seq."""
+    """Writes (seq, op, key, value) to their buckets, in the order of seq. Tasks take ranges of bucket and seq, so that the bucket of
+    a hot key is written by several. Null keys raise, as null values that are set do."""
     log.sparkSession.dataSource.register(OplogSource)
-    rows = log.withColumn("bucket", bucket_of(F.col("key"), buckets)).repartition("bucket").sortWithinPartitions("bucket", "seq")
+    parts = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbered = log.withColumn("bucket", F.coalesce(bucket_of(F.col("key"), buckets), F.lit(0)))
+    rows = numbered.repartitionByRange(parts, "bucket", "seq").sortWithinPartitions("bucket", "seq")
     rows.select("bucket", "seq", F.col("op").cast("int").alias("op"), "key", "value").write.format("oplog").mode(mode).option("path", path).option("buckets", str(buckets)).save()
 
 
@@ -172,6 +196,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("oplog").option("path", path).load()
 
 
+def clear(spark: SparkSession, path: str, buckets: int) -> None:
+    """The log without its records."""
+    append(spark.createDataFrame([], "seq long, op int, key string, value string"), path, buckets, "overwrite")
+
+
 def compacted(log: DataFrame) -> DataFrame:
     """The log with only the last set of each key that is live, in the old order."""
     last = F.max_by(F.struct("op", "value", "seq"), "seq")

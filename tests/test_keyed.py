@@ -71,6 +71,22 @@ def test_binary_log_keeps_odd_strings_and_compacts(spark):
     assert again.count() == len(state) and dict(keyed.replay(again).collect()) == state
     with pytest.raises(Exception, match="8 buckets"):
         oplog.append(log, path, 16)
+    for bad in ((1, 1, None, "v"), (1, 1, "k", None)):
+        with pytest.raises(Exception, match="can't be kept"):
+            oplog.append(spark.createDataFrame([bad], "seq long, op int, key string, value string"), path, 8)
+    assert dict(keyed.replay(oplog.read(spark, path)).collect()) == state
+    oplog.clear(spark, path, 8)
+    assert oplog.read(spark, path).count() == 0 and keyed.cleared(log).count() == 0 and keyed.cleared(log).columns == log.columns
+
+
+def test_a_hot_bucket_is_written_and_read_by_several_tasks(spark, monkeypatch):
+    log = spark.range(5000).select(F.col("id").alias("seq"), F.lit(1).alias("op"), F.lit("hot").alias("key"), F.concat(F.lit("v"), "id").alias("value"))
+    path = shared_path(spark, "hot")
+    oplog.append(log.repartition(3), path, 4)
+    back = oplog.read(spark, path)
+    assert back.rdd.getNumPartitions() > 1
+    assert [(r["seq"], r["value"]) for r in back.orderBy("seq").collect()] == [(i, f"v{i}") for i in range(5000)]
+    assert keyed.replay(back).collect() == [("hot", "v4999")]
 
 
 def test_damaged_logs_are_refused():

@@ -75,6 +75,26 @@ def test_stacks(spark):
     assert stacks.focus(totals, F.element_at("prefix", -1) >= 2).first()["prefix"] == [3]
 
 
+def test_time_prefixes_and_names_without_size(spark):
+    rows = ["BenchmarkX/N10-8 5 2.5 µs/op 1 B/op 2 allocs/op", "BenchmarkX/N10 5 3 us/op", "BenchmarkY 5 4 ms/op", "BenchmarkZ/R7-2 1 0.5 s/op 3 B/op", "  BenchmarkP/sub-4 1 7 ns/op", "Benchmark odd", "x\x01y\x01z\x01\x01\x01\x01"]
+    got = measure.parse_lines(spark.createDataFrame([(x,) for x in rows], "value string")).collect()
+    assert [tuple(r) for r in got] == [("X", "N", 10, 2500.0, 1.0, 2.0), ("X", "N", 10, 3000.0, None, None), ("Y", None, None, 4e6, None, None), ("Z", "R", 7, 5e8, 3.0, None), ("P/sub", None, None, 7.0, None, None)]
+
+
+def test_report_and_json(spark, tmp_path):
+    rows = spark.createDataFrame([("LSH 32", 0.1, 2.0, 0.1, 10_000_000, 1.0), ("LSH 64", 0.3, 1.0, None, 20_000_000, 1.0)], "name string, recall double, search_ms_per_q double, search_ms_stdev double, index_bytes long, build_s double")
+    family = F.split_part("name", F.lit(" "), F.lit(1))
+    got = [r[0] for r in measure.report(rows, ["LSH", "IVF"], family, demo=True).collect()]
+    best = "- `LSH 64`\n- recall: **0.3000**\n- search: **1.0000 ± 0.0000** ms/q\n- build: **1.00** s\n- size: **20.00** MB"
+    assert got == ["*(generated vectors)*", f"## LSH\n\n{best}", "## IVF\n\n—", f"## Best by score\n\n{best}"]
+    schema = "name string, recall double, index_bytes long"
+    measure.write_metrics(rows, f"{tmp_path}/m", demo=True)
+    want = sorted((r["name"], r["recall"], r["index_bytes"]) for r in rows.collect())
+    assert sorted(map(tuple, measure.read_metrics(spark, f"{tmp_path}/m", schema).collect())) == want
+    (tmp_path / "plain.json").write_text(json.dumps([{"name": n, "recall": x, "index_bytes": b} for n, x, b in want], indent=2))
+    assert sorted(map(tuple, measure.read_metrics(spark, f"{tmp_path}/plain.json", schema).collect())) == want
+
+
 def test_streams_of_many_batches(spark, tmp_path):
     rows = [(f"k{i % 7}", 2 if i % 5 == 0 else 1, i, i) for i in range(60)]
     for part in range(4):
@@ -90,3 +110,34 @@ def test_streams_of_many_batches(spark, tmp_path):
     for k, _, v, _ in rows:
         sums[k] = sums.get(k, 0) + v
     assert {r["key"]: r["value"] for r in streamed.merges(read(), "key", F.sum("value"), "key string, value long").collect()} == sums
+
+
+def test_streams_go_on_where_they_stopped(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streamed, "COMPACT", 2)
+    rows = [(f"k{i % 7}", 2 if i % 5 == 0 else 1, i, i) for i in range(60)]
+    schema = "key string, op int, value long, order long"
+    write = lambda part: spark.createDataFrame(rows[part::4], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{part}")
+    read = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+
+    def state(parts):
+        out = {}
+        for k, op, v, _ in sorted((r for p in parts for r in rows[p::4]), key=lambda r: r[3]):
+            out.pop(k, None) if op == 2 else out.update({k: v})
+        return out
+
+    def sums(parts):
+        out = {}
+        for k, _, v, _ in (r for p in parts for r in rows[p::4]):
+            out[k] = out.get(k, 0) + v
+        return out
+
+    for done in ((0, 1), (0, 1, 2, 3)):
+        for part in done[-2:]:
+            write(part)
+        got = streamed.upserts(read(), "key string, value long", f"file://{tmp_path}/state")
+        assert {r["key"]: r["value"] for r in got.collect()} == state(done)
+        got = streamed.merges(read(), "key", F.sum("value"), "key string, value long", f"file://{tmp_path}/sums")
+        assert {r["key"]: r["value"] for r in got.collect()} == sums(done)
+    assert (tmp_path / "state" / "upto=1").exists() and (tmp_path / "state" / "upto=3").exists()
+    table = streamed.Changes(spark, f"file://{tmp_path}/state", "key string, value long")
+    assert {r["key"]: r["value"] for r in table.read().where("there").collect()} == state(range(4))

@@ -48,6 +48,12 @@ def test_near_pairs_recall_and_precision(spark):
     s = nearpairs.candidate_stats(p, t).first()
     assert s["total_candidates"] >= s["unique_candidates"] >= q["found"]
     assert nearpairs.generated(spark, 0, 1.0).count() == 0
+    index, made = nearpairs.stored(spark, t, 1.5), []
+    for batch, cut in enumerate(("pos < 300", "pos >= 300 and pos < 310", "pos >= 310")):
+        made += pairs(nearpairs.add(index, p.where(cut), batch))
+    assert sorted(made) == pairs(nearpairs.hashed_pairs(p, t, 1.5))
+    m = nearpairs.metrics(spark, 300, 1.5, [11, 17]).first()
+    assert m["seeds"] == 2 and m["recall_mean"] >= 0.8 and m["precision_mean"] == 1 and m["precision_std"] == 0 and 0 < m["candidate_ratio_mean"] < 1 and m["speedup_mean"] > 0
     with pytest.raises(ValueError):
         Tables.drawn(3, 0.0)
     with pytest.raises(ValueError):
@@ -78,6 +84,14 @@ def test_radius_joins_agree(spark):
     for degrees in (0.9, 7.0, 50.0):
         assert pairs(radius.over_cells(p, q, degrees)) == want
     assert pairs(radius.over_bands(p, q, 2.0)) == want
+    for depth in (0, 1, 5):
+        assert pairs(radius.over_tree(p, q, depth)) == want
+    grid = radius.stored(spark, 7.0)
+    radius.add(grid, p.where("id < 700"), 0)
+    radius.add(grid, p.where("id >= 700 and id < 900"), 1)
+    assert pairs(radius.find(grid, q)) == [x for x in want if x[1] < 900]
+    radius.add(grid, p.where("id >= 700"), 1)
+    assert pairs(radius.find(grid, q)) == want
     with pytest.raises(ValueError):
         radius.over_cells(p, q, 0)
 
@@ -110,7 +124,11 @@ def test_neighbours(spark):
     assert recall(neighbours.by_lists(base, base, k, index, 8)) == 1.0
     assert recall(neighbours.by_lists(base, base, k, index, 2)) >= 0.8
     coded = neighbours.trained(base, 8, 8)
-    assert recall(neighbours.by_lists(base, base, k, coded, 8)) >= 0.7
+    assert recall(neighbours.by_lists(base, base, k, coded, 8)) >= 0.9
+    asked = neighbours.inverted(base, coded)
+    some = base.where("id % 7 = 0")
+    again = neighbours.recall(neighbours.probe(asked, some, k, 8), true.join(some.select(F.col("id").alias("qid")), "qid"), k).first()
+    assert again["recall"] >= 0.9 and again["wanted"] == k * some.count()
     few, many = (recall(neighbours.by_signs(base, base, k, rng.normal(size=(n, 16)))) for n in (8, 256))
     assert few < many and many >= 0.5
     assert neighbours.code_bytes(base, bits=64).first()[0] == 16 * base.count()
@@ -163,3 +181,19 @@ def test_loads(spark):
         elif x["op"] == 2:
             state.pop(x["key"], None)
     assert dict(keyed.replay(w.where("op <> 0")).collect()) == state
+
+
+def test_tiles_split_groups_and_merge_level_by_level(spark, monkeypatch):
+    from tessera.operators import tiles
+
+    for name, v in (("TILE", 64), ("RUN", 2), ("BRANCH", 2), ("HELD", 50)):
+        monkeypatch.setattr(tiles, name, v)
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.integers(0, 4, 4).astype(float).tolist()) for i in range(150)] + [(200 + i, [float(i), 1.0]) for i in range(9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    base = neighbours.vectors(df, "vec_id", "embedding").cache()
+    found = {}
+    for r in neighbours.exact(base, base, 6).orderBy("qid", "rank").collect():
+        found.setdefault(r["qid"], []).append((r["distance"], r["id"]))
+    for i, v in rows:
+        assert found[i] == sorted((sum((a - b) ** 2 for a, b in zip(v, w)), j) for j, w in rows if len(w) == len(v))[:6]
