@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from .. import session
 from ..session import shared_path
+from ..sources.blocks import sliced
 
-__all__ = ["WORD_PATTERN", "arrow_rows", "connected", "dropped", "shared_path", "table", "utf8", "written"]
+__all__ = ["WORD_PATTERN", "connected", "dropped", "shared_path", "sliced", "table", "text_bytes", "utf8", "written"]
 
 #: Characters that separate words: 0x20 and 0x09-0x0D, which is what bytes.split() splits at.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,14 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a table in the shared folder: lineage ends there, and lost executors cost only a reread.
-
-    Spark drops the shuffle files of what is no longer referred to when the driver collects its garbage, so that is asked for.
-    """
-    out = session.written(df, tag)
-    del df
-    out.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    """df as a table in the shared folder: lineage ends there, and lost executors cost only a reread. The shuffle files of the job
+    go once the table is written; the setting that asks for it is put back as it was."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        return session.written(df, tag)
+    finally:
+        conf.set(CLEANUP, before) if before is not None else conf.unset(CLEANUP)
 
 
 def dropped(spark: SparkSession, path: str) -> None:
@@ -35,16 +38,16 @@ def dropped(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def arrow_rows(spark: SparkSession, rows: int) -> None:
-    """Bounds the rows of an Arrow batch: whole texts may be long, and a batch is held at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def utf8(name: str = "text"):
     """The UTF-8 bytes of a text column, empty for null."""
     return F.coalesce(F.col(name).cast("binary"), F.lit(b"")).alias(name)
 
 
+def text_bytes(docs: DataFrame, name: str) -> int:
+    """Bytes of a text column: one scan of it, without Python."""
+    return docs.agg(F.sum(F.octet_length(F.col(f"`{name}`").cast("binary")).cast("long"))).first()[0] or 0
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """Smallest node reachable from each node, over undirected edges (a, b) of comparable values.
 

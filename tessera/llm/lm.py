@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, shared_path, utf8, written
+from .common import shared_path, text_bytes, utf8, written
 from .ppm import ORDER, base, codes_of, costs, kept, pairs_of, summed
 from .quality import bucket
 from .store import get_batch, put_batch, squeezed, squeezed_sorted, unsqueezed, unsqueezed_sorted
@@ -65,7 +65,6 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     counts are 0 and every byte has the same probability.
     """
     spark = docs.sparkSession
-    arrow_rows(spark, 1000)
     folder = shared_path(spark, "lm")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = 2 * parts

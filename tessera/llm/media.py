@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
-from .common import arrow_rows, shared_path, utf8
+from .common import shared_path, sliced, utf8
 from .files import FilesWriter, Range, ranges
 from .store import opened
 
@@ -101,7 +101,7 @@ class MediaWriter(FilesWriter):
     def fill(self, out, batches):
         rows = 0
         with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as archive:
-            for b in batches:
+            for b in sliced(batches):
                 rows += b.num_rows
                 for key, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     archive.writestr(zipfile.ZipInfo(f"{key}.png"), encoded(data or b""))
@@ -163,7 +163,6 @@ class MediaReader(DataSourceReader):
 
 def write_media(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     spark = docs.sparkSession
-    arrow_rows(spark, 1000)
     spark.dataSource.register(MediaSource)
     docs.select(F.col(id_col).cast("string").alias("member"), utf8(text_col).alias("data")).select(F.coalesce("member", F.lit("null")).alias("member"), "data").write.format("media_archive").mode("append").option("path", path).save()
 

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, utf8, written
+from .common import sliced, utf8, written
 
 #: Words whose ids a worker keeps, and prices of the program that are tried.
 CACHED = 300_000
@@ -87,7 +87,7 @@ def pieces(docs: DataFrame, file: str, size: int, id_col: str = "doc_id", text_c
     def run(batches):
         words, tail = word_ids(file), np.array([end], "<u4").tobytes()
         task, seen = TaskContext.get().partitionId(), defaultdict(int)
-        for b in batches:
+        for b in sliced(batches):
             out = [[] for _ in range(7)]
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids = words.ids(text) + tail
@@ -100,7 +100,6 @@ def pieces(docs: DataFrame, file: str, size: int, id_col: str = "doc_id", text_c
             kinds = [b.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(out, kinds)], names=["id", "piece", "start", "length", "crc", "task", "rank"])
 
-    arrow_rows(docs.sparkSession, 1000)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), utf8(text_col)).mapInArrow(run, f"id {kind}, piece int, start long, length long, crc long, task int, rank long")
 

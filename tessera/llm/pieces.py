@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, utf8
+from .common import sliced, utf8
 
 SPACE = "▁"
 #: Marked words whose ids a worker keeps, and pairs of pieces whose boundary it has judged.
@@ -238,7 +238,7 @@ def encoded(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         pieces = held(file)
-        for b in batches:
+        for b in sliced(batches):
             texts = b.column(1).to_pylist()
             coded = pieces.encode([t.decode() for t in texts])  # the more words at once, the longer the prefixes that they share
             for k in range(0, len(texts), 200):
@@ -249,6 +249,5 @@ def encoded(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str =
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), flat)
                 yield pa.record_batch([b.column(0).slice(k, len(part)), pa.array(sizes), lists, pa.array(whole)], names=["id", "n_ids", "ids", "whole"])
 
-    arrow_rows(docs.sparkSession, 1000)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), utf8(text_col)).mapInArrow(run, f"id {kind}, n_ids long, ids array<int>, whole boolean")

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, utf8
+from .common import sliced, utf8
 
 BITS = 18
 #: Labelled rows that the model is fit on at most, those of the smallest hash of their id: a bounded sample by design.
@@ -166,13 +166,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     Empty docs: no rows. No labels at all: every score is one half.
     """
     spark = docs.sparkSession
-    arrow_rows(spark, 1000)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("good")).where("id is not null and good is not null").where(bucket("id", folds) != 0)
     chosen = known.orderBy(F.xxhash64("id"), "id", "good").limit(sample)  # sample rows at most, so its size is known
 
     def extract(batches):
         codes = Codes()
-        for b in batches:
+        for b in sliced(batches):
             yield pa.record_batch([b.column(0), pa.array([features(t, codes).astype("<i4").tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["good", "slots"])
 
     texts = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
@@ -186,7 +185,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     def score(batches):
         weights, squares, a, b = model.value
         codes = Codes()
-        for batch in batches:
+        for batch in sliced(batches):
             m = np.array([margin(features(t, codes), weights, squares) for t in batch.column(0).cast(pa.binary()).fill_null(b"").to_pylist()], np.float64)
             p = 1 / (1 + np.exp(-np.clip(a * m + b, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(p), pa.array((p >= cut).astype(np.int32))], names=[*batch.schema.names[1:], "score", "predicted"])

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, connected, utf8, written
+from .common import connected, sliced, utf8, written
 
 SEED = 42
 #: Hashes whose bits are counted at a time: bounds memory for very long texts.
@@ -51,10 +51,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp): the signed 64-bit fingerprint of every row's whole text; a null text counts as empty."""
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             yield pa.record_batch([b.column(0), pa.array([fingerprint(t, width) for t in b.column(1).to_pylist()], pa.int64())], names=["id", "fp"])
 
-    arrow_rows(docs.sparkSession, 1000)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), utf8(text_col)).mapInArrow(run, f"id {kind}, fp long")
 
@@ -64,11 +63,10 @@ def fingerprinted(docs: DataFrame, text_col: str = "text", width: int = 3, name:
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             texts = b.column(at).cast(pa.binary()).fill_null(b"").to_pylist()
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([fingerprint(t, width) for t in texts], pa.int64())], names=[*b.schema.names, "fp"])
 
-    arrow_rows(docs.sparkSession, 1000)
     named = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)])
     out = named.mapInArrow(run, ", ".join([*(f"c{k} {t}" for k, (_, t) in enumerate(docs.dtypes)), "fp long"]))
     return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)], F.col("fp").alias(name))

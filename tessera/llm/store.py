@@ -1,45 +1,13 @@
-"""Files in a shared folder, opened from executors by URI (file:, hdfs:, s3: and whatever else pyarrow.fs knows)."""
+"""Files in a shared folder, and arrays of numbers in few bytes."""
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
-import pyarrow as pa
-import pyarrow.fs as pafs
 import zstandard
 
+from ..sources.blocks import get_batch, opened, put, put_batch
 
-def opened(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri)
-
-
-def put(uri: str, write) -> None:
-    """Writes a file under another name and moves it to its place, so that nobody reads half of it."""
-    fs, path = opened(uri)
-    fs.create_dir(path.rpartition("/")[0], recursive=True)
-    other = f"{path}.{uuid.uuid4().hex}.part"
-    with fs.open_output_stream(other, compression=None) as out:
-        write(out)
-    try:
-        fs.move(other, path)
-    except OSError:  # some stores don't move over what an earlier attempt has left
-        fs.delete_file(path)
-        fs.move(other, path)
-
-
-def put_batch(uri: str, batch: pa.RecordBatch) -> None:
-    def write(out):
-        with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-            w.write_batch(batch)
-
-    put(uri, write)
-
-
-def get_batch(uri: str) -> pa.RecordBatch:
-    fs, path = opened(uri)
-    with fs.open_input_stream(path, compression=None) as src, pa.ipc.open_stream(src) as r:
-        return next(iter(r))
+__all__ = ["get_batch", "opened", "put", "put_batch", "squeezed", "squeezed_sorted", "unsqueezed", "unsqueezed_sorted"]
 
 
 def squeezed(values: np.ndarray) -> bytes:

@@ -18,7 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, dropped, shared_path, written
+from .common import dropped, shared_path, sliced, text_bytes, written
+from ..sources.blocks import joined
 from .fmindex import FMIndex, interval_minima
 from .store import get_batch, put_batch, squeezed, squeezed_sorted, unsqueezed, unsqueezed_sorted
 
@@ -104,16 +105,7 @@ def block_file(folder: str, block: int) -> str:
 
 def blocks(batches):
     """Record batches joined up to BLOCK bytes of text."""
-    held, size = [], 0
-    for b in batches:
-        if b.num_rows:
-            held.append(b)
-            size += b.nbytes
-        if size >= BLOCK:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches(max_chunksize=1 << 40)[0]
-            held, size = [], 0
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches(max_chunksize=1 << 40)[0]
+    return joined(sliced(batches), BLOCK)
 
 
 def runs(block: Block, repeated: np.ndarray):
@@ -329,7 +321,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield from out.to_batches(max_chunksize=1000)
             b = batch = out = texts = extra = None
 
-    arrow_rows(spark, 1000)
     place = shared_path(spark, "anchors")
     held.mapInArrow(anchors, "shard int, block long, data binary, owners binary").write.parquet(place)
     sent = spark.read.parquet(place)

@@ -3,118 +3,69 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, written
+from ..operators.tiles import best_pairs, matrix, merged, most_tiles, parts, tiled
+from .common import written
 
-#: Components of a block of queries (what is broadcast at a time), and sides of a tile.
-BLOCK = 1 << 22
-TILE = (1024, 2048)
-#: Top lists of so many tasks' groups are merged before the last merge.
-BRANCH = 16
+LAST = np.iinfo(np.int64).max
 
 
-def levels(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
-    """(id, v): floor(scale * x) of each component, of vectors without null or non-finite parts."""
+def levels(vectors: DataFrame, id_col: str, vec_col: str, scale: float) -> DataFrame:
+    """(id, v, size): floor(scale * x) of each component, of vectors without null or non-finite parts, and the largest of them."""
     x = F.col(vec_col)
     whole = F.forall(x, lambda y: y.isNotNull() & ~F.isnan(y) & (F.abs(y) < float("inf")))
-    return vectors.where(F.col(id_col).isNotNull() & x.isNotNull()).where(whole).select(F.col(id_col).alias("id"), F.transform(x, lambda y: F.floor(F.lit(float(scale)) * y.cast("double")).cast("long")).alias("v"))
+    scaled = F.transform(x, lambda y: F.floor(F.lit(float(scale)) * y.cast("double")))
+    largest = F.array_max(F.transform(x, lambda y: F.abs(F.lit(float(scale)) * y.cast("double")) + 1))
+    rows = vectors.where(F.col(id_col).isNotNull() & x.isNotNull()).where(whole)
+    return rows.select(F.col(id_col).cast("long").alias("id"), scaled.alias("v"), largest.alias("size"))
 
 
-class Lists:
-    """Best k of each of many queries so far: highest score first, ties to the smaller id."""
+def ready(batch, _):
+    return batch["query_id"].to_numpy(), matrix(batch["vec"])
 
-    def __init__(self, n: int, k: int):
-        self.n, self.k = n, k
-        self.query = np.zeros(0, np.int64)
-        self.score = np.zeros(0, np.int64)
-        self.id = np.zeros(0, np.int64)
-        self.least = np.full(n, np.iinfo(np.int64).min)
 
-    def add(self, query, score, ids):
-        q, s, i = (np.concatenate(x) for x in ((self.query, query), (self.score, score), (self.id, ids)))
-        order = np.lexsort((i, ~s, q))  # ~s falls as s rises, over all of int64
-        q, s, i = q[order], s[order], i[order]
-        first = np.searchsorted(q, np.arange(self.n + 1))
-        place = np.arange(len(q)) - first[q]
-        keep = place < self.k
-        last = place == self.k - 1
-        self.least[q[last]] = s[last]
-        self.query, self.score, self.id = q[keep], s[keep], i[keep]
+def select(queries, batch, _, best) -> None:
+    """Puts a tile of the product into the lists: only scores that reach a list's end and the tile's own k-th.
 
-
-def select(lists: Lists, at: int, tile: np.ndarray, own: np.ndarray, ids: np.ndarray) -> None:
-    """Puts a tile's scores into the lists from query at on: only those that reach the list's end, or the tile's own k-th.
-
-    Rows of a query's id, however many, are no candidates, so they count as lowest before the k-th is taken.
+    Keys are complements of scores, so that the smallest come first. Rows of a query's id, however many, are no candidates and
+    count as last before the k-th is taken.
     """
-    n = tile.shape[1]
-    other = ids[None, :] != own[:, None]
-    floor = lists.least[at : at + len(tile)]
-    if n > lists.k and (floor == np.iinfo(np.int64).min).any():
-        lowest = -np.inf if tile.dtype.kind == "f" else np.iinfo(np.int64).min
-        kth = np.partition(np.where(other, tile, lowest), n - lists.k, axis=1)[:, n - lists.k]
-        kth = np.where(np.isfinite(kth), kth, np.iinfo(np.int64).min) if tile.dtype.kind == "f" else kth
-        floor = np.maximum(floor, kth.astype(np.int64))
-    q, c = np.nonzero((tile >= floor[:, None]) & other)
-    lists.add(q + at, tile[q, c].astype(np.int64), ids[c])
+    names, q = queries
+    ids, x = batch["id"].to_numpy(), matrix(batch["vec"]).T
+    for p in parts(len(q), len(ids)):
+        key = ~(q[p] @ x).astype(np.int64)
+        other = ids[None, :] != names[p][:, None]
+        key[~other] = LAST
+        bound = best.worst[p]
+        if len(ids) > best.k:
+            bound = np.minimum(bound, np.partition(key, best.k - 1, axis=1)[:, best.k - 1])
+        row, col = np.nonzero((key <= bound[:, None]) & other)
+        best.add(row + p.start, key[row, col], ids[col])
 
 
 def top_products(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 50, k: int = 5, scale: int = 256) -> DataFrame:
     """(query_id, rank, id, score): for each query, a vector whose id every divides, its k best other vectors.
 
-    Scores are integer inner products of floor(scale * x); beyond 64 bits they wrap. Queries go out in blocks of at most
-    about BLOCK components; each block is multiplied with all vectors, a tile at a time, and every task keeps k rows of a
-    query. Vectors that are null or hold null or non-finite parts, and null ids, take no part. Vectors pair with those of
-    their own length only. Repeated rows: each is a candidate of its own; of equal query rows one stays; rows of the query's
-    id are never its candidates. Ties: the smaller id. Fewer than k candidates: all. Empty table: no rows. Others' columns are not read.
+    Scores are integer inner products of floor(scale * x); where they could exceed 64 bits, ValueError is raised. Queries and
+    vectors are tiles in the shared folder; a task multiplies a tile of queries with a run of tiles of vectors and keeps k rows
+    of a query, and the lists of runs are merged as a tree. Vectors that are null or hold null or non-finite parts, and null ids,
+    take no part. Vectors pair with those of their own length only. Repeated rows: each is a candidate of its own; of equal query
+    rows one stays; rows of the query's id are never its candidates. Ties: the smaller id. Fewer than k candidates: all. Empty
+    table: no rows. Other columns are not read.
     """
-    spark = vectors.sparkSession
-    arrow_rows(spark, TILE[1])
     rows = written(levels(vectors, id_col, vec_col, scale), "levels")
-    asked = rows.where(F.col("id") % every == 0).distinct().withColumn("key", F.xxhash64("id", "v"))
-    about = rows.agg(F.max(F.size("v")).alias("d"), F.max(F.array_max(F.transform("v", lambda y: F.abs(y).cast("double")))).alias("m")).first()
-    width, most = about["d"] or 1, about["m"] or 0.0
-    exact = most * most * width < 2**53  # then every partial sum is a whole double
-    count = asked.count()
-    parts = max(1, -(-count * max(1, width) // BLOCK))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(parts)))
-    out = None
-    for p in range(parts):
-        block = asked.where(F.col("block") == p).select("id", "key", "v").toArrow()
-        if not block.num_rows and p:
-            continue
-        by_size: dict[int, list] = {}
-        for i, key, v in zip(block["id"].to_pylist(), block["key"].to_pylist(), block["v"].to_pylist()):
-            by_size.setdefault(len(v), []).append((i, key, v))
-        queries = {d: (np.array([x[0] for x in xs], np.int64), np.array([x[1] for x in xs], np.int64), np.array([x[2] for x in xs], np.float64 if exact else np.int64).reshape(len(xs), d)) for d, xs in by_size.items()}
-        held = spark.sparkContext.broadcast(queries)  # about BLOCK components, however many queries there are
-
-        def search(batches, held=held, exact=exact):
-            queries = held.value
-            lists = {d: Lists(len(q[0]), k) for d, q in queries.items()}
-            for b in batches:
-                ids, v = b.column(0).to_numpy(), b.column(1)
-                sizes = v.value_lengths().to_numpy(zero_copy_only=False)
-                for d in set(sizes.tolist()) & set(queries):
-                    at = np.flatnonzero(sizes == d)
-                    mine = v.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), d)
-                    mine, own = (mine.astype(np.float64) if exact else mine), queries[d]
-                    for i in range(0, len(at), TILE[1]):
-                        part, names = mine[i : i + TILE[1]].T, ids[at[i : i + TILE[1]]]
-                        for j in range(0, len(own[0]), TILE[0]):
-                            select(lists[d], j, own[2][j : j + TILE[0]] @ part, own[0][j : j + TILE[0]], names)
-            for d, best in lists.items():
-                ids, keys, _ = queries[d]
-                for i in range(0, len(best.query), 10_000):
-                    q = best.query[i : i + 10_000]
-                    yield pa.record_batch([pa.array(ids[q]), pa.array(keys[q]), pa.array(best.id[i : i + 10_000]), pa.array(best.score[i : i + 10_000])], names=["query_id", "key", "id", "score"])
-
-        found = rows.mapInArrow(search, "query_id long, key long, id long, score long").withColumn("branch", F.spark_partition_id() % BRANCH)
-        out = found if out is None else out.union(found)
-    order = (F.col("score").desc(), F.col("id"))
-    part = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "key", "branch").orderBy(*order))).where(F.col("rank") <= k)
-    last = part.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "key").orderBy(*order))).where(F.col("rank") <= k)
-    return last.select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
+    query = F.col("id") % every == 0
+    about = rows.agg(F.max(F.size("v")).alias("d"), F.max("size").alias("m"), F.max(F.when(query, F.col("size"))).alias("q")).first()
+    most = (about["d"] or 1) * (about["m"] or 0.0) * (about["q"] or 0.0)
+    if most >= 2.0**63 or (about["m"] or 0.0) >= 2.0**62:
+        raise ValueError("inner products of these vectors exceed 64 bits")
+    kind = "array<double>" if most < 2.0**53 else "array<long>"  # then every partial sum is a whole double
+    vec = F.col("v").cast(kind).alias("vec")
+    grp = F.size("v").cast("long").alias("grp")
+    asked = rows.where(query).select("id", "v").distinct().select(grp, F.col("id").alias("query_id"), F.xxhash64("id", "v").alias("key"), vec)
+    tiles = tiled(rows.select(grp, "id", vec).sortWithinPartitions("grp"))
+    found = best_pairs(tiled(asked.sortWithinPartitions("grp")), tiles, k, np.int64, "query_id long, key long", ready, select)
+    best = merged(found, ["query_id", "key"], k, most_tiles(tiles))
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "id", F.bitwise_not("score").alias("score"))

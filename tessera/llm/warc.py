@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
-from .common import arrow_rows, shared_path
+from .common import shared_path, sliced
 from .files import FilesWriter, Range, ranges
 from .store import opened
 
@@ -146,7 +146,7 @@ class WarcWriter(FilesWriter):
 
     def fill(self, out, batches):
         rows = 0
-        for b in batches:
+        for b in sliced(batches):
             rows += b.num_rows
             for row in zip(*(b.column(k).to_pylist() for k in ("record_id", "uri", "payload", "payload_bytes", "payload_digest", "refers_to"))):
                 out.write(record(*row))
@@ -180,7 +180,6 @@ def write_pages(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: s
     """A record for each page, its text in UTF-8 as payload. Of equal payloads of least bytes or more only that of the largest
     id is written whole; the others are revisits that refer to it."""
     spark = pages.sparkSession
-    arrow_rows(spark, 1000)
     payload = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(uri_col).cast("string").alias("uri"), payload.alias("payload")).withColumn("payload_bytes", F.length("payload").cast("long")).withColumn("payload_digest", F.sha1("payload"))
     many = rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.max("id").alias("last"), F.count("*").alias("n")).where("n > 1 and last is not null").select(F.col("payload_digest").alias("digest"), "last")

@@ -1,9 +1,10 @@
 import math
 
 import numpy as np
+import pytest
 
-from tessera.llm import topk
 from tessera.llm.topk import top_products
+from tessera.operators import tiles
 
 
 def brute(rows, every, k):
@@ -16,8 +17,8 @@ def brute(rows, every, k):
 
 
 def test_like_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(topk, "BLOCK", 40)
-    monkeypatch.setattr(topk, "TILE", (4, 7))
+    for name, v in (("TILE", 40), ("RUN", 3), ("BRANCH", 2), ("HELD", 30)):
+        monkeypatch.setattr(tiles, name, v)
     rng = np.random.default_rng(0)
     rows = [(i, rng.normal(size=8).tolist()) for i in range(100)]
     rows += [(200 + i, rows[3][1]) for i in range(30)] + [(300, None), (301, [1.0] * 7 + [None]), (302, [1.0] * 7 + [float("nan")]), (303, [float("inf")] * 8), (None, rows[0][1]), (310, [1.0, 2.0]), (311, [3.0, 1.0]), (320, []), rows[5], rows[10]]
@@ -34,6 +35,8 @@ def test_large_components_and_empty(spark):
     assert sorted(map(tuple, top_products(small, every=2, k=3).collect())) == brute(rows[:6], 2, 3)
     assert top_products(df).count() == 5
     assert top_products(df.limit(0)).collect() == []
+    with pytest.raises(ValueError, match="64 bits"):
+        top_products(spark.createDataFrame([(0, [1e17]), (50, [1e17])], "vec_id long, embedding array<double>"))
 
 
 def test_many_rows_of_one_query_id(spark):
