@@ -9,7 +9,7 @@ from .. import session
 from ..session import shared_path
 from ..sources.blocks import sliced
 
-__all__ = ["WORD_PATTERN", "connected", "dropped", "shared_path", "sliced", "table", "text_bytes", "utf8", "written"]
+__all__ = ["WORD_PATTERN", "coded_id", "connected", "decoded_id", "dropped", "shared_path", "sliced", "table", "text_bytes", "utf8", "written"]
 
 #: Characters that separate words: 0x20 and 0x09-0x0D, which is what bytes.split() splits at.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -43,6 +43,16 @@ def utf8(name: str = "text"):
     return F.coalesce(F.col(name).cast("binary"), F.lit(b"")).alias(name)
 
 
+def coded_id(name: str):
+    """An id as text that may stand in a file's or a record's name; null is the one without a sign in front."""
+    return F.coalesce(F.concat(F.lit("="), F.url_encode(F.col(name).cast("string"))), F.lit("null"))
+
+
+def decoded_id(coded, kind):
+    """The id of coded_id(), of the type that it had."""
+    return F.when(F.startswith(coded, F.lit("=")), F.url_decode(F.substr(coded, F.lit(2)))).cast(kind)
+
+
 def text_bytes(docs: DataFrame, name: str) -> int:
     """Bytes of a text column: one scan of it, without Python."""
     return docs.agg(F.sum(F.octet_length(F.col(f"`{name}`").cast("binary")).cast("long"))).first()[0] or 0

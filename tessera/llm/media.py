@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
-from .common import shared_path, sliced, utf8
+from .common import coded_id, decoded_id, shared_path, sliced, utf8
 from .files import FilesWriter, Range, ranges
 from .store import opened
 
@@ -23,6 +23,8 @@ SPLIT = 32 << 20
 BATCH = 8 << 20
 #: Times that a member is tried, each time with a handle of its own.
 TRIES = 3
+#: Bytes of a member's name without its suffix.
+LONGEST = 65_000
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 SCHEMA = "member string, n_bytes long, payload binary, media binary, feature string"
 ARROW = pa.schema([("member", pa.string()), ("n_bytes", pa.int64()), ("payload", pa.binary()), ("media", pa.binary()), ("feature", pa.string())])
@@ -104,6 +106,8 @@ class MediaWriter(FilesWriter):
             for b in sliced(batches):
                 rows += b.num_rows
                 for key, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    if len(key) > LONGEST:
+                        raise ValueError("an id is too long for a member's name")
                     archive.writestr(zipfile.ZipInfo(f"{key}.png"), encoded(data or b""))
         return rows
 
@@ -164,7 +168,7 @@ class MediaReader(DataSourceReader):
 def write_media(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     spark = docs.sparkSession
     spark.dataSource.register(MediaSource)
-    docs.select(F.col(id_col).cast("string").alias("member"), utf8(text_col).alias("data")).select(F.coalesce("member", F.lit("null")).alias("member"), "data").write.format("media_archive").mode("append").option("path", path).save()
+    docs.select(coded_id(id_col).alias("member"), utf8(text_col).alias("data")).write.format("media_archive").mode("append").option("path", path).save()
 
 
 def read_media(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
@@ -175,12 +179,13 @@ def read_media(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", split: int = SPLIT) -> DataFrame:
     """(id, n_bytes, payload, media, feature) of every row's whole text, stored as a media member and read back.
 
-    Null text: empty, so one row of zeros. Null id: a member named null, read back as null. Repeated rows: a member each. Very
+    Null text: empty, so one row of zeros. Null id: a member of its own name, read back as null. Ids
+    of any text: members' names are their percent-encoded form; ValueError if that is over 65,000 bytes, which the format can't hold. Repeated rows: a member each. Very
     long texts: a taller picture. Equal texts give equal columns. Other columns are not read. Empty table: no rows.
     """
     spark = docs.sparkSession
     path = shared_path(spark, "media")
     write_media(docs, path, id_col, text_col)
     got = read_media(spark, path, split)
-    key = F.when(F.col("member") != "null", F.col("member")).cast(docs.schema[id_col].dataType)
+    key = decoded_id(F.col("member"), docs.schema[id_col].dataType)
     return got.select(key.alias("id"), "n_bytes", "payload", "media", "feature")

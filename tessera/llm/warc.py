@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
-from .common import shared_path, sliced
+from .common import coded_id, decoded_id, shared_path, sliced
 from .files import FilesWriter, Range, ranges
 from .store import opened
 
@@ -186,8 +186,8 @@ def write_pages(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: s
     # Both sides are exchanges of their own, so that adaptive execution splits a payload that many pages share.
     joined = rows.join(many.repartition("digest"), (rows.payload_digest == F.col("digest")) & (F.col("payload_bytes") >= least), "left")
     revisit = F.col("last").isNotNull() & ~F.col("id").eqNullSafe(F.col("last"))
-    key = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(c.cast("string"), F.lit("null")))
-    slim = joined.select(key(F.col("id")).alias("record_id"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), "uri", F.when(revisit, key(F.col("last"))).alias("refers_to"), "payload_bytes", "payload_digest", F.when(~revisit, F.col("payload")).alias("payload"))
+    key = lambda c: F.concat(F.lit("urn:page:"), coded_id(c))
+    slim = joined.select(key("id").alias("record_id"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), "uri", F.when(revisit, key("last")).alias("refers_to"), "payload_bytes", "payload_digest", F.when(~revisit, F.col("payload")).alias("payload"))
     spark.dataSource.register(WarcSource)
     slim.write.format("warc").mode("append").option("path", path).save()
 
@@ -202,13 +202,13 @@ def archived(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", te
     """(id, payload_bytes, payload_digest, record_type, refers_to) of pages as written to WARC files and read back.
 
     Null text: an empty payload. Null id: a record that revisits the largest id of an equal payload; without any, a response.
-    Repeated rows: those of the largest id are responses each. Null URL: no target. Very long payloads: a member each, read in
-    pieces. Other columns are not read. Empty table: no rows.
+    Ids of any text: they stand percent-encoded in records' names. Repeated rows: those of the largest id are responses each.
+    Null URL: no target. Very long payloads: a member each, read in pieces. Other columns are not read. Empty table: no rows.
     """
     spark = pages.sparkSession
     path = shared_path(spark, "warc")
     write_pages(pages, path, id_col, uri_col, text_col, least)
     got = read_records(spark, path, split)
     kind = pages.schema[id_col].dataType
-    bare = lambda c: F.when(F.col(c) != "urn:page:null", F.substring_index(c, ":", -1)).cast(kind)
+    bare = lambda c: decoded_id(F.replace(F.col(c), F.lit("urn:page:"), F.lit("")), kind)
     return got.select(bare("record_id").alias("id"), "payload_bytes", "payload_digest", "record_type", bare("refers_to").alias("refers_to"))

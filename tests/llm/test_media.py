@@ -22,6 +22,29 @@ def test_round_trip(spark, split):
     assert got == sorted(want, key=repr)
 
 
+def test_ids_of_any_text(spark):
+    ids = ["a:1", "null", None, "", "z\0w", "=x", "%41", "../up/é\n", "x.png", "n" * 5000]
+    got = media_columns(spark.createDataFrame([(i, repr(i)) for i in ids], "doc_id string, text string").repartition(2)).collect()
+    assert sorted((repr(r["id"]), bytes(r["payload"]).rstrip(b"\0").decode()) for r in got) == sorted((repr(i), repr(i)) for i in ids)
+
+
+def test_media_and_features_like_other_decoders(spark):
+    """The stored form is read by zlib alone, and features are counted sample by sample."""
+    texts = ["", "abc é", "x" * 700, "".join(chr(32 + k * 7 % 90) for k in range(300))]
+    got = media_columns(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    for r in got.collect():
+        data = texts[r["id"]].encode()
+        data += b"\0" * (-len(data) % 64 or (0 if data else 64))
+        m = bytes(r["media"])
+        at = m.index(b"IDAT")
+        size = struct.unpack(">I", m[at - 4 : at])[0]
+        assert zlib.decompress(m[at + 4 : at + 4 + size]) == b"".join(b"\0" + data[k : k + 64] for k in range(0, len(data), 64))
+        hist = [sum(b // 32 == k for b in data) for k in range(8)]
+        columns = [sum(data[c::64]) for c in range(64)]
+        bits = int("".join("1" if columns[c] > columns[c - 1] else "0" for c in range(64)), 2)
+        assert r["feature"] == f"rows={len(data) // 64};mean={sum(data) * 1000 // len(data)};hist={','.join(map(str, hist))};dhash={bits:016x}"
+
+
 def test_empty(spark):
     assert media_columns(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 

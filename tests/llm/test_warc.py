@@ -30,6 +30,13 @@ def test_round_trip(spark, split):
     assert got == brute([(i, t) for i, _, t in rows], 1000)
 
 
+def test_ids_of_any_text(spark):
+    ids = ["a:1", "b:1", "null", None, "", "z\0w", "=x", "%41", "é /<>\r\n", "urn:page:=q", "n" * 5000]
+    rows = [(i, "http://x", "page " * 300) for i in ids] + [(f"{i}'", None, None) for i in ids]
+    got = sorted((tuple(r) for r in archived(spark.createDataFrame(rows, "page_id string, url string, html string").repartition(2)).collect()), key=repr)
+    assert got == brute([(i, t) for i, _, t in rows], 1000)
+
+
 def test_empty(spark):
     assert archived(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
