@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat
-from .common import table, written
+from .common import table
 from .lm import lm_scores
 from .media import media_columns
 from .packing import pack
@@ -70,10 +70,10 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as transcripts, their roles recovered, and the turns rendered; roles are those of the table."""
-    known = written(chat.transcripts(table(spark, sf_dir, "conversations")), "transcripts")
-    found = chat.parsed(known, chat.trained(known), keep=("conv_id", "part", "roles"))
-    return found.withColumn("roles_right", F.col("roles") == F.col("roles_found"))
+    """Conversations as transcripts, their roles recovered by a model of the others, and the turns rendered."""
+    found = chat.formatted(table(spark, sf_dir, "conversations"))
+    right = F.col("roles") == F.col("roles_found")
+    return found.select("conv_id", F.col("part.block").alias("part"), "held_out", "n_turns", right.alias("roles_right"), F.concat_ws(",", "roles_found").alias("roles_found"), "rendered")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +104,20 @@ QUERIES = {
     "op10_lm": op10_lm,
 }
 
+#: CRC-32 of a text's bytes.
+CRC32 = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, strlen({0}) + 1), lambda i: ('0x' || substr(hex({0}), 2 * i - 1, 2))::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295)"
+
 ORACLES: dict[str, str] = {
+    "op7_chat": rf"""
+        WITH c AS (
+            SELECT conv_id, turn, CASE WHEN lower(role) IN ('system', 'user', 'assistant') THEN lower(role) ELSE 'other' END AS role,
+                regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\1\\|', 'g') AS text FROM conversations
+        )
+        SELECT conv_id, turn // 4096 AS part, {CRC32.format("CAST(conv_id AS VARCHAR)")} % 5 = 0 AS held_out, CAST(count(*) AS INTEGER) AS n_turns, TRUE AS roles_right,
+            string_agg(role, ',' ORDER BY turn) AS roles_found,
+            string_agg('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>', chr(10) ORDER BY turn) AS rendered
+        FROM c GROUP BY 1, 2
+    """,
     "op6_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256.0::DOUBLE * x::DOUBLE)) AS e FROM embeddings
