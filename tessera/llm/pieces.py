@@ -1,15 +1,17 @@
 """SentencePiece encoding and decoding: distinct marked words, sorted into a trie, share forward states along common prefixes.
 
 Models with a score for each piece (unigram) take the Viterbi path: a prefix's forward score is the best sum over its last piece.
-For merge models (BPE) the sum of scores does not give the library's pieces, so the forward state of a prefix is its last piece
-instead: the one piece that ends there and whose boundary to the state before it no merge would cross. Either state depends on
-the prefix alone, so a depth-first walk over sorted words computes it once for all words that begin with the prefix.
+For merge models (BPE) the sum of scores does not give the library's pieces. There a step to a piece scores zero if no merge would
+cross its boundary to the piece before it, and minus infinity otherwise, which leaves one way to every prefix: the forward state is
+its last piece. Either state depends on the prefix alone, so a depth-first walk over sorted words computes it once for all words
+that begin with the prefix.
 """
 
 from __future__ import annotations
 
 import re
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -54,9 +56,16 @@ class Pieces:
                         self.parts[i] = last[-1]
                     else:
                         del self.whole[p]
+        #: Length of the longest piece of spaces, if long runs are that piece over and over.
+        self.stride = max((len(p) for p in self.whole if p.strip(SPACE) == ""), default=0)
+        if self.stride:
+            lead = self.ids[SPACE * self.stride]
+            if any(self.merged(SPACE * (n + self.stride)) != [lead, *self.merged(SPACE * n)] for n in range(self.stride + 1, 3 * self.stride + 1)):
+                self.stride = 0
 
     @classmethod
-    def load(cls, file: str) -> Pieces:
+    def load(cls, file: str, best: bool = False) -> Pieces:
+        """A model file's pieces; best takes them by the best sum of scores, whatever the model's kind."""
         from sentencepiece import SentencePieceProcessor
         from sentencepiece import sentencepiece_model_pb2 as proto
 
@@ -68,23 +77,47 @@ class Pieces:
         n = range(sp.get_piece_size())
         plain = [not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) for i in n]
         bytes_ = {int(sp.id_to_piece(i)[3:5], 16): i for i in n if sp.is_byte(i)}
-        return cls([(sp.id_to_piece(i), sp.get_score(i)) for i in n], train.model_type == 2, sp.unk_id(), bytes_, plain)
+        return cls([(sp.id_to_piece(i), sp.get_score(i)) for i in n], train.model_type == 2 and not best, sp.unk_id(), bytes_, plain)
 
     def merged(self, word: str, trace: list | None = None) -> list[int]:
-        """Ids by merging the neighbours of the highest score, leftmost first, until none merge. Characters beyond the pieces: -1."""
-        parts = list(word)
-        while len(parts) > 1:
-            best, at = -NEVER, -1
-            for k in range(len(parts) - 1):
-                i = self.ids.get(parts[k] + parts[k + 1])
-                if i is not None and (self.score[i] > best or at < 0):
-                    best, at = self.score[i], k
-            if at < 0:
-                break
+        """Ids by merging the neighbours of the highest score, leftmost first, until none merge. Characters beyond the pieces: -1.
+
+        Neighbours wait in a heap, so that long words take n log n steps.
+        """
+        parts: list = list(word)
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        heap: list[tuple[float, int, str]] = []
+
+        def meet(k: int) -> None:
+            if k >= 0 and after[k] < len(parts):
+                joined = parts[k] + parts[after[k]]
+                i = self.ids.get(joined)
+                if i is not None:
+                    heappush(heap, (-self.score[i], k, joined))
+
+        for k in range(len(parts)):
+            meet(k)
+        while heap:
+            _, k, joined = heappop(heap)
+            if parts[k] is None or after[k] >= len(parts) or parts[k] + parts[after[k]] != joined:
+                continue  # one of the two has been merged since
+            n = after[k]
             if trace is not None:
-                trace.append((self.ids.get(parts[at], -1), self.ids.get(parts[at + 1], -1)))
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ids.get(p, -1) for p in parts]
+                trace.append((self.ids.get(parts[k], -1), self.ids.get(parts[n], -1)))
+            parts[k], parts[n], after[k] = joined, None, after[n]
+            if after[n] < len(parts):
+                before[after[n]] = k
+            meet(k)
+            meet(before[k])
+        return [self.ids.get(p, -1) for p in parts if p is not None]
+
+    def spaced(self, word: str) -> bytes:
+        """Ids of a word behind a run of spaces. Pieces of spaces have equal scores and are merged from the left, so a long run begins
+        with the longest of them again and again; what repeats is not merged anew."""
+        run = len(word) - len(word.lstrip(SPACE))
+        again = max(0, (run - 4 * self.stride) // self.stride) if self.stride else 0
+        rest = word[again * self.stride :]
+        return self.coded[self.ids[SPACE * self.stride]] * again + self.packed(self.merged(rest), rest) if again else self.packed(self.merged(word), word)
 
     def spine(self, i: int, side: int) -> list[tuple[int, float, float]]:
         """The pieces at one end of a piece while it is merged: (piece, when it comes to be, when it is merged away)."""
@@ -119,7 +152,7 @@ class Pieces:
         last, begin, total = [-1], [0], [0.0]
         for word in words:
             if self.merges and SPACE * 3 in word:  # runs of spaces have equal scores: merged one by one
-                out[word] = self.packed(self.merged(word), word)
+                out[word] = self.spaced(word)
                 continue
             same = 0
             for p, q in zip(before, word):
@@ -220,24 +253,25 @@ class Pieces:
 UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 
 
-@lru_cache(1)
-def held(file: str) -> Pieces:
+@lru_cache(2)
+def held(file: str, best: bool = False) -> Pieces:
     """One for each worker, which runs many tasks."""
-    found = Pieces.load(file)
+    found = Pieces.load(file, best)
     if any("\n" in p or re.search(f"[^{SPACE}]{SPACE}", p) for p in found.ids):
         raise ValueError("a piece crosses words")
     return found
 
 
-def encoded(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_ids, ids, whole): the ids of each row's whole text, and whether they decode to it again.
+def encoded(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text", best: bool = False) -> DataFrame:
+    """(id, n_ids, ids, whole): the ids of each row's whole text, and whether they decode to it again. With best, pieces are those
+    of the best sum of scores, also for a merge model.
 
     Null or empty text: no ids. A text that holds the space mark itself decodes to a space there, so whole is false. Null id
     and repeated rows: encoded like any other. Very long texts: whole. Other columns are not read. Empty table: no rows.
     """
 
     def run(batches):
-        pieces = held(file)
+        pieces = held(file, best)
         for b in sliced(batches):
             texts = b.column(1).to_pylist()
             coded = pieces.encode([t.decode() for t in texts])  # the more words at once, the longer the prefixes that they share

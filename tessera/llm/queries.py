@@ -30,6 +30,12 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnsRenamed({"id": "doc_id", "whole": "round_trip"})
 
 
+def best_score_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents by the best sum of the model's scores: the Viterbi path of models with a score for each piece."""
+    found = encoded(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), best=True)
+    return found.withColumnsRenamed({"id": "doc_id", "whole": "round_trip"})
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as pictures in archives: digests of the payload and the stored form as read back, and the features."""
     got = media_columns(table(spark, sf_dir, "documents"))
@@ -102,6 +108,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_warc": op9_warc,
     "op10_lm": op10_lm,
+    "best_score_pieces": best_score_pieces,
 }
 
 #: CRC-32 of a text's bytes.

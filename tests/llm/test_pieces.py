@@ -28,6 +28,56 @@ def test_odd_texts_like_the_library():
         assert mine.decode(ids).decode() == sp.decode(sp.encode(t)), t
 
 
+def test_runs_of_spaces_like_the_library():
+    import time
+
+    sp, mine = SentencePieceProcessor(model_file=FILE), held(FILE)
+    assert mine.stride > 1
+    texts = [" " * n + tail for n in (*range(150), 1000, 5001) for tail in ("", "the x", "\n", "é", "中 ", "q" * 40)]
+    texts += ["a" + " " * n + "b" + " " * (2 * n) for n in range(90)] + ["x" * 3000, "   " + "xyz" * 4000]
+    for t, ids in zip(texts, mine.encode(texts)):
+        assert np.frombuffer(ids, "<i4").tolist() == sp.encode(t), (len(t), t[-5:])
+    long = " " * 1_000_000 + "end"
+    began = time.perf_counter()
+    (ids,) = mine.encode([long])
+    assert time.perf_counter() - began < 1
+    assert np.frombuffer(ids, "<i4").tolist() == sp.encode(long) and mine.decode(ids).decode() == long
+
+
+def test_merges_like_one_by_one():
+    mine, rng = held(FILE), random.Random(9)
+
+    def plain(word):
+        parts = list(word)
+        while True:
+            some = [(-mine.score[mine.ids[p + q]], k) for k, (p, q) in enumerate(zip(parts, parts[1:])) if p + q in mine.ids]
+            if not some:
+                return [mine.ids.get(p, -1) for p in parts]
+            k = min(some)[1]
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+
+    for _ in range(400):
+        w = SPACE * rng.randint(0, 40) + "".join(rng.choice("abcdeting é中") for _ in range(rng.randint(0, 20))).replace(" ", SPACE)
+        assert mine.merged(w) == plain(w)
+
+
+def test_best_scores_of_the_model_file(spark):
+    """The Viterbi path over the file's own scores, against all segmentations."""
+    m = held(FILE, True)
+    rng = random.Random(4)
+    words = ["".join(rng.choice("theinga ") for _ in range(rng.randint(1, 9))) for _ in range(200)]
+
+    def best(w):
+        top = {0: 0.0}
+        for k in range(1, len(w) + 1):
+            top[k] = max(top[s] + m.score[m.ids[w[s:k]]] for s in range(k) if s in top and w[s:k] in m.ids)
+        return top[len(w)]
+
+    got = {r["id"]: r for r in encoded(spark.createDataFrame(list(enumerate(words)), "doc_id long, text string"), FILE, best=True).collect()}
+    for i, w in enumerate(words):
+        assert got[i]["whole"] and np.isclose(sum(m.score[x] for x in got[i]["ids"]), sum(best(u) for u in m.units(w)))
+
+
 def test_scores_take_the_best_path():
     rng = random.Random(3)
     pieces = [("<unk>", 0.0)] + [(p, -rng.random() * 5 - 1) for p in ["a", "b", "c", SPACE, SPACE + "a", "ab", "bc", "abc", "ca", SPACE + "ab", "cab", "bca"]]
