@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -19,10 +20,14 @@ from .common import sliced, utf8, written
 #: Words whose ids a worker keeps, and prices of the program that are tried.
 CACHED = 300_000
 ROUNDS = 600
-#: Pieces of at most this part of a sequence are no part of the program: best fit pours them into what it leaves.
-SMALL = 16
-
-
+#: Bytes of a word whose ids are cached at most; longer ones are worked out each time.
+LONG = 256
+#: How the supported tokenizers normalise and split, as their files say it.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLITTER = [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
 #: Bytes as the characters that stand for them in a byte-level vocabulary: printable ones as themselves, others from U+0100 on.
 SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
 BYTES = {b: b for b in SHOWN} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in SHOWN)}
@@ -44,28 +49,38 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
+        spec = json.loads(self.tokenizer.to_str())
+        steps = [(spec.get(k) or {}).get(part) for k, part in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+        model = spec["model"]
+        plain = model["type"] == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix")
+        added = [t["content"] for t in spec.get("added_tokens", [])]
+        if steps != [NORMALIZER, SPLITTER] or not plain or not all(t.startswith("<|") and not t.split()[1:] for t in added):
+            raise ValueError("only tokenizers that drop white space, lower letters and split as SPLITTER says are supported")
         self.model = self.tokenizer.model
         self.parts: dict[str, bytes] = {}
 
     def part(self, part: str) -> bytes:
         found = self.parts.get(part)
         if found is None:
-            if len(self.parts) > CACHED:
-                self.parts.clear()
             shown = part if part.isascii() else part.encode().decode("latin-1").translate(BYTES)
-            self.parts[part] = found = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+            found = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+            if len(part) <= LONG:
+                if len(self.parts) > CACHED:
+                    self.parts.clear()
+                self.parts[part] = found
         return found
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) > CACHED:
-            self.clear()
         text = word.decode()
         if PLAIN.fullmatch(text) and "<|" not in text:
             text = text.lower()
             ids = self.part(text) if text.isalpha() and text.isascii() else b"".join(map(self.part, PARTS.findall(text)))
         else:
             ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        self[word] = ids
+        if len(word) <= LONG:
+            if len(self) > CACHED:
+                self.clear()
+            self[word] = ids
         return ids
 
     def ids(self, text: bytes) -> bytes:
@@ -196,8 +211,7 @@ def plan(hist: dict[int, int], size: int, rounds: int = ROUNDS) -> list[tuple[di
     """Groups of equal sequences for a histogram of lengths: (length to copies, sequences)."""
     whole = [({size: 1}, hist[size])] if hist.get(size) else []
     rest = {n: c for n, c in hist.items() if 0 < n < size and c}
-    large = {n: c for n, c in rest.items() if n > size // SMALL}
-    return whole + (rounded(rest, fractional(large, size, rounds) if large else [], size) if rest else [])
+    return whole + (rounded(rest, fractional(rest, size, rounds), size) if rest else [])
 
 
 def pack(docs: DataFrame, file: str, size: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

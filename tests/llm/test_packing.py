@@ -3,9 +3,10 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
-from tessera.llm.packing import pack, plan
+from tessera.llm.packing import WordIds, fractional, pack, plan
 
 FILE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -45,6 +46,27 @@ def test_edge_rows(spark):
     assert pack(df.limit(0), FILE).collect() == []
 
 
+def test_other_tokenizers_are_refused():
+    with pytest.raises(ValueError, match="supported"):
+        WordIds(public_tokenizers.path("byte_bpe_50k.json"))
+    assert WordIds(FILE).ids(b"Hello hello") == 2 * WordIds(FILE).ids(b"hello")
+
+
+def test_a_very_long_text_at_full_size(spark):
+    rng = random.Random(6)
+    long = " ".join("".join(rng.choice("abcdeé1-") for _ in range(rng.randint(1, 9))) for _ in range(120_000)) + " " + "z" * 20_000
+    texts = [(1, long), (2, "a"), (2, "a"), (None, None)]
+    n, least = check(pack(spark.createDataFrame(texts, "doc_id long, text string"), FILE).collect(), texts, 2048)
+    assert n <= least + 1
+
+
+def test_short_pieces_are_in_the_program():
+    hist = {3: 5000, 7: 3000, 60: 10}
+    used = {n for config, _ in fractional(hist, 128) for n in config}
+    assert used == {3, 7, 60}
+    assert sum(t for _, t in plan(hist, 128)) <= -(-sum(n * c for n, c in hist.items()) // 128) + 1
+
+
 def test_plans_use_each_piece_once_and_are_tight():
     rng = random.Random(2)
     for n in (1, 5, 300, 5000):
