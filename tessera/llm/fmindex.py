@@ -1,9 +1,16 @@
-"""A compressed FM-index over sequences of integers: BWT in a wavelet matrix of bit vectors with sampled ranks."""
+"""A compressed FM-index over sequences of integers: BWT in a wavelet matrix of bit vectors, ranks and suffixes sampled.
+
+What stays after the build is bits: of the BWT, a bit for each bit of a symbol, and a mark for each sampled suffix. The suffix array is
+dropped but for its samples, from which the places of an interval are found again by steps along the text.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
+#: Places of the text between samples of the suffix array.
+SAMPLE = 8
+
 
 class Bits:
     """A bit vector in 64-bit words with a count before each word."""
@@ -16,6 +23,9 @@ class Bits:
         np.cumsum(np.bitwise_count(packed[:-1]), out=self.before[1:])
         self.ones = int(bits.sum())
 
+    def get(self, at: np.ndarray) -> np.ndarray:
+        return (self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0
+
     def rank(self, at: np.ndarray) -> np.ndarray:
         """Ones before each position."""
         word, bit = at >> 6, (at & 63).astype(np.uint64)
@@ -52,6 +62,16 @@ class Wavelet:
         return at - self.start[symbol]
 
 
+    def access(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol at each position, and how often it stands before it."""
+        symbol = np.zeros(len(at), np.int64)
+        for k, bits, zeros in self.levels:
+            one, ones = bits.get(at), bits.rank(at)
+            symbol |= one.astype(np.int64) << k
+            at = np.where(one, zeros + ones, at - ones)
+        return symbol, at - self.start[symbol]
+
+
 class FMIndex:
     """Over sequences laid end to end: text holds symbols 1 and up, ends the exclusive end of each sequence.
 
@@ -87,47 +107,63 @@ class FMIndex:
             rank = rank * (n + 1) + later
             order = np.argsort(rank)
             depth *= 2
-        self.suffixes = order
         width = max(1, int(full.max(initial=0)).bit_length())
         self.bwt = Wavelet(full[order - 1], width)
         self.less = np.concatenate([[0], np.cumsum(np.bincount(full, minlength=1 << width))])
-        self.n, self.place = n, np.cumsum(inside) - 1
-        self.sequence = np.searchsorted(stop, np.arange(n))
+        self.n = n
+        # Sampled: every SAMPLE-th place of the text, and each sequence's first, as a step back from there would leave it.
+        begins = np.concatenate([[0], stop[:-1] + 1]) if m else np.zeros(0, np.int64)
+        some = np.zeros(n, bool)
+        some[::SAMPLE] = some[begins] = True
+        marked = some[order]
+        self.marked = Bits(marked)
+        self.samples = np.searchsorted(stop, order[marked]).astype(np.int32)
+
+    def sequences(self, at: np.ndarray) -> np.ndarray:
+        """The sequence that each suffix, given by its rank, begins in: back along the text to the next sample."""
+        out, left, at = np.empty(len(at), np.int64), np.arange(len(at)), at.astype(np.int64)
+        while len(left):
+            hit = self.marked.get(at)
+            out[left[hit]] = self.samples[self.marked.rank(at[hit])]
+            left, at = left[~hit], at[~hit]
+            symbol, before = self.bwt.access(at)
+            at = self.less[symbol] + before
+        return out
+
+    def search(self, patterns, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Backward search of many patterns of one length at once; patterns(k) gives their k-th symbols. Suffix intervals [lo, hi)."""
+        last = patterns(length - 1)
+        lo, hi = self.less[last], self.less[last + 1]
+        for k in range(length - 2, -1, -1):
+            c = patterns(k)
+            lo, hi = self.less[c] + self.bwt.rank(c, lo), self.less[c] + self.bwt.rank(c, hi)
+        return lo, hi
 
-    def search(self, patterns, length: int, indexed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """Backward search of many patterns of one length at once; patterns(k) gives their k-th symbols. Suffix intervals [lo, hi).
+    def statistics(self, symbols, most: int, n: int, own: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Matching statistics of n places of streamed texts: (length, lo, hi).
 
-        With indexed, patterns(k, some) gives those of some of so many patterns, each of which stands in the text. Once such a
-        pattern's interval is a single suffix it is that place alone and is followed no further: its interval is [-1, 0).
+        symbols(k, some) gives the symbols k places before some of the places. Each place's match is extended backward, symbol by
+        symbol, while it stands in more than own places of the index (1 where the text itself is one of them), and to most symbols at
+        most: length is that of the longest such match that ends at the place. lo and hi are its suffix interval where it has most.
         """
-        if not indexed:
-            last = patterns(length - 1)
-            lo, hi = self.less[last], self.less[last + 1]
-            for k in range(length - 2, -1, -1):
-                c = patterns(k)
-                lo, hi = self.less[c] + self.bwt.rank(c, lo), self.less[c] + self.bwt.rank(c, hi)
-            return lo, hi
-        out = np.full(indexed, -1), np.zeros(indexed, np.int64)
-        some = np.arange(indexed)
-        c = patterns(length - 1, some)
-        lo, hi = self.less[c], self.less[c + 1]
-        for k in range(length - 2, -1, -1):
-            on = hi - lo > 1
+        length, out = np.zeros(n, np.int64), (np.zeros(n, np.int64), np.zeros(n, np.int64))
+        some, lo, hi = np.arange(n), None, None
+        for k in range(most):
+            c = symbols(k, some)
+            lo, hi = (self.less[c], self.less[c + 1]) if lo is None else (self.less[c] + self.bwt.rank(c, lo), self.less[c] + self.bwt.rank(c, hi))
+            on = hi - lo > own
             some, lo, hi = some[on], lo[on], hi[on]
-            c = patterns(k, some)
-            lo, hi = self.less[c] + self.bwt.rank(c, lo), self.less[c] + self.bwt.rank(c, hi)
+            length[some] = k + 1
         out[0][some], out[1][some] = lo, hi
-        return out
+        return length, *out
 
 
-def interval_minima(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Minimum of values over each non-empty interval; intervals are equal or disjoint."""
+def interval_minima(value, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Minimum of value(ranks) over each non-empty interval; each interval's ranks are looked up once."""
     if not len(lo):
-        return np.zeros(0, values.dtype)
-    starts, back = np.unique(lo, return_inverse=True)
-    ends = np.empty(len(starts), np.int64)
-    ends[back] = hi
-    cuts = np.empty(2 * len(starts), np.int64)
-    cuts[0::2], cuts[1::2] = starts, ends
-    out = np.minimum.reduceat(np.concatenate([values, values[-1:]]), cuts)[0::2]
-    return out[back]
+        return np.zeros(0, np.int64)
+    each, back = np.unique(np.stack([lo, hi], axis=1), axis=0, return_inverse=True)
+    size = each[:, 1] - each[:, 0]
+    begin = np.cumsum(size) - size
+    ranks = np.arange(size.sum()) + np.repeat(each[:, 0] - begin, size)
+    return np.minimum.reduceat(value(ranks), begin)[back.reshape(-1)]

@@ -3,9 +3,11 @@
 A shard can't hold all documents, nor can each document be searched in each shard. So windows are dealt to shards by an
 anchor that equal windows share: the smallest hash of the GRAM-word sequences in the window. Runs of windows with one anchor
 are segments. Only segments whose anchor stands in two documents or more reach a shard, once for each block of documents that
-holds them, and the shard answers each block once. Hot passages therefore cost a row for each block, not for each document.
-Around a hot passage each document has segments of its own, with one anchor; a crowded anchor's segments are split into windows,
-which equal windows leave together again, so no anchor fills a task.
+holds them; there they are indexed and streamed against the index, and matching statistics of a window's length or more make up
+the intervals that are reported, once for each block. Hot passages therefore cost a row for each block, not for each document.
+Around a hot passage each document has segments of its own, with one anchor; a crowded anchor's segments are split into windows.
+Equal windows become one row with their smallest owner before any task takes them, and what the index says of them is joined
+back to the blocks, which adaptive execution splits where a window is hot.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import secrets
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import dropped, shared_path, sliced, text_bytes, written
@@ -29,6 +31,8 @@ BLOCK = 5 << 20
 INDEX = 30_000
 #: Rows of segments with one anchor beyond which its windows are dealt out one by one, by their own hash.
 CROWDED = 1000
+#: Bytes of text whose anchors make up a shard at most.
+SHARD = 256 << 20
 NONE = np.iinfo(np.int64).max
 FREE = np.iinfo(np.int64).min
 WORDS = 200_000
@@ -140,20 +144,47 @@ def grouped(batches, key: int = 0):
         yield now, held
 
 
+def shard_count(spark: SparkSession, bytes_: int) -> int:
+    """Shards for so many bytes of text: a shard's share is bounded whatever the session's settings; no fewer than keep all tasks busy."""
+    return max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-bytes_ // SHARD))
+
+
+def ranks(ids: DataFrame) -> DataFrame:
+    """(id, rank) of the distinct ids that are not null, by their order: dealt by ranges, numbered within, after all smaller ranges."""
+    dealt = ids.where("id is not null").distinct().repartitionByRange("id").sortWithinPartitions("id")
+    numbered = written(dealt.select("id", F.monotonically_increasing_id().alias("at")), "ids")
+    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = numbered.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()  # a row for each partition
+    before, total = [], 0
+    for r in sizes:
+        before.append((r["part"], total))
+        total += r["n"]
+    offsets = F.broadcast(ids.sparkSession.createDataFrame(before, "part long, before long"))
+    return numbered.withColumn("part", part).join(offsets, "part").select("id", (F.col("before") + place).alias("rank"))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 13) -> DataFrame:
     """docs with two more columns in front, and with text_col as the words kept, joined by one space.
 
     n_words and n_removed count words before and removed. A word goes if a window of size words that covers it, as given,
-    also starts in a row with a smaller id. Null text: none, so no words, and the result's text is empty. Texts under size
-    words: all kept. Repeated rows of one id: not smaller than each other, so both stay. Null id: nothing is smaller than it,
-    and it is smaller than nothing. Other columns pass through, whatever their names. Empty table: no rows.
+    also starts in a row with a smaller id. Ids are whole numbers, or of any type that Spark orders: these are ranked first. Null
+    text: none, so no words, and the result's text is empty. Texts under size words: all kept. Repeated rows of one id: not
+    smaller than each other, so both stay. Null id: nothing is smaller than it, and it is smaller than nothing. Other columns
+    pass through, whatever their names. Empty table: no rows.
     """
     spark = docs.sparkSession
     folder = shared_path(spark, "blocks")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = 2 * parts
-    others = [c for c in docs.columns if c not in (id_col, text_col)]
-    held = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)])
+    shards = shard_count(spark, text_bytes(docs, text_col))
+    others = [c for c in docs.columns if c != text_col]
+    passed = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)]
+    own = others.index(id_col)
+    held = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"), *passed)
+    if docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long"):
+        held = held.withColumn("id", F.col("id").cast("long"))
+    else:
+        held = held.drop("id").join(ranks(held.select("id")).withColumnRenamed("id", "_id"), F.col(f"c{own}") == F.col("_id"), "left")
+        held = held.select(F.col("rank").alias("id"), "text", *[f"c{k}" for k in range(len(others))])
 
     def anchors(batches):
         hashes = Hashes()
@@ -234,10 +265,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(out, kinds)], names=["gram", "block", "number", "place", "words", "least"])
 
-    def searched(index, rows):
-        block, number, place, least, seg = (np.concatenate(x) for x in zip(*rows))
-        owner = np.full(len(index), NONE)
-        np.minimum.at(owner, seg, least)
+    def indexed(index, owner):
+        """For an index of texts and their owners: the windows of each text (begin, count), and the smallest owner of each window."""
         symbols: dict[bytes, int] = {}
         laid, sizes = [], []
         for s in index:
@@ -249,26 +278,46 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         fm = FMIndex(laid, ends)
         count = sizes - size + 1
         begin = np.cumsum(count) - count
-        start = np.arange(count.sum()) - np.repeat(begin - (ends - sizes), count)
-        lo, hi = fm.search(lambda k, some: laid[start[some] + k], size, len(start))
-        found = np.repeat(owner, count)  # a window that stands in one place has the owner of its segment
-        several = np.flatnonzero(lo >= 0)
-        found[several] = interval_minima(owner[np.minimum(fm.sequence[fm.suffixes], len(owner) - 1)], lo[several], hi[several])
+        last = np.arange(count.sum()) - np.repeat(begin - (ends - sizes), count) + size - 1
+        matched, lo, hi = fm.statistics(lambda k, some: laid[last[some] - k], size, len(last))
+        found = np.repeat(owner, count)  # a window that stands in one place has the owner of its text
+        above = np.flatnonzero(matched >= size)
+        found[above] = interval_minima(lambda at: owner[fm.sequences(at)], lo[above], hi[above])
+        return begin, count, found
+
+    def packed(block, numbers):
+        """Rows (block, data): the numbers of each row, by block."""
+        order = np.argsort(block, kind="stable")
+        cuts = np.flatnonzero(np.concatenate([[True], block[order][1:] != block[order][:-1], [True]])) if len(order) else np.zeros(1, np.int64)
+        data = [np.concatenate([numbers(k) for k in order[a:c].tolist()]).astype("<i8").tobytes() for a, c in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        return pa.record_batch([pa.array(block[order][cuts[:-1]]), pa.array(data, pa.binary())], names=["block", "data"])
+
+    def searched(index, rows):
+        block, number, least, seg = (np.concatenate(x) for x in zip(*rows))
+        owner = np.full(len(index), NONE)
+        np.minimum.at(owner, seg, least)
+        begin, count, found = indexed(index, owner)
         told = np.flatnonzero(np.minimum.reduceat(found, begin)[seg] < least)
-        told = told[np.argsort(block[told], kind="stable")]
-        cuts = np.flatnonzero(np.concatenate([[True], block[told][1:] != block[told][:-1], [True]])) if len(told) else np.zeros(1, np.int64)
-        data = []
-        for a, c in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            parts = [x for k in told[a:c].tolist() for x in ((number[k], place[k], count[seg[k]]), found[begin[seg[k]] : begin[seg[k]] + count[seg[k]]])]
-            data.append(np.concatenate(parts).astype("<i8").tobytes())
-        return pa.record_batch([pa.array(block[told[cuts[:-1]]]), pa.array(data, pa.binary())], names=["block", "data"])
+        block, number, seg = block[told], number[told], seg[told]
+        return packed(block, lambda k: np.concatenate([(number[k], 0, count[seg[k]]), found[begin[seg[k]] : begin[seg[k]] + count[seg[k]]]]))
+
+    def owners(batches):
+        """Crowded windows, each once, with the smallest owner that the index has for it."""
+        for b in joined(sliced(batches, INDEX), 1 << 20):
+            _, _, found = indexed(b["words"].to_pylist(), b["least"].to_numpy())
+            yield pa.record_batch([b["gram"], b["words"], pa.array(found)], names=["gram", "words", "owner"])
+
+    def placed(batches):
+        for b in batches:
+            number, place, owner = (b[c].to_numpy() for c in ("number", "place", "owner"))
+            yield packed(b["block"].to_numpy(), lambda k: np.array([number[k], place[k], 1, owner[k]]))  # noqa: B023
 
     def answers(batches):
         index: dict[bytes, int] = {}
         rows, last = [], None
         for b in batches:
-            gram, block, number, place, least = (b.column(k).to_numpy() for k in (0, 1, 2, 3, 5))
-            words = b.column(4).to_pylist()
+            gram, block, number, least = (b[c].to_numpy() for c in ("gram", "block", "number", "least"))
+            words = b["words"].to_pylist()
             cuts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1], [True]])) if len(gram) else np.zeros(1, np.int64)
             for a, c in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 if gram[a] != last and len(index) >= INDEX:  # an index takes whole anchors
@@ -276,7 +325,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     index, rows = {}, []
                 last = gram[a]
                 seg = np.fromiter((index.setdefault(w, len(index)) for w in words[a:c]), np.int64, c - a)
-                rows.append((block[a:c], number[a:c], place[a:c], least[a:c], seg))
+                rows.append((block[a:c], number[a:c], least[a:c], seg))
         if rows:
             yield searched(index, rows)
 
@@ -329,13 +378,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = written(asked.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(segments, "gram long, block long, number long, words binary, least long"), "segments")
     dropped(spark, place)
     crowded = written(found.groupBy("gram").count().where(F.col("count") > CROWDED).select("gram"), "crowded")  # Spark sees its size and broadcasts it only if small
-    whole = found.join(crowded, "gram", "left_anti").select("gram", "block", "number", F.lit(0).cast("long").alias("place"), "words", "least")
-    split = found.join(crowded, "gram", "left_semi").select("block", "number", "words", "least").mapInArrow(windows, "gram long, block long, number long, place long, words binary, least long")
-    told = whole.union(split).repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(answers, "block long, data binary")
+    whole = found.join(crowded, "gram", "left_anti").select("gram", "block", "number", "words", "least")
+    told = whole.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(answers, "block long, data binary")
+    if not crowded.isEmpty():
+        split = written(found.join(crowded, "gram", "left_semi").select("block", "number", "words", "least").mapInArrow(windows, "gram long, block long, number long, place long, words binary, least long"), "windows")
+        each = split.groupBy("gram", "words").agg(F.min("least").alias("least"), F.max("least").alias("most")).where("least < most")
+        known = written(each.select("gram", "words", "least").mapInArrow(owners, "gram long, words binary, owner long"), "owners")
+        back = split.join(known, ["gram", "words"]).where("owner < least").select("block", "number", "place", "owner")
+        told = told.union(back.mapInArrow(placed, "block long, data binary"))
     having = found.select("block").distinct().select("block", F.lit(b"runs").alias("data"))
     every = marks.union(having).union(told)
     schema = ", ".join(["n_words long", "n_removed long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields)])
     out = every.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(kept, schema)
-    back = {f"c{k}": c for k, c in enumerate(others)} | {"id": id_col, "text": text_col}
-    named = {v: k for k, v in back.items()}
-    return out.select("n_words", "n_removed", *[(F.col(named[c]).cast("string") if c == text_col else F.col(named[c]).cast(docs.schema[c].dataType)).alias(c) for c in docs.columns])
+    named = {c: F.col(f"c{k}") for k, c in enumerate(others)} | {text_col: F.col("text").cast("string")}
+    return out.select("n_words", "n_removed", *[named[c].alias(c) for c in docs.columns])
