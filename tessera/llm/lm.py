@@ -15,7 +15,7 @@ from .common import shared_path, text_bytes, utf8, written
 from .ppm import ORDER, base, codes_of, costs, kept, pairs_of, summed
 from .quality import bucket
 from .store import get_batch, put_batch, squeezed, squeezed_sorted, unsqueezed, unsqueezed_sorted
-from .substring import block_file, blocks, grouped, new_block
+from .substring import block_file, blocks, grouped, new_block, shard_count
 
 
 #: Codes of a shard that are held before they are added up.
@@ -67,7 +67,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     spark = docs.sparkSession
     folder = shared_path(spark, "lm")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = 2 * parts
+    shards = shard_count(spark, text_bytes(docs, text_col))
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"), (bucket(id_col, folds) == held).alias("held"))
 

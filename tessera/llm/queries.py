@@ -97,6 +97,16 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def media_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op3_media: sizes, digest and tail of the payload as read back from the archives."""
+    return op3_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32")
+
+
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op10_lm: folds, counts and the word-count base."""
+    return op10_lm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_sentencepiece": op2_sentencepiece,
@@ -109,12 +119,31 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_lm": op10_lm,
     "best_score_pieces": best_score_pieces,
+    "media_payload": media_payload,
+    "lm_base": lm_base,
 }
 
 #: CRC-32 of a text's bytes.
 CRC32 = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, strlen({0}) + 1), lambda i: ('0x' || substr(hex({0}), 2 * i - 1, 2))::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295)"
 
 ORACLES: dict[str, str] = {
+    "media_payload": rf"""
+        WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+        p AS (SELECT doc_id, octet_length(b) AS n, b || repeat('\x00'::BLOB, CASE WHEN octet_length(b) = 0 THEN 64 ELSE (64 - octet_length(b) % 64) % 64 END) AS b FROM t),
+        e AS (SELECT *, right(hex(b), 128) AS tail FROM p)
+        SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha256(b) AS payload_sha256,
+            {CRC32.replace("strlen({0})", "64").format("").replace("hex()", "tail")} AS tail_crc32 FROM e
+    """,
+    "lm_base": rf"""
+        WITH w AS (
+            SELECT doc_id, {CRC32.format("coalesce(CAST(doc_id AS VARCHAR), '')")} % 7 = 2 AS held_out,
+                list_append(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> ''), NULL) AS words FROM documents
+        ), t AS (SELECT row_number() OVER () AS row, * FROM w), x AS (SELECT row, held_out, unnest(words) AS word FROM t),
+        c AS (SELECT word, count(*) FILTER (NOT held_out) AS c FROM x GROUP BY 1),
+        n AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) FILTER (c > 0) AS v FROM c),
+        s AS (SELECT row, count(*) AS n_tokens, count(*) FILTER (c > 0) AS n_known, sum(log10((c + 1) / (n * 1.0::DOUBLE + v + 1))) AS b FROM x JOIN c ON x.word IS NOT DISTINCT FROM c.word, n GROUP BY 1)
+        SELECT doc_id, held_out, n_tokens, n_known, n AS train_tokens, round(b, 6) AS base_score FROM t JOIN s USING (row), n
+    """,
     "op7_chat": rf"""
         WITH c AS (
             SELECT conv_id, turn, CASE WHEN lower(role) IN ('system', 'user', 'assistant') THEN lower(role) ELSE 'other' END AS role,

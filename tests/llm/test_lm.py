@@ -2,6 +2,7 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 
@@ -93,8 +94,29 @@ def test_empty_tables(spark):
 
 
 def test_beats_the_base_on_held_out_text(spark, sf):
-    rows = lm_scores(spark.read.parquet(f"{sf}/documents.parquet")).collect()
-    assert np.isfinite([r["score"] for r in rows]).all()
+    """On training text at any size; on held-out text once there is enough to learn from (of sf0.001 and sf0.01 there is not)."""
+
+    def sums(path):
+        rows = lm_scores(spark.read.parquet(f"{path}/documents.parquet")).collect()
+        assert np.isfinite([r["score"] for r in rows]).all()
+        return {h: [sum(r[c] for r in rows if r["held_out"] == h) for c in ("score", "base_score")] for h in (False, True)}
+
+    score, base = sums(sf)[False]
+    assert score > 0.96 * base and score > base
+    large = Path(sf).parent / "sf0.1"
+    if large.exists():
+        found = sums(large)
+        for score, base in found.values():
+            assert score > base
+        assert found[True][0] > 0.99 * found[True][1]
+
+
+def test_a_very_long_text_at_full_order(spark):
+    rng = random.Random(1)
+    words = [f"word{k}" for k in range(40)]
+    long = " ".join(rng.choice(words) for _ in range(60_000))
+    rows = [(1, long), (2, "word1 word2"), (3, "word3 é\x00" * 300), (4, None)]
+    check(spark, rows, 5, 1e-12)
 
 
 def test_every_sequence_that_occurs_is_known(spark):
