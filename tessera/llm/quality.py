@@ -157,8 +157,9 @@ def bucket(id_col: str, n: int):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % n
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, cut: float = 0.3, keep: bool = False, sample: int = SAMPLE) -> DataFrame:
-    """(id, held_out, score, predicted) for each row of docs; with keep, docs' own columns stand before score and predicted.
+def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, cut: float = 0.3, keep: bool = False, sample: int = SAMPLE, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """(id, held_out, score, predicted) for each row of docs; with keep, docs' own columns stand before score and predicted, whose
+    names can be chosen so that they don't clash.
 
     Learns only from labels whose id's bucket is not 0, at most sample of them; labels and ids are no inputs of a score.
     Null text: as empty. Empty texts have an indicator of their own. Null labels: left out. Labels of ids that docs lacks: left
@@ -194,7 +195,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         named = docs.select(F.col(text_col).cast("binary").alias("_text_"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)])
         schema = ", ".join(f"c{k} {t}" for k, (_, t) in enumerate(docs.dtypes)) + ", score double, predicted int"
         out = named.mapInArrow(score, schema)
-        return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)], "score", "predicted")
+        return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)], F.col("score").alias(names[0]), F.col("predicted").alias(names[1]))
     kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(text_col).cast("binary").alias("text"), F.col(id_col).alias("id"), (bucket(id_col, folds) == 0).alias("held_out"))
     return slim.mapInArrow(score, f"id {kind}, held_out boolean, score double, predicted int")

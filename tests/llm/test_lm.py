@@ -114,7 +114,7 @@ def test_beats_the_base_on_held_out_text(spark, sf):
 def test_a_very_long_text_at_full_order(spark):
     rng = random.Random(1)
     words = [f"word{k}" for k in range(40)]
-    long = " ".join(rng.choice(words) for _ in range(60_000))
+    long = " ".join(rng.choice(words) for _ in range(12_000))
     rows = [(1, long), (2, "word1 word2"), (3, "word3 é\x00" * 300), (4, None)]
     check(spark, rows, 5, 1e-12)
 
