@@ -69,6 +69,13 @@ def layout(totals: DataFrame, segment: Column | None = None) -> DataFrame:
     return out.select("prefix", "parent", "depth", "total", (F.col("_i") + F.col("_b")).alias("offset"), (100 * F.col("total") / F.col("whole")).alias("percent"))
 
 
+def placed(laid: DataFrame) -> DataFrame:
+    """layout()'s nodes as boxes: (prefix, depth, x, width, percent); x is the sum of the offsets of a node and all its ancestors."""
+    above = laid.select(F.col("prefix").alias("node"), F.explode(F.transform(F.sequence(F.lit(1), F.size("prefix")), lambda n: F.slice("prefix", F.lit(1), n))).alias("_p"))
+    x = above.join(laid.select(F.col("prefix").alias("_p"), "offset"), "_p").groupBy("node").agg(F.sum("offset").alias("x"))
+    return laid.join(x, F.col("prefix") == F.col("node")).select("prefix", "depth", "x", F.col("total").alias("width"), "percent")
+
+
 def focus(totals: DataFrame, name: Column) -> DataFrame:
     """The node whose name matches: the shallowest, then of the largest total, then the smallest path."""
     return totals.where(name).orderBy("depth", F.desc("total"), "prefix").limit(1)

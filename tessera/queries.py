@@ -521,6 +521,15 @@ def stack_sibling_offsets(spark, sf):
     return got.select(F.concat_ws("/", "prefix").alias("prefix"), "depth", "total", "offset", F.round("percent", 6).alias("percent"))
 
 
+LAID = f"WITH t AS (SELECT prefix, CAST(len(prefix) AS INTEGER) AS depth, CAST(sum(value) AS BIGINT) AS total FROM (SELECT list_slice(path, 1, k) AS prefix, value FROM (SELECT path, value, unnest(range(1, len(path) + 1)) AS k FROM ({PATHS}) WHERE value > 0)) GROUP BY prefix), o AS (SELECT *, coalesce(sum(total) OVER (PARTITION BY list_slice(prefix, 1, depth - 1) ORDER BY prefix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM t)"
+
+
+@query(f"{LAID} SELECT array_to_string(a.prefix, '/') AS prefix, any_value(a.depth) AS depth, CAST(sum(b.o) AS BIGINT) AS x, any_value(a.total) AS width FROM o a JOIN o b ON a.depth >= b.depth AND list_slice(a.prefix, 1, b.depth) = b.prefix GROUP BY a.prefix")
+def stack_boxes(spark, sf):
+    got = stacks.placed(stacks.layout(totals(spark, sf), F.substring(F.element_at("prefix", -1), 1, 2)))
+    return got.select(F.concat_ws("/", "prefix").alias("prefix"), "depth", "x", "width")
+
+
 @query(f"SELECT CAST(max(len(path)) AS INTEGER) AS depth FROM ({PATHS})")
 def stack_depth(spark, sf):
     return stacks.height(page_paths(spark, sf))
