@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
-from .common import coded_id, decoded_id, shared_path, sliced
+from .common import coded_id, decoded_id, shared_path, sliced, written
 from .files import FilesWriter, Range, ranges
 from .store import opened
 
@@ -183,8 +183,18 @@ def write_pages(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: s
     payload = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(uri_col).cast("string").alias("uri"), payload.alias("payload")).withColumn("payload_bytes", F.length("payload").cast("long")).withColumn("payload_digest", F.sha1("payload"))
     many = rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.max("id").alias("last"), F.count("*").alias("n")).where("n > 1 and last is not null").select(F.col("payload_digest").alias("digest"), "last")
+    many = written(many, "repeated")
+    # A bit for each first 24 bits of a repeated digest, at most 512 rows of 4 KB: pages whose bit is not set move nowhere.
+    bit = lambda c: F.conv(F.substring(c, 1, 6), 16, 10).cast("long")
+    maps = many.groupBy(F.shiftright(bit("digest"), 15).alias("_bucket")).agg(F.bitmap_construct_agg(bit("digest").bitwiseAND(F.lit(32767))).alias("_bits"))
+    own = bit("payload_digest").bitwiseAND(F.lit(32767))
+    byte = F.conv(F.hex(F.substr("_bits", (F.shiftright(own, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    told = rows.join(F.broadcast(maps), F.shiftright(bit("payload_digest"), 15) == F.col("_bucket"), "left")
+    told = told.withColumn("_may", (F.col("payload_bytes") >= least) & F.coalesce(F.getbit(byte, F.pmod(own, F.lit(8)).cast("int")) == 1, F.lit(False))).drop("_bucket", "_bits")
+    alone = told.where("not _may").withColumn("last", F.lit(None).cast(rows.schema["id"].dataType))
     # Both sides are exchanges of their own, so that adaptive execution splits a payload that many pages share.
-    joined = rows.join(many.repartition("digest"), (rows.payload_digest == F.col("digest")) & (F.col("payload_bytes") >= least), "left")
+    shared = told.where("_may").join(many.repartition("digest"), F.col("payload_digest") == F.col("digest"), "left").drop("digest")
+    joined = alone.unionByName(shared)
     revisit = F.col("last").isNotNull() & ~F.col("id").eqNullSafe(F.col("last"))
     key = lambda c: F.concat(F.lit("urn:page:"), coded_id(c))
     slim = joined.select(key("id").alias("record_id"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), "uri", F.when(revisit, key("last")).alias("refers_to"), "payload_bytes", "payload_digest", F.when(~revisit, F.col("payload")).alias("payload"))
