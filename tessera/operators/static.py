@@ -38,7 +38,7 @@ def duplicates(dim: DataFrame, key: str) -> DataFrame:
     return dim.groupBy(key).count().where("count > 1")
 
 
-def _hash(key: Column, level: int) -> Column:
+def _hash(key: Column, level: int | Column) -> Column:
     return F.xxhash64(F.lit(level), key)
 
 
@@ -101,18 +101,21 @@ def perfect_hash(dim: DataFrame, key: str, shards: int | None = None) -> Index:
 
 def _slot(key: Column) -> Column:
     """The slot of a key beside its shard's function: where its first set bit stands; null if it is surely no key."""
-    ones = F.element_at("before", -1)
-    out = F.when(F.array_contains("rest", _hash(key, 0)), ones + F.array_position("rest", _hash(key, 0)).cast("int") - 1)
-    for level in range(LEVELS, 0, -1):
+    ones, own = F.element_at("before", -1), _hash(key, 0)
+
+    def tried(found: Column, level: Column) -> Column:
         start = F.element_at("starts", level)
         words = F.element_at("starts", level + 1) - start
         at = F.pmod(_hash(key, level), (words * 64).cast("long"))
-        word = (start + F.shiftright(at, 6).cast("int") + 1).cast("int")
-        bit = F.pmod(at, F.lit(64)).cast("int")
+        word, bit = start + F.shiftright(at, 6).cast("int") + 1, at.bitwiseAND(F.lit(63)).cast("int")
         here = F.element_at("words", word)
         lower = F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("long"), bit))
-        out = F.when((words > 0) & (F.getbit(here, bit) == 1), F.element_at("before", word) + F.bit_count(here.bitwiseAND(lower))).otherwise(out)
-    return out
+        mine = F.when((words > 0) & (F.getbit(here, bit) == 1), F.element_at("before", word) + F.bit_count(here.bitwiseAND(lower)))
+        return F.when(found.isNotNull(), found).otherwise(mine)
+
+    # A loop over levels, most of which it passes by: as code for each level it would be too long to be compiled.
+    found = F.aggregate(F.array(*[F.lit(k) for k in range(1, LEVELS + 1)]), F.lit(None).cast("int"), tried)
+    return F.coalesce(found, F.when(F.array_contains("rest", own), ones + F.array_position("rest", own).cast("int") - 1))
 
 
 def slots(index: Index, rows: DataFrame, key: str) -> DataFrame:

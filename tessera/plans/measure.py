@@ -15,11 +15,14 @@ PREFIXES = {"n": 1.0, "u": 1e3, "µ": 1e3, "m": 1e6, "": 1e9}
 
 def parse_lines(lines: DataFrame, text: str = "value") -> DataFrame:
     """(name, kind, n, ns, b, allocs) of benchmark lines; others go. Parts that a line lacks are null. The pattern is matched once:
-    a line becomes its parts between marks, and only what matched has seven."""
-    marked = F.regexp_replace(F.translate(text, "\x01", " "), LINE, "\x01".join(f"${k}" for k in range(1, 8)))
-    rows = lines.select(F.split(marked, "\x01").alias("_p")).where(F.size("_p") == 7)
+    a line becomes its parts between marks, and only what matched has seven. Lines that hold such a mark themselves go."""
+    marked = F.when(~F.contains(F.col(text), F.lit("\x01")), F.regexp_replace(text, LINE, "\x01".join(f"${k}" for k in range(1, 8))))
+    # Behind a generator, so that the parts are not worked out anew for each column that is taken from them.
+    rows = lines.select(F.explode(F.array(F.split(marked, "\x01"))).alias("_p")).where(F.size("_p") == 7)
     part = lambda k: F.nullif(F.col("_p")[k - 1], F.lit(""))
-    factor = F.element_at(F.create_map(*[F.lit(x) for kv in PREFIXES.items() for x in kv]), F.col("_p")[4])
+    factor = F.lit(1.0)
+    for unit, ns in PREFIXES.items():
+        factor = F.when(F.col("_p")[4] == unit, F.lit(ns)).otherwise(factor)
     return rows.select(part(1).alias("name"), part(2).alias("kind"), part(3).cast("long").alias("n"), (part(4).cast("double") * factor).alias("ns"), part(6).cast("double").alias("b"), part(7).cast("double").alias("allocs"))
 
 
