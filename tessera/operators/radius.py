@@ -3,6 +3,7 @@ leaves of a tree of median splits."""
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 import numpy as np
@@ -90,41 +91,44 @@ def find(grid: Stored, centres: DataFrame) -> DataFrame:
     return _met(centres.sparkSession.read.schema("id long, lat double, lng double, cy long, cx long").parquet(grid.path), centres, grid.degrees)
 
 
-def splits(points: DataFrame, depth: int, sample: int = 20_000) -> list:
-    """A tree of median splits, latitude and longitude by turns: (column, value, below, above), down to leaves, which are boxes
-    [least latitude, most latitude, least longitude, most longitude]. Medians are those of a bounded sample, the points of the
-    smallest hash of their id: where a tree is cut decides only how even its leaves are."""
+def splits(points: DataFrame, depth: int, sample: int = 20_000) -> tuple[list[float], dict[int, tuple]]:
+    """A tree of median splits, latitude and longitude by turns: the values that the nodes split at, level by level, and the box of
+    each leaf that points can reach: least and most latitude, least and most longitude. Medians are those of a bounded sample, the
+    points of the smallest hash of their id: where a tree is cut decides only how even its leaves are."""
     rows = np.array([(r["lat"], r["lng"]) for r in points.select("id", "lat", "lng").orderBy(F.xxhash64("id"), "id").limit(sample).collect()]).reshape(-1, 2)
-
-    def cut(rows: np.ndarray, box: list[float], level: int):
-        if level == depth or len(rows) < 2:
-            return box
-        axis = level % 2
-        at = float(np.partition(rows[:, axis], len(rows) // 2)[len(rows) // 2])
-        low, high = list(box), list(box)
-        low[2 * axis + 1] = high[2 * axis] = at
-        inside = rows[:, axis] < at
-        return ("lat" if axis == 0 else "lng", at, cut(rows[inside], low, level + 1), cut(rows[~inside], high, level + 1))
-
-    return cut(rows, [-90.0, 90.0, -180.0, 180.0], 0)
+    values, held = [360.0] * (2**depth - 1), {0: (rows, (-90.0, 90.0, -180.0, 180.0))}
+    for level in range(depth):
+        axis, below = level % 2, {}
+        for node, (some, box) in held.items():
+            if len(some) < 2:
+                below[2 * node + 1] = some, box  # all of it goes below
+                continue
+            at = float(np.partition(some[:, axis], len(some) // 2)[len(some) // 2])
+            values[node], inside = at, some[:, axis] < at
+            low, high = list(box), list(box)
+            low[2 * axis + 1] = high[2 * axis] = at
+            below[2 * node + 1], below[2 * node + 2] = (some[inside], tuple(low)), (some[~inside], tuple(high))
+        held = below
+    return values, {node: box for node, (_, box) in held.items()}
 
 
 def over_tree(points: DataFrame, centres: DataFrame, depth: int = 6) -> DataFrame:
     """The same by an equi-join on the leaves of a tree of median splits: a point has one leaf, a centre those whose box its window
     touches. The tree has at most 2**depth leaves, whatever the number of points."""
     p, q = _sides(points, centres)
-    tree, boxes = splits(p, depth), []
+    values, boxes = splits(p, depth)
+    # Constants of one literal each: an expression for each node would keep the planner busy.
+    nodes = F.from_json(F.lit(json.dumps(values)), "array<double>")
 
-    def leaf(node) -> Column:
-        if isinstance(node, list):
-            boxes.append((len(boxes), *node))
-            return F.lit(len(boxes) - 1)
-        column, at, below, above = node
-        return F.when(F.col(column) < at, leaf(below)).otherwise(leaf(above))
+    def down(node: Column, level: Column) -> Column:
+        own = F.when(level % 2 == 0, F.col("lat")).otherwise(F.col("lng"))
+        return 2 * node + F.when(own < F.element_at(nodes, node + 1), 1).otherwise(2)
 
-    p = p.withColumn("leaf", leaf(tree)).alias("p")
+    levels = F.array(*[F.lit(k) for k in range(depth)]) if depth else F.array().cast("array<int>")
+    p = p.withColumn("leaf", F.aggregate(levels, F.lit(0), down)).alias("p")
     h, w = half_height(F.col("radius_m")), half_width(F.col("lat"), F.col("radius_m"))
-    every = F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(b, ("leaf", "s", "n", "w", "e"))]) for b in boxes])
+    named = [dict(zip(("leaf", "s", "n", "w", "e"), (leaf, *box))) for leaf, box in boxes.items()]
+    every = F.from_json(F.lit(json.dumps(named)), "array<struct<leaf: int, s: double, n: double, w: double, e: double>>")
     q = q.withColumns({"h": h, "half": w})
 
     def touched(b: Column) -> Column:
