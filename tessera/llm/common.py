@@ -13,7 +13,8 @@ __all__ = ["WORD_PATTERN", "coded_id", "connected", "decoded_id", "dropped", "sh
 
 #: Characters that separate words: 0x20 and 0x09-0x0D, which is what bytes.split() splits at.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: the job's shuffle files go once it is done, and Arrow batches have few rows, as texts may be long.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,15 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a table in the shared folder: lineage ends there, and lost executors cost only a reread. The shuffle files of the job
-    go once the table is written; the setting that asks for it is put back as it was."""
+    """df as a table in the shared folder: lineage ends there, and lost executors cost only a reread. The settings of WRITING hold for
+    the job alone, and are put back as they were."""
     conf = df.sparkSession.conf
-    before = conf.get(CLEANUP, None)
-    conf.set(CLEANUP, "true")
+    before = {k: conf.get(k, None) for k in WRITING}
     try:
+        for k, v in WRITING.items():
+            conf.set(k, v)
         return session.written(df, tag)
     finally:
-        conf.set(CLEANUP, before) if before is not None else conf.unset(CLEANUP)
+        for k, v in before.items():
+            conf.set(k, v) if v is not None else conf.unset(k)
 
 
 def dropped(spark: SparkSession, path: str) -> None:
