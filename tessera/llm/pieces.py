@@ -23,6 +23,8 @@ from .common import sliced, utf8
 SPACE = "▁"
 #: Marked words whose ids a worker keeps, and pairs of pieces whose boundary it has judged.
 CACHED = 300_000
+#: Characters of a word whose ids are kept at most; longer ones are worked out each time.
+LONG = 256
 UNSEEN = 10.0
 NEVER = float("inf")
 
@@ -242,7 +244,10 @@ class Pieces:
             self.known.update((u, self.before[u]) for u in again)
             self.known.update(self.walk(sorted(need - again)))
         get = self.known.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        out = [b"".join(map(get, c)) for c in cut]
+        for u in [u for u in need if len(u) > LONG]:
+            del self.known[u]
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of ids, without the space that encoding puts in front."""
