@@ -183,16 +183,19 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     w, s, slope, offset = trained([rows[i] for i in order], good[order] if rows else good)
     model = spark.sparkContext.broadcast((w.astype(np.float64), s, slope, offset))  # 2 ** BITS slots, whatever the corpus
 
+    at = docs.columns.index(text_col) if keep else 0  # kept rows hold their text once
+
     def score(batches):
         weights, squares, a, b = model.value
         codes = Codes()
         for batch in sliced(batches):
-            m = np.array([margin(features(t, codes), weights, squares) for t in batch.column(0).cast(pa.binary()).fill_null(b"").to_pylist()], np.float64)
+            m = np.array([margin(features(t, codes), weights, squares) for t in batch.column(at).cast(pa.binary()).fill_null(b"").to_pylist()], np.float64)
             p = 1 / (1 + np.exp(-np.clip(a * m + b, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(p), pa.array((p >= cut).astype(np.int32))], names=[*batch.schema.names[1:], "score", "predicted"])
+            kept = range(0 if keep else 1, batch.num_columns)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(p), pa.array((p >= cut).astype(np.int32))], names=[*(batch.schema.names[k] for k in kept), "score", "predicted"])
 
     if keep:
-        named = docs.select(F.col(text_col).cast("binary").alias("_text_"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)])
+        named = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)])
         schema = ", ".join(f"c{k} {t}" for k, (_, t) in enumerate(docs.dtypes)) + ", score double, predicted int"
         out = named.mapInArrow(score, schema)
         return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)], F.col("score").alias(names[0]), F.col("predicted").alias(names[1]))
