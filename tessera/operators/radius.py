@@ -112,11 +112,8 @@ def splits(points: DataFrame, depth: int, sample: int = 20_000) -> tuple[list[fl
     return values, {node: box for node, (_, box) in held.items()}
 
 
-def over_tree(points: DataFrame, centres: DataFrame, depth: int = 6) -> DataFrame:
-    """The same by an equi-join on the leaves of a tree of median splits: a point has one leaf, a centre those whose box its window
-    touches. The tree has at most 2**depth leaves, whatever the number of points."""
-    p, q = _sides(points, centres)
-    values, boxes = splits(p, depth)
+def leaved(points: DataFrame, values: list[float], depth: int) -> DataFrame:
+    """Points (id, lat, lng) in normal form with their leaf of a tree that splits at values."""
     # Constants of one literal each: an expression for each node would keep the planner busy.
     nodes = F.from_json(F.lit(json.dumps(values)), "array<double>")
 
@@ -125,7 +122,48 @@ def over_tree(points: DataFrame, centres: DataFrame, depth: int = 6) -> DataFram
         return 2 * node + F.when(own < F.element_at(nodes, node + 1), 1).otherwise(2)
 
     levels = F.array(*[F.lit(k) for k in range(depth)]) if depth else F.array().cast("array<int>")
-    p = p.withColumn("leaf", F.aggregate(levels, F.lit(0), down)).alias("p")
+    return normal(points).select("id", "lat", "lng").withColumn("leaf", F.aggregate(levels, F.lit(0), down))
+
+
+def over_tree(points: DataFrame, centres: DataFrame, depth: int = 6) -> DataFrame:
+    """The same by an equi-join on the leaves of a tree of median splits: a point has one leaf, a centre those whose box its window
+    touches. The tree has at most 2**depth leaves, whatever the number of points."""
+    values, boxes = splits(normal(points), depth)
+    return _touched(leaved(points, values, depth), centres, boxes)
+
+
+@dataclass(frozen=True)
+class Planted:
+    """A tree that points are added to: its splits, those of the first batch, and the leaves of all points so far, by batch."""
+
+    path: str
+    depth: int
+    values: list
+    boxes: dict
+
+
+def planted(points: DataFrame, depth: int = 6, path: str | None = None) -> Planted:
+    """A tree split by these points, which are its batch 0. Later points go to its leaves, however they lie: that decides only how
+    even the leaves are, as a tree that is added to is rebuilt from time to time."""
+    tree = Planted(path or shared_path(points.sparkSession, "tree"), depth, *splits(normal(points), depth))
+    plant(tree, points, 0)
+    return tree
+
+
+def plant(tree: Planted, points: DataFrame, batch: int) -> None:
+    """Adds a batch of points, numbered by the caller; adding a batch again replaces it."""
+    leaved(points, tree.values, tree.depth).write.mode("overwrite").parquet(f"{tree.path}/batch={batch}")
+
+
+def found(tree: Planted, centres: DataFrame) -> DataFrame:
+    """(qid, id) of all points of the tree so far; their leaves are read as they were written."""
+    leaves = centres.sparkSession.read.schema("id long, lat double, lng double, leaf int").parquet(tree.path)
+    return _touched(leaves, centres, tree.boxes)
+
+
+def _touched(leaves: DataFrame, centres: DataFrame, boxes: dict[int, tuple]) -> DataFrame:
+    p = leaves.alias("p")
+    _, q = _sides(leaves, centres)
     h, w = half_height(F.col("radius_m")), half_width(F.col("lat"), F.col("radius_m"))
     named = [dict(zip(("leaf", "s", "n", "w", "e"), (leaf, *box))) for leaf, box in boxes.items()]
     every = F.from_json(F.lit(json.dumps(named)), "array<struct<leaf: int, s: double, n: double, w: double, e: double>>")

@@ -279,6 +279,15 @@ def geo_kd_tree(spark, sf):
     return radius.over_tree(places(spark, sf), centres(spark, sf))
 
 
+@query(RADIUS)
+def geo_kd_add(spark, sf):
+    """A tree of half the places that the other half is added to."""
+    p = places(spark, sf)
+    tree = radius.planted(p.where("id % 2 = 0"))
+    radius.plant(tree, p.where("id % 2 = 1"), 1)
+    return radius.found(tree, centres(spark, sf))
+
+
 @query(RADIUS)
 def geo_grid_add(spark, sf):
     """A grid that the places are added to in two batches."""

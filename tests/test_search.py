@@ -92,6 +92,10 @@ def test_radius_joins_agree(spark):
     assert pairs(radius.find(grid, q)) == [x for x in want if x[1] < 900]
     radius.add(grid, p.where("id >= 700"), 1)
     assert pairs(radius.find(grid, q)) == want
+    tree = radius.planted(p.where("id < 700"), 4)
+    assert pairs(radius.found(tree, q)) == [x for x in want if x[1] < 700]
+    radius.plant(tree, p.where("id >= 700"), 1)  # points beyond the first ones' boxes too
+    assert pairs(radius.found(tree, q)) == want
     with pytest.raises(ValueError):
         radius.over_cells(p, q, 0)
 
