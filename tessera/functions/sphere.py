@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Metres: the mean radius that distances are on.
@@ -28,6 +28,18 @@ def haversine_term(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Co
     return a * a + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * b * b
 
 
+def unit(points: DataFrame) -> DataFrame:
+    """Points (lat, lng) with their place (x, y, z) on the unit sphere."""
+    lat, lng = F.radians(F.col("lat")), F.radians(F.col("lng"))
+    return points.withColumns({"x": F.cos(lat) * F.cos(lng), "y": F.cos(lat) * F.sin(lng), "z": F.sin(lat)})
+
+
+def chord_term(a: str, b: str) -> Column:
+    """The haversine term of two points of unit(), from the chord between them: no sines, equal but for rounding."""
+    x, y, z = (F.col(f"{a}.{c}") - F.col(f"{b}.{c}") for c in "xyz")
+    return (x * x + y * y + z * z) * 0.25
+
+
 def distance_m(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     """Metres between two points in normal form."""
     return 2 * RADIUS * F.asin(F.sqrt(F.least(haversine_term(lat1, lng1, lat2, lng2), F.lit(1.0))))

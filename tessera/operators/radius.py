@@ -10,9 +10,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.sphere import cell, clamp_lat, half_height, half_width, haversine_term, largest_term, normal_lng
+from ..functions.sphere import cell, chord_term, clamp_lat, half_height, half_width, haversine_term, largest_term, normal_lng, unit
 from ..session import shared_path
 
+#: Terms of haversines and of chords differ by less than this: at most 1e-14, by rounding.
+HAIR = 1e-12
+#: Degrees of longitude in a piece of a band.
+PIECE = 30.0
+
 
 def normal(points: DataFrame) -> DataFrame:
     """Points or centres with latitude clamped and longitude in [-180, 180); rows with a null or non-finite part go."""
@@ -20,20 +25,37 @@ def normal(points: DataFrame) -> DataFrame:
     return known.withColumns({"lat": clamp_lat(F.col("lat")), "lng": normal_lng(F.col("lng"))}).where(F.col("lng").isNotNull())
 
 
-def _sides(points: DataFrame, centres: DataFrame) -> tuple[DataFrame, DataFrame]:
-    p = normal(points).select("id", "lat", "lng").alias("p")
-    q = normal(centres).select("qid", "lat", "lng", "radius_m").withColumn("most", largest_term(F.col("radius_m"))).where("most >= 0").alias("q")
-    return p, q
+def _centred(centres: DataFrame) -> DataFrame:
+    """Centres in normal form, with the largest term that their radius holds. They are dealt out, as a small file is one task's."""
+    q = normal(centres).select("qid", "lat", "lng", "radius_m").withColumn("most", largest_term(F.col("radius_m"))).where("most >= 0")
+    return q.repartition(q.sparkSession.sparkContext.defaultParallelism)
 
 
 def _inside():
-    return haversine_term(F.col("q.lat"), F.col("q.lng"), F.col("p.lat"), F.col("p.lng")) <= F.col("q.most")
+    """The haversine's term within the radius's. The chord's decides but for a hair: that has no sines for each pair."""
+    chord, most = chord_term("q", "p"), F.col("q.most")
+    exact = haversine_term(F.col("q.lat"), F.col("q.lng"), F.col("p.lat"), F.col("p.lng")) <= most
+    return (chord <= most + HAIR) & ((chord <= most - HAIR) | exact)
+
+
+def _joined(points: DataFrame, centres: DataFrame, keys: list[str], *tests: Column) -> DataFrame:
+    """(qid, id) within the radius of rows (id, lat, lng, keys) and (qid, lat, lng, most, keys) that share the keys and pass the tests.
+    Both sides are shuffled, whatever their size: what is small as a file is many rows in its cells and more pairs, which one task
+    or one broadcast must not take."""
+    p, q = unit(points).alias("p"), unit(centres).alias("q")
+    on = _inside()
+    for test in reversed(tests):
+        on = test & on
+    for key in reversed(keys):
+        on = (F.col(f"q.{key}") == F.col(f"p.{key}")) & on
+    return q.join(p.hint("merge"), on).select("q.qid", "p.id")
 
 
 def naive(points: DataFrame, centres: DataFrame) -> DataFrame:
     """(qid, id) by comparison of every centre with every point: the definition, for tests and as a baseline."""
-    p, q = _sides(points, centres)
-    return q.join(p, _inside()).select("q.qid", "p.id")
+    p = normal(points).select("id", "lat", "lng")
+    p = unit(p.repartition(4 * p.sparkSession.sparkContext.defaultParallelism)).alias("p")
+    return unit(_centred(centres)).alias("q").join(p, _inside()).select("q.qid", "p.id")
 
 
 def _round(degrees: float) -> tuple[int, float]:
@@ -44,9 +66,9 @@ def _round(degrees: float) -> tuple[int, float]:
     return n, 360.0 / n
 
 
-def celled(points: DataFrame, degrees: float) -> DataFrame:
-    """Points (id, lat, lng) in normal form with their cell (cy, cx)."""
-    round_, wide = _round(degrees)
+def celled(points: DataFrame, degrees: float, pieces: float | None = None) -> DataFrame:
+    """Points (id, lat, lng) in normal form with their cell (cy, cx), of degrees of latitude and of pieces of longitude if given."""
+    round_, wide = _round(pieces or degrees)
     return normal(points).select("id", "lat", "lng").withColumns({"cy": cell(F.col("lat"), degrees), "cx": F.pmod(cell(F.col("lng") + 180.0, wide), F.lit(round_))})
 
 
@@ -56,16 +78,19 @@ def over_cells(points: DataFrame, centres: DataFrame, degrees: float = 5.0) -> D
     return _met(celled(points, degrees), centres, degrees)
 
 
-def _met(cells: DataFrame, centres: DataFrame, degrees: float) -> DataFrame:
-    round_, wide = _round(degrees)
-    p = cells.alias("p")
-    _, q = _sides(cells, centres)
+def _standing(centres: DataFrame, degrees: float, pieces: float) -> DataFrame:
+    """Centres in every cell of degrees of latitude and pieces of longitude that their window (h, w) touches, once each."""
+    round_, wide = _round(pieces)
+    q = _centred(centres)
     h, w = half_height(F.col("radius_m")), half_width(F.col("lat"), F.col("radius_m"))
     rows = F.sequence(cell(F.greatest(F.col("lat") - h, F.lit(-90.0)), degrees), cell(F.least(F.col("lat") + h, F.lit(90.0)), degrees))
     span = F.sequence(cell(F.col("lng") + 180.0 - w, wide), cell(F.col("lng") + 180.0 + w, wide))
     columns = F.when(w >= 180.0, F.sequence(F.lit(0).cast("long"), F.lit(round_ - 1).cast("long"))).otherwise(F.array_distinct(F.transform(span, lambda x: F.pmod(x, F.lit(round_)))))
-    q = q.withColumn("cy", F.explode(rows)).withColumn("cx", F.explode(columns)).alias("q")
-    return q.join(p, (F.col("q.cy") == F.col("p.cy")) & (F.col("q.cx") == F.col("p.cx")) & _inside()).select("q.qid", "p.id")
+    return q.withColumns({"h": h, "w": w}).withColumn("cy", F.explode(rows)).withColumn("cx", F.explode(columns)).drop("radius_m")
+
+
+def _met(cells: DataFrame, centres: DataFrame, degrees: float) -> DataFrame:
+    return _joined(cells, _standing(centres, degrees, degrees).drop("h", "w"), ["cy", "cx"])
 
 
 @dataclass(frozen=True)
@@ -162,8 +187,7 @@ def found(tree: Planted, centres: DataFrame) -> DataFrame:
 
 
 def _touched(leaves: DataFrame, centres: DataFrame, boxes: dict[int, tuple]) -> DataFrame:
-    p = leaves.alias("p")
-    _, q = _sides(leaves, centres)
+    q = _centred(centres)
     h, w = half_height(F.col("radius_m")), half_width(F.col("lat"), F.col("radius_m"))
     named = [dict(zip(("leaf", "s", "n", "w", "e"), (leaf, *box))) for leaf, box in boxes.items()]
     every = F.from_json(F.lit(json.dumps(named)), "array<struct<leaf: int, s: double, n: double, w: double, e: double>>")
@@ -175,20 +199,17 @@ def _touched(leaves: DataFrame, centres: DataFrame, boxes: dict[int, tuple]) ->
             reach = reach | ((F.col("lng") - F.col("half") + turn <= b["e"]) & (F.col("lng") + F.col("half") + turn >= b["w"]))
         return (F.col("lat") - F.col("h") <= b["n"]) & (F.col("lat") + F.col("h") >= b["s"]) & reach
 
-    q = q.withColumn("leaf", F.explode(F.transform(F.filter(every, touched), lambda b: b["leaf"]))).alias("q")
-    return q.join(p, (F.col("q.leaf") == F.col("p.leaf")) & _inside()).select("q.qid", "p.id")
+    q = q.withColumn("leaf", F.explode(F.transform(F.filter(every, touched), lambda b: b["leaf"]))).drop("radius_m", "h", "half")
+    return _joined(leaves, q, ["leaf"])
 
 
 def over_bands(points: DataFrame, centres: DataFrame, degrees: float = 5.0) -> DataFrame:
-    """The same by an equi-join on bands of latitude, with the bounding window tested before the distance."""
-    p, q = _sides(points, centres)
-    p = p.withColumn("band", cell(F.col("p.lat"), degrees)).alias("p")
-    h, w = half_height(F.col("radius_m")), half_width(F.col("lat"), F.col("radius_m"))
-    bands = F.sequence(cell(F.greatest(F.col("lat") - h, F.lit(-90.0)), degrees), cell(F.least(F.col("lat") + h, F.lit(90.0)), degrees))
-    q = q.withColumns({"h": h, "w": w}).withColumn("band", F.explode(bands)).alias("q")
+    """The same by an equi-join on bands of latitude, in pieces of PIECE degrees of longitude so that a band is not one task's, with the
+    bounding window tested before the distance."""
     apart = F.abs(F.col("p.lng") - F.col("q.lng"))
-    window = F.col("p.lat").between(F.col("q.lat") - F.col("q.h"), F.col("q.lat") + F.col("q.h")) & ((apart <= F.col("q.w")) | (360.0 - apart <= F.col("q.w")))
-    return q.join(p, (F.col("q.band") == F.col("p.band")) & window & _inside()).select("q.qid", "p.id")
+    beside = (apart <= F.col("q.w")) | (360.0 - apart <= F.col("q.w"))
+    window = beside & F.col("p.lat").between(F.col("q.lat") - F.col("q.h"), F.col("q.lat") + F.col("q.h"))
+    return _joined(celled(points, degrees, PIECE), _standing(centres, degrees, PIECE), ["cy", "cx"], window)
 
 
 STRATEGIES = {"naive": naive, "cells": over_cells, "bands": over_bands, "tree": over_tree}

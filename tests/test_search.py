@@ -105,6 +105,30 @@ def test_odd_coordinates(spark):
     assert [tuple(r) for r in radius.normal(p).orderBy("id").collect()] == [(1, 90.0, -180.0), (5, -12.5, 169.75)]
 
 
+SHUFFLED = ["geo_bbox_prune"]
+
+
+@pytest.mark.parametrize("name", SHUFFLED)
+def test_radius_joins_are_dealt_out(spark, sf, name):
+    """A small file holds many pairs: no side is broadcast to the one task that reads the other."""
+    from tessera.queries import QUERIES
+
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("BroadcastHashJoin", "BroadcastNestedLoopJoin", "CartesianProduct"))
+
+
+def test_radius_ties(spark):
+    """Points on their centre, and those whose distance tells only after the seventh digit, a copy of each."""
+    pts = [(i, lat, 179.99999995 if i % 3 else 20.0) for i, lat in enumerate([0.0, 0.0, 1e-7, -3e-7, 60.0, 60.0000001, 90.0, -90.0])]
+    pts += [(i + 100, *at) for i, *at in pts]
+    qs = [(10 * i + j, lat, lng, r) for i, lat, lng in pts[:8] for j, r in enumerate((0.0, 0.005, 0.02, 0.05, 1e3, 2.1e7))]
+    p, q = spark.createDataFrame(pts, "id long, lat double, lng double"), spark.createDataFrame(qs, "qid long, lat double, lng double, radius_m double")
+    want = inside(pts, qs)
+    assert len(want) > len(qs) * 2
+    for strategy in radius.STRATEGIES:
+        assert pairs(radius.search(p, q, strategy)) == want
+
+
 def nearest(x, q, k, ids):
     d = ((q[:, None, :] - x[None, :, :]) ** 2).sum(2)
     return [[ids[j] for j in sorted(range(len(x)), key=lambda j: (d[i, j], ids[j]))[:k]] for i in range(len(q))]
