@@ -7,14 +7,20 @@ import json
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sphere import cell, chord_term, clamp_lat, half_height, half_width, haversine_term, largest_term, normal_lng, unit
-from ..session import shared_path
+from ..session import shared_path, written
+from .tiles import TASKS, Tiles, matrix, tiled
 
 #: Terms of haversines and of chords differ by less than this: at most 1e-14, by rounding.
 HAIR = 1e-12
+#: The same where chords are products of vectors in single precision, which are off by 4e-7 at most.
+SINGLE = 1e-6
+#: Components of a tile that is compared with another, products that a core's cache holds, pairs of a batch.
+COMPARED, CACHED, HELD = 1 << 15, 1 << 18, 1 << 18
 #: Degrees of longitude in a piece of a band.
 PIECE = 30.0
 
@@ -52,10 +58,50 @@ def _joined(points: DataFrame, centres: DataFrame, keys: list[str], *tests: Colu
 
 
 def naive(points: DataFrame, centres: DataFrame) -> DataFrame:
-    """(qid, id) by comparison of every centre with every point: the definition, for tests and as a baseline."""
-    p = normal(points).select("id", "lat", "lng")
-    p = unit(p.repartition(4 * p.sparkSession.sparkContext.defaultParallelism)).alias("p")
-    return unit(_centred(centres)).alias("q").join(p, _inside()).select("q.qid", "p.id")
+    """(qid, id) by comparison of every centre with every point: the definition, for tests and as a baseline. Tasks compare tiles of
+    both by their chords; pairs within a hair of the radius carry their coordinates on, for the haversine to decide."""
+    p, q = normal(points).select("id", "lat", "lng"), _centred(centres).drop("radius_m")
+    some, all_ = (tiled(unit(side).select(F.lit(0).cast("long").alias("grp"), F.array("x", "y", "z").alias("vec"), *side.columns), COMPARED) for side in (q, p))
+    tile = F.struct("name", "start", "n")
+    pairs = written(some.select(tile.alias("q")).crossJoin(all_.select(tile.alias("p"))), "pairs")
+
+    def compare(batches):
+        read = Tiles()
+        for b in batches:
+            for one, other in zip(b.column("q").to_pylist(), b.column("p").to_pylist()):
+                yield from _compared(read(**one), read(**other))
+
+    kinds = q.schema["qid"].dataType.simpleString(), p.schema["id"].dataType.simpleString()
+    n, workers = pairs.count(), q.sparkSession.sparkContext.defaultParallelism
+    dealt = pairs.repartition(max(1, min(n, max(4 * workers, n // 16), TASKS)))
+    near = dealt.mapInArrow(compare, f"qid {kinds[0]}, id {kinds[1]}, edge array<double>")
+    e = [F.element_at("edge", k) for k in range(1, 6)]
+    return near.where(F.col("edge").isNull() | (haversine_term(e[0], e[1], e[2], e[3]) <= e[4])).select("qid", "id")
+
+
+def _compared(centres: pa.RecordBatch, points: pa.RecordBatch):
+    """Batches (qid, id, edge) of the pairs whose term is within the radius's, or may be: these have an edge, (lat, lng, lat, lng, most)."""
+    u, v = matrix(centres.column("vec")).astype(np.float32), matrix(points.column("vec")).astype(np.float32).T.copy()
+    most = centres.column("most").to_numpy()
+    # Of unit vectors the chord's term is (1 - product) / 2.
+    least, sure = ((1 - 2 * (most + by)).astype(np.float32) for by in (SINGLE, -SINGLE))
+    wide, held, size = v.shape[1], [], 0
+    step = max(1, CACHED // wide)
+    for start in range(0, len(u), step):
+        product = u[start : start + step] @ v
+        at = np.flatnonzero(product >= least[start : start + step, None])
+        row = (at // wide).astype(np.int32)
+        held.append((row + np.int32(start), (at - row * np.int64(wide)).astype(np.int32), product.ravel()[at]))
+        size += len(at)
+        if size >= HELD or start + step >= len(u):
+            row, column, product = map(np.concatenate, zip(*held))
+            held, size = [], 0
+            edge = product <= sure[row]
+            r, c = row[edge], column[edge]
+            told = [centres.column(k).to_numpy()[r] for k in ("lat", "lng")] + [points.column(k).to_numpy()[c] for k in ("lat", "lng")] + [most[r]]
+            ends = pa.array(np.concatenate([[0], np.cumsum(5 * edge)]), pa.int32())
+            edges = pa.ListArray.from_arrays(ends, pa.array(np.stack(told, axis=1).ravel(), pa.float64()), mask=pa.array(~edge))
+            yield pa.record_batch([centres.column("qid").take(pa.array(row)), points.column("id").take(pa.array(column)), edges], names=["qid", "id", "edge"])
 
 
 def _round(degrees: float) -> tuple[int, float]:

@@ -105,7 +105,7 @@ def test_odd_coordinates(spark):
     assert [tuple(r) for r in radius.normal(p).orderBy("id").collect()] == [(1, 90.0, -180.0), (5, -12.5, 169.75)]
 
 
-SHUFFLED = ["geo_bbox_prune", "geo_radius_grid", "geo_kd_tree"]
+SHUFFLED = ["geo_bbox_prune", "geo_radius_grid", "geo_kd_tree", "geo_radius_naive"]
 
 
 @pytest.mark.parametrize("name", SHUFFLED)
