@@ -11,11 +11,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_path, text_bytes, utf8, written
-from .ppm import ORDER, base, codes_of, costs, kept, pairs_of, summed
+from .common import shared_path, sliced, text_bytes, utf8, written
+from .ppm import ORDER, base, codes_of, costs, kept, numbered, pairs_of, summed
 from .quality import bucket
 from .store import get_batch, put_batch, squeezed, squeezed_sorted, unsqueezed, unsqueezed_sorted
-from .substring import block_file, blocks, grouped, new_block, shard_count
+from .substring import BLOCK, block_file, grouped, new_block, shard_count
+from ..sources.blocks import joined
 
 
 #: Codes of a shard that are held before they are added up.
@@ -45,8 +46,7 @@ class Contexts:
     """
 
     def __init__(self, texts: list[bytes], order: int, shards: int):
-        every = codes_of(texts, order)
-        codes, self.place = np.unique(every, return_inverse=True)
+        codes, self.place = numbered(codes_of(texts, order))
         shard = (((codes & kept(2)) * MIX) >> np.uint64(33)) % np.uint64(shards)
         self.order = np.argsort(shard, kind="stable")
         self.codes = codes[self.order]
@@ -76,7 +76,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         kinds = [pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
         made = lambda *columns: pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
         pairs = np.zeros(1 << 16, np.int64)
-        for batch in blocks(batches):
+        for batch in joined(sliced(batches, size=BLOCK >> 3), BLOCK):  # small slices: a block is BLOCK bytes and little more
             name = new_block()
             put_batch(block_file(folder, name), batch)
             texts, out = batch.column(1).to_pylist(), batch.column(2).to_pylist()
@@ -93,6 +93,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
             c = Contexts(texts, order, shards)
             trains = np.repeat([not h for h in out], [len(t) + 1 for t in texts])
             n = np.bincount(c.place[trains], minlength=len(c.codes))[c.order]
+            del trains
+            c.place = None
             pairs += np.bincount(pairs_of(c.codes), weights=n, minlength=1 << 16).astype(np.int64)
             there = [slice(c.cuts[s], c.cuts[s + 1]) for s in range(shards)]
             some = [s for s, m in enumerate(there) if m.start < m.stop]

@@ -131,3 +131,23 @@ def test_every_sequence_that_occurs_is_known(spark):
     (r,) = [r for r in got if r["id"] == rare[1][0]]
     letters = sum(want.log(rare[1][1].encode()[:i], rare[1][1].encode()[i]) for i in range(1, 15))
     assert letters > -6 and letters - 9 < r["score"] < letters
+
+
+def test_contexts_take_little_memory():
+    """Repetitive texts: their codes are numbered in at most 32 bytes for each byte of them, as np.unique() does in 49."""
+    import tracemalloc
+
+    from tessera.llm.lm import Contexts
+    from tessera.llm.ppm import codes_of, numbered
+
+    texts = [np.random.default_rng(k).integers(97, 103, 1000).astype(np.uint8).tobytes() for k in range(1000)]
+    tracemalloc.start()
+    c = Contexts(texts, 5, 8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 * 1001 * 1000
+    every = codes_of(texts, 5)
+    assert (np.sort(c.codes)[c.place] == every).all()
+    for codes in (every, every[:1], every[:0]):
+        want = np.unique(codes, return_inverse=True)
+        assert all((a == b).all() for a, b in zip(numbered(codes.copy()), want))
