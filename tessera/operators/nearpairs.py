@@ -6,6 +6,7 @@ import time
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from ..session import shared_path
 
 #: Projections that make up one table's key, and a cell's width in thresholds.
 PROJECTIONS, WIDTHS = 3, 3.0
+#: Comparisons of a row that take as long as sorting it in for a column, and pairs of rows that are compared at a time.
+EACH, PRODUCTS = 512, 1 << 18
 
 
 @dataclass(frozen=True)
@@ -134,11 +137,85 @@ def add(index: Stored, points: DataFrame, batch: int) -> DataFrame:
     return pairs.union(_shared(old.alias("a"), new.alias("b"), index.tables, close).select(*named))
 
 
+def unique_candidates(points: DataFrame, tables: Tables) -> DataFrame:
+    """(unique_candidates): as many rows as candidates() has, counted without a row for each.
+
+    Points with the same cells in all tables are one class, with their number: there are as many classes as the tables' planes cut
+    space into, however many points there are. Pairs of classes are counted in the first table whose cell both share."""
+    count = len(tables.directions)
+    cell = [F.floor((F.col("x") * d[0] + F.col("y") * d[1] + F.col("z") * d[2] + o) / tables.width) for ds, os in zip(tables.directions, tables.offsets) for d, o in zip(ds, os)]
+    known = F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull()
+    classes = points.where(known).select(F.array(*cell).alias("cells")).groupBy("cells").agg(F.count("*").alias("n"))
+    t = F.col("t")
+    own = [F.element_at("cells", PROJECTIONS * t + k).alias(f"c{k}") for k in range(1, PROJECTIONS + 1)]
+    each = classes.select("cells", "n", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("t")).select("t", *own, F.slice("cells", F.lit(1), PROJECTIONS * t).alias("earlier"), "n")
+
+    def between(group: pa.Table) -> pa.Table:
+        pairs = 0
+        if group.num_rows > 1:
+            n = group.column("n").to_numpy()
+            flat = group.column("earlier").combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1, PROJECTIONS)
+            pairs = _apart([_numbers(flat[:, k]) for k in range(flat.shape[1])], n)
+        return pa.table({"pairs": pa.array([pairs], pa.int64())})
+
+    across = each.groupBy("t", *[f"c{k}" for k in range(1, PROJECTIONS + 1)]).applyInArrow(between, "pairs long")
+    within = classes.select(F.expr("n * (n - 1) div 2").alias("pairs"))
+    return across.union(within).agg(F.coalesce(F.sum("pairs"), F.lit(0)).cast("long").alias("unique_candidates"))
+
+
+def _numbers(cells: np.ndarray) -> np.ndarray:
+    """A number for each row, the same for equal rows."""
+    out = np.zeros(len(cells), np.int64)
+    for column in cells.T:
+        values, place = np.unique(column, return_inverse=True)
+        out = np.unique(out * len(values) + place, return_inverse=True)[1]
+    return out.astype(np.int16 if len(out) < 1 << 15 else np.int32)
+
+
+def _apart(cells: list[np.ndarray], n: np.ndarray) -> int:
+    """Pairs of rows, times both their numbers n, that share none of the cells. Of many rows, those that share no cell of all columns
+    but one, less those of them that share that one: linear in rows, but for each column twice as much; of few, each pair."""
+    rows = len(n)
+    if rows < 2:
+        return 0
+    if not cells:
+        return (int(n.sum()) ** 2 - int((n * n).sum())) // 2
+    if rows * len(cells) <= EACH << len(cells):
+        return _compared(cells, n)
+    *rest, last = cells
+    order = np.argsort(last, kind="stable")
+    cuts = np.flatnonzero(np.diff(last[order], prepend=-1, append=-1))
+    pairs = _apart(rest, n)
+    for at in (order[i:j] for i, j in zip(cuts[:-1], cuts[1:]) if j - i > 1):
+        pairs -= _apart([c[at] for c in rest], n[at])
+    return pairs
+
+
+def _compared(cells: list[np.ndarray], n: np.ndarray) -> int:
+    """The same by comparison of every pair."""
+    rows, total, start = len(n), 0, 0
+    single, small = bool((n == 1).all()), int(n.sum()) ** 2 < 1 << 53
+    weight = n.astype(np.float64) if small else n
+    while start < rows:
+        end = min(rows, start + max(1, PRODUCTS // (rows - start)))
+        far = np.ones((end - start, rows - start), bool)
+        for c in cells:
+            far &= c[start:end, None] != c[None, start:]
+        own = end - start  # pairs among these rows stand there twice
+        if single:
+            total += int(np.count_nonzero(far)) - int(np.count_nonzero(far[:, :own])) // 2
+        else:
+            far = far.astype(weight.dtype)
+            total += int(weight[start:end] @ (far @ weight[start:])) - int(weight[start:end] @ (far[:, :own] @ weight[start:end])) // 2
+        start = end
+    return total
+
+
 def candidate_stats(points: DataFrame, tables: Tables) -> DataFrame:
     """(total_candidates, unique_candidates): pairs over all cells, and distinct ones."""
     n = F.count("*")
     total = cells(points, tables).groupBy("t", "c0", "c1", "c2").agg(n.alias("n")).agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).cast("long").alias("total_candidates"))
-    return total.join(candidates(points, tables).agg(F.count("*").alias("unique_candidates")))
+    return total.join(unique_candidates(points, tables))
 
 
 def quality(found: DataFrame, true: DataFrame) -> DataFrame:
@@ -152,7 +229,7 @@ def quality(found: DataFrame, true: DataFrame) -> DataFrame:
 def candidate_ratio(points: DataFrame, tables: Tables) -> DataFrame:
     """(unique_candidates, all_pairs, candidate_ratio): distinct candidates among all pairs; 0 for fewer than two points."""
     n = points.agg(F.expr("count(*) * (count(*) - 1) div 2").alias("all_pairs"))
-    both = candidate_stats(points, tables).select("unique_candidates").join(n)
+    both = unique_candidates(points, tables).join(n)
     return both.withColumn("candidate_ratio", F.when(F.col("all_pairs") == 0, 0.0).otherwise(F.col("unique_candidates") / F.col("all_pairs")))
 
 

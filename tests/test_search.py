@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tessera.operators import nearpairs, neighbours, radius
 from tessera.operators.nearpairs import Tables
 
+COUNTED = ["candidate_ratio"]
+
 
 def cloud(spark, rows):
     return spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(rows)], "pos long, x double, y double, z double")
@@ -60,6 +62,34 @@ def test_near_pairs_recall_and_precision(spark):
         nearpairs.grid_pairs(p, 0)
 
 
+def test_pairs_of_classes_sharing_no_cell(monkeypatch):
+    """By columns, by every pair, and by both, with numbers of one and of many."""
+    rng = np.random.default_rng(2)
+    for most in (1, 9, 1 << 24):
+        cells, n = [rng.integers(0, k, 300).astype(np.int16) for k in (3, 5, 2, 4)], rng.integers(1, most + 1, 300)
+        want = sum(int(n[i]) * int(n[j]) for i in range(300) for j in range(i) if all(c[i] != c[j] for c in cells))
+        for each in (0, 4, 1 << 20):
+            monkeypatch.setattr(nearpairs, "EACH", each)
+            monkeypatch.setattr(nearpairs, "PRODUCTS", 5000)
+            assert nearpairs._apart(cells, n) == want
+
+
+@pytest.mark.parametrize("name", COUNTED)
+def test_candidates_are_counted_not_made(spark, name):
+    """Points with copies, without coordinates and far off; a count has no join of rows."""
+    rng = random.Random(5)
+    rows = [tuple(rng.gauss(0, 1.2) for _ in "xyz") for _ in range(200)]
+    rows += rows[:50] * 3 + [(1e6, 0.0, 0.0), (-1e6, 2.0, 1e5)]
+    p = cloud(spark, rows).union(spark.createDataFrame([(900, 0.0, None, 0.0), (901, None, None, None)], "pos long, x double, y double, z double"))
+    for count in (1, 2, 10):
+        t = Tables.drawn(count, 0.5)
+        got = getattr(nearpairs, name)(p, t)
+        assert got.first()["unique_candidates"] == nearpairs.candidates(p, t).count() > 0
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "HashJoin" not in plan
+    assert getattr(nearpairs, name)(p.limit(0), t).first()["unique_candidates"] == 0
+
+
 def inside(points, centres):
     out = []
     for q, lat, lng, r in centres:
