@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import nearpairs, neighbours, radius
 from tessera.operators.nearpairs import Tables
 
-COUNTED = ["candidate_ratio"]
+COUNTED = ["candidate_ratio", "candidate_stats"]
 
 
 def cloud(spark, rows):
