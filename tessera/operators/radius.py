@@ -21,6 +21,8 @@ HAIR = 1e-12
 SINGLE = 1e-6
 #: Components of a tile that is compared with another, products that a core's cache holds, pairs of a batch.
 COMPARED, CACHED, HELD = 1 << 15, 1 << 18, 1 << 18
+#: Points of a cell, band or leaf beyond which it is dealt out in pieces.
+CROWD = 16384
 #: Degrees of longitude in a piece of a band.
 PIECE = 30.0
 
@@ -47,12 +49,15 @@ def _inside():
 def _joined(points: DataFrame, centres: DataFrame, keys: list[str], *tests: Column) -> DataFrame:
     """(qid, id) within the radius of rows (id, lat, lng, keys) and (qid, lat, lng, most, keys) that share the keys and pass the tests.
     Both sides are shuffled, whatever their size: what is small as a file is many rows in its cells and more pairs, which one task
-    or one broadcast must not take."""
+    or one broadcast must not take. Points of keys with over CROWD of them are dealt out in pieces, each of which meets all centres."""
+    pieces = points.groupBy(*keys).agg(F.ceil(F.count("*") / CROWD).cast("int").alias("pieces"))
+    points = points.join(pieces, keys).withColumn("piece", F.pmod(F.xxhash64("id", "lat", "lng"), F.col("pieces")).cast("int")).drop("pieces")
+    centres = centres.join(pieces, keys).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
     p, q = unit(points).alias("p"), unit(centres).alias("q")
     on = _inside()
     for test in reversed(tests):
         on = test & on
-    for key in reversed(keys):
+    for key in ("piece", *reversed(keys)):
         on = (F.col(f"q.{key}") == F.col(f"p.{key}")) & on
     return q.join(p.hint("merge"), on).select("q.qid", "p.id")
 

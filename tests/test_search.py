@@ -144,7 +144,22 @@ def test_radius_joins_are_dealt_out(spark, sf, name):
     from tessera.queries import QUERIES
 
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
-    assert not any(x in plan for x in ("BroadcastHashJoin", "BroadcastNestedLoopJoin", "CartesianProduct"))
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert name == "geo_radius_naive" or "SortMergeJoin" in plan
+
+
+def test_crowded_cells_are_dealt_out(spark, monkeypatch):
+    """Points of one cell, band and leaf, a copy of each, in pieces of four."""
+    monkeypatch.setattr(radius, "CROWD", 4)
+    pts = [(i % 40, 10 + i % 40 / 100, 20 + i % 7 / 100) for i in range(80)]
+    qs = [(i, 10.0 + i / 50, 20.0, 1e4 * i) for i in range(10)]
+    p, q = spark.createDataFrame(pts, "id long, lat double, lng double"), spark.createDataFrame(qs, "qid long, lat double, lng double, radius_m double")
+    want = inside(pts, qs)
+    assert len(want) > 100
+    for strategy in radius.STRATEGIES:
+        found = radius.search(p, q, strategy)
+        assert pairs(found) == want
+        assert strategy == "naive" or "piece" in found._jdf.queryExecution().executedPlan().toString()
 
 
 def test_radius_ties(spark):
