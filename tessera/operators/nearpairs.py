@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +17,8 @@ from ..session import shared_path
 PROJECTIONS, WIDTHS = 3, 3.0
 #: Comparisons of a row that take as long as sorting it in for a column, and pairs of rows that are compared at a time.
 EACH, PRODUCTS = 512, 1 << 18
+#: Classes of a cell up to which it is compared together with others.
+TOGETHER = 64
 
 
 @dataclass(frozen=True)
@@ -137,38 +140,101 @@ def add(index: Stored, points: DataFrame, batch: int) -> DataFrame:
     return pairs.union(_shared(old.alias("a"), new.alias("b"), index.tables, close).select(*named))
 
 
-def unique_candidates(points: DataFrame, tables: Tables) -> DataFrame:
-    """(unique_candidates): as many rows as candidates() has, counted without a row for each.
+def candidate_stats(points: DataFrame, tables: Tables) -> DataFrame:
+    """(total_candidates, unique_candidates): pairs over all cells, and distinct ones, as many as candidates() has rows; both are
+    counted in one pass, without a row for each.
 
     Points with the same cells in all tables are one class, with their number: there are as many classes as the tables' planes cut
-    space into, however many points there are. Pairs of classes are counted in the first table whose cell both share."""
-    count = len(tables.directions)
+    space into, however many points there are. Pairs of classes are counted in the first table whose cell both share. Points
+    without coordinates are a cell of their own in each table, as SQL groups them, whose pairs are not candidates."""
     cell = [F.floor((F.col("x") * d[0] + F.col("y") * d[1] + F.col("z") * d[2] + o) / tables.width) for ds, os in zip(tables.directions, tables.offsets) for d, o in zip(ds, os)]
-    known = F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull()
-    classes = points.where(known).select(F.array(*cell).alias("cells")).groupBy("cells").agg(F.count("*").alias("n"))
-    t = F.col("t")
-    own = [F.element_at("cells", PROJECTIONS * t + k).alias(f"c{k}") for k in range(1, PROJECTIONS + 1)]
-    each = classes.select("cells", "n", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("t")).select("t", *own, F.slice("cells", F.lit(1), PROJECTIONS * t).alias("earlier"), "n")
+    classes = points.select(F.array(*cell).alias("cells")).groupBy("cells").agg(F.count("*").alias("n"))
+    t, key = F.col("t"), ["t", *[f"c{k}" for k in range(PROJECTIONS)]]
+    own = [F.element_at("cells", PROJECTIONS * t + k + 1).alias(f"c{k}") for k in range(PROJECTIONS)]
+    each = classes.select("cells", "n", F.explode(F.sequence(F.lit(0), F.lit(len(tables.directions) - 1))).alias("t")).select("t", *own, F.slice("cells", F.lit(1), PROJECTIONS * t).alias("earlier"), "n")
 
-    def between(group: pa.Table) -> pa.Table:
-        pairs = 0
-        if group.num_rows > 1:
-            n = group.column("n").to_numpy()
-            flat = group.column("earlier").combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1, PROJECTIONS)
-            pairs = _apart([_numbers(flat[:, k]) for k in range(flat.shape[1])], n)
-        return pa.table({"pairs": pa.array([pairs], pa.int64())})
+    def count(batches):
+        for cut, rows in _whole(batches, key):
+            total, unique = _counted(cut, rows)
+            yield pa.record_batch({"total": pa.array([total], pa.int64()), "uniq": pa.array([unique], pa.int64())})
 
-    across = each.groupBy("t", *[f"c{k}" for k in range(1, PROJECTIONS + 1)]).applyInArrow(between, "pairs long")
-    within = classes.select(F.expr("n * (n - 1) div 2").alias("pairs"))
-    return across.union(within).agg(F.coalesce(F.sum("pairs"), F.lit(0)).cast("long").alias("unique_candidates"))
+    counts = each.repartition(*key).sortWithinPartitions(*key).mapInArrow(count, "total long, uniq long")
+    return counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(f"{name}_candidates") for c, name in (("total", "total"), ("uniq", "unique"))])
 
 
-def _numbers(cells: np.ndarray) -> np.ndarray:
-    """A number for each row, the same for equal rows."""
-    out = np.zeros(len(cells), np.int64)
+def unique_candidates(points: DataFrame, tables: Tables) -> DataFrame:
+    """(unique_candidates): as many rows as candidates() has, counted without a row for each."""
+    return candidate_stats(points, tables).select("unique_candidates")
+
+
+def _whole(batches: Iterable[pa.RecordBatch], key: list[str]) -> Iterator[tuple[np.ndarray, pa.Table]]:
+    """Rows sorted by key as tables that hold all rows of each of their keys, and where their keys begin."""
+    held, cuts, rows, last = [], [], 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [v for c in key for v in (batch.column(c).is_valid().to_numpy(zero_copy_only=False), batch.column(c).fill_null(0).to_numpy())]
+        at = np.flatnonzero(np.any([np.diff(v, prepend=v[:1]) != 0 for v in columns], axis=0))
+        if last != [v[0] for v in columns]:
+            at = np.append(0, at)
+        last = [v[-1] for v in columns]
+        if len(at) and rows + at[-1]:
+            end = int(at[-1])
+            yield np.concatenate([*cuts, at[:-1] + rows]), pa.Table.from_batches([*held, batch.slice(0, end)]).combine_chunks()
+            held, cuts, rows, at, batch = [], [], 0, np.zeros(1, np.int64), batch.slice(end)
+        held.append(batch)
+        cuts.append(at + rows)
+        rows += batch.num_rows
+    if held:
+        yield np.concatenate(cuts), pa.Table.from_batches(held).combine_chunks()
+
+
+def _counted(starts: np.ndarray, rows: pa.Table) -> tuple[int, int]:
+    """Pairs of points in the cells that begin at starts, and those of them that share no cell of an earlier table. Cells of few
+    classes are compared together, step by step along the rows."""
+    n, edges = rows.column("n").to_numpy(), np.append(starts, rows.num_rows)
+    table, known, sizes = rows.column("t").to_numpy()[starts], rows.column("c0").is_valid().to_numpy()[starts], np.diff(edges)
+    points = np.add.reduceat(n, starts)
+    pairs = points * (points - 1) // 2
+    total, unique = int(pairs.sum()), int(pairs[known & (table == 0)].sum())
+    for t in np.unique(table[(table > 0) & (sizes > 1)]):
+        of = np.flatnonzero(table == t)
+        first, end, size = edges[of[0]], edges[of[-1] + 1], sizes[of]
+        cells = rows.column("earlier").slice(first, end - first).combine_chunks().flatten().fill_null(0).to_numpy().reshape(-1, t, PROJECTIONS)
+        some = n[first:end]
+        for start, many in zip(starts[of] - first, size):
+            if many > TOGETHER:
+                mine = slice(start, start + many)
+                unique += _apart([_numbers(cells[mine, k]) for k in range(t)], some[mine])
+        left = np.repeat(np.cumsum(size), size) - np.arange(len(some)) - 1  # rows of the cell that follow
+        few = np.repeat((size > 1) & (size <= TOGETHER), size)
+        if not few.any():
+            continue
+        codes, some, left = [_codes(cells[few, k]) for k in range(t)], some[few], left[few]
+        for step in range(1, int(left.max()) + 1):
+            a = np.flatnonzero(left >= step)
+            far = np.ones(len(a), bool)
+            for c in codes:
+                far &= c[a] != c[a + step]
+            unique += int((some[a] * some[a + step])[far].sum())
+    return total, unique
+
+
+def _codes(cells: np.ndarray) -> np.ndarray:
+    """A number for each row, the same for equal rows only."""
+    out, room = np.zeros(len(cells), np.int64), 1
     for column in cells.T:
-        values, place = np.unique(column, return_inverse=True)
-        out = np.unique(out * len(values) + place, return_inverse=True)[1]
+        least, most = int(column.min()), int(column.max())
+        if room * (most - least + 1) >= 1 << 62:  # numbered closely, they have room
+            out, column = (np.unique(v, return_inverse=True)[1] for v in (out, column))
+            room, least, most = len(out), 0, len(out) - 1
+        out, room = out * (most - least + 1) + (column - least), room * (most - least + 1)
+    return out
+
+
+def _numbers(cells: np.ndarray) -> np.ndarray:
+    """The same from 0 on, without gaps."""
+    out = np.unique(_codes(cells), return_inverse=True)[1]
     return out.astype(np.int16 if len(out) < 1 << 15 else np.int32)
 
 
@@ -211,13 +277,6 @@ def _compared(cells: list[np.ndarray], n: np.ndarray) -> int:
     return total
 
 
-def candidate_stats(points: DataFrame, tables: Tables) -> DataFrame:
-    """(total_candidates, unique_candidates): pairs over all cells, and distinct ones."""
-    n = F.count("*")
-    total = cells(points, tables).groupBy("t", "c0", "c1", "c2").agg(n.alias("n")).agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).cast("long").alias("total_candidates"))
-    return total.join(unique_candidates(points, tables))
-
-
 def quality(found: DataFrame, true: DataFrame) -> DataFrame:
     """(found, true, hits, recall, precision); an empty side counts as 1."""
     hits = found.join(true, ["lo", "hi"], "left_semi").agg(F.count("*").alias("hits"))

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +91,47 @@ def test_candidates_are_counted_not_made(spark, name):
     assert getattr(nearpairs, name)(p.limit(0), t).first()["unique_candidates"] == 0
 
 
+def test_codes_tell_rows_apart():
+    """In narrow ranges, and in those that no product of spans has room for."""
+    rng = np.random.default_rng(4)
+    for most in (3, 1 << 40, (1 << 63) - 1):
+        values = rng.integers(-most, most, 4)
+        values[:2] = -most, most
+        cells = rng.choice(values, (500, 3))
+        want = np.unique(cells, axis=0, return_inverse=True)[1].ravel()
+        for made in (nearpairs._codes(cells), nearpairs._numbers(cells)):
+            assert len(set(zip(want.tolist(), made.tolist()))) == len(set(want.tolist())) == len(set(made.tolist()))
+
+
+def test_many_small_cells_are_counted_together(spark, monkeypatch):
+    """A pass over batches that cut cells anywhere: no call for each cell, nothing joined, points without coordinates as in SQL."""
+    p = nearpairs.generated(spark, 1500, 0.5).union(spark.createDataFrame([(9000 + k, None, 1.0, 0.0) for k in range(4)], "pos long, x double, y double, z double"))
+    t = Tables.drawn(5, 0.5)
+    p = p.union(p.where("pos < 40").selectExpr("pos + 10000", "x", "y", "z")).cache()
+    each = nearpairs.cells(p, t).groupBy("t", "c0", "c1", "c2").count().collect()
+    want = (sum(r["count"] * (r["count"] - 1) // 2 for r in each), nearpairs.candidates(p, t).count())
+    plan = nearpairs.candidate_stats(p, t)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and "Join" not in plan and want[0] - 5 * 6 > want[1] > 0
+    for rows in ("2", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        try:
+            assert tuple(nearpairs.candidate_stats(p, t).first()) == want
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    p.unpersist()
+    rng = np.random.default_rng(6)
+    rows = sorted((int(k), *map(int, c), list(map(int, e[: 3 * k])), int(n)) for k, c, e, n in zip(rng.integers(0, 3, 400), rng.integers(-1, 2, (400, 3)), rng.integers(0, 2, (400, 6)), rng.integers(1, 5, 400)))
+    table = pa.table({k: pa.array(v, pa.list_(pa.int64()) if k == "earlier" else pa.int64()) for k, v in zip(("t", "c0", "c1", "c2", "earlier", "n"), zip(*rows))})
+    pairs_of = [(a, b) for i, a in enumerate(rows) for b in rows[:i] if a[:4] == b[:4]]
+    apart = sum(a[5] * b[5] for a, b in pairs_of if all(a[4][k : k + 3] != b[4][k : k + 3] for k in range(0, 3 * a[0], 3))) + sum(r[5] * (r[5] - 1) // 2 for r in rows if not r[0])
+    total = sum(a[5] * b[5] for a, b in pairs_of) + sum(r[5] * (r[5] - 1) // 2 for r in rows)
+    for together in (0, 5, 64):
+        monkeypatch.setattr(nearpairs, "TOGETHER", together)
+        for size in (1, 7, 400):
+            parts = [nearpairs._counted(*x) for x in nearpairs._whole(table.to_batches(size), ["t", "c0", "c1", "c2"])]
+            assert tuple(map(sum, zip(*parts))) == (total, apart)
+
+
 def inside(points, centres):
     out = []
     for q, lat, lng, r in centres:
